@@ -61,6 +61,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quality import quality_verdicts
+
+    found = quality_verdicts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.simhash import near_duplicates
 
@@ -68,6 +75,22 @@ def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.urlrep import url_verdicts
+
+    # A page's outcome is the label of its number: bad if the quality is 0.
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).cast("int").alias("bad"))
+    return url_verdicts(table(spark, sf_dir, "pages"), labels)
+
+
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.secretscan import secret_spans, spans_text
+
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.decontam import contamination, is_contaminated
 
@@ -80,7 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_bits": op2_token_bits,
     "op3_line_dedup": op3_line_dedup,
+    "op4_robust_outliers": op4_robust_outliers,
     "op5_simhash_ball": op5_simhash_ball,
+    "op8_host_reputation": op8_host_reputation,
+    "op9_secret_ownership": op9_secret_ownership,
     "op10_positional_index": op10_positional_index,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
