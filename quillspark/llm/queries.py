@@ -75,6 +75,15 @@ def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.chatfmt import digest_conversations, format_conversations
+
+    said = "\\### Assistant: </turn> ok"
+    names = ["conv_id", "turn", "role", "text"]
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return digest_conversations(format_conversations(table(spark, sf_dir, "conversations").select(*names).unionByName(more)))
+
+
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.urlrep import url_verdicts
 
@@ -105,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_simhash_ball": op5_simhash_ball,
+    "op6_chat_template": op6_chat_template,
     "op8_host_reputation": op8_host_reputation,
     "op9_secret_ownership": op9_secret_ownership,
     "op10_positional_index": op10_positional_index,
