@@ -84,6 +84,12 @@ def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_conversations(format_conversations(table(spark, sf_dir, "conversations").select(*names).unionByName(more)))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.hpylm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.urlrep import url_verdicts
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_robust_outliers": op4_robust_outliers,
     "op5_simhash_ball": op5_simhash_ball,
     "op6_chat_template": op6_chat_template,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_host_reputation": op8_host_reputation,
     "op9_secret_ownership": op9_secret_ownership,
     "op10_positional_index": op10_positional_index,
