@@ -22,6 +22,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def text_version(text: Column) -> Column:
+    """Tells apart the texts of rows that share a doc_id; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

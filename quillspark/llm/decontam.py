@@ -232,3 +232,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, slop: int =
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     """A word was hit, and hits are a twentieth of the words or more."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
+    """The rows of `docs` that are not contaminated; rows that repeat a doc_id go together."""
+    bad = contamination(docs, items, size).filter(is_contaminated()).select(F.col("doc_id").alias("bad_doc")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc"))
+    return rows.join(bad, F.col("doc").eqNullSafe(F.col("bad_doc")), "left_anti").select("row.*")

@@ -45,3 +45,10 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> Dat
         n_lines.cast("bigint").alias("n_lines"),
         F.when(F.col("lost").isNull(), F.lit(0)).otherwise(F.size("lost")).cast("bigint").alias("n_dropped"),
     )
+
+
+def without_shared_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows of `docs` with the text that is left; n_chars, if there, follows it."""
+    found = dedup_lines(docs, min_length, min_docs)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return found.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))

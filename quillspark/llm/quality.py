@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACES, materialize
+from quillspark.llm.common import SPACES, materialize, text_version
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 #: Standard deviations below which no group's statistic is taken to vary.
@@ -38,8 +38,8 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every whole text; kept in the shared folder with a row number `rid`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
-    rows = docs.select("doc_id", "lang", "source", text.alias("text"), F.split(trimmed, _SPACE, -1).alias("w"))
-    rows = rows.select("doc_id", "lang", "source", "text", F.when(F.get("w", F.lit(0)) == "", F.array().cast("array<string>")).otherwise(F.col("w")).alias("w"))
+    rows = docs.select("doc_id", "lang", "source", text_version(F.col("text")).alias("version"), text.alias("text"), F.split(trimmed, _SPACE, -1).alias("w"))
+    rows = rows.select("doc_id", "lang", "source", "version", "text", F.when(F.get("w", F.lit(0)) == "", F.array().cast("array<string>")).otherwise(F.col("w")).alias("w"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     n = F.size("w")
     windows = F.when(n >= 9, F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.xxhash64(F.slice("w", i, F.lit(8)))))
@@ -47,6 +47,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        "version",
         n.cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))).cast("bigint").alias("n_symbols"),
@@ -58,6 +59,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        "version",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -160,4 +162,15 @@ def quality_verdicts(docs: DataFrame, min_group: int = 50) -> DataFrame:
     estimates = robust_estimates(keyed.select("key", *X))
     judged = _distance(keyed.join(estimates, "key", "left"))
     kept = ~base_failed() & (F.col("n").isNull() | (F.col("n") < 10 * H) | (F.col("d2") <= CUTOFF))
-    return judged.select("rid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "d2", kept.alias("kept"))
+    return judged.select("doc_id", "lang", "source", "version", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "d2", kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, min_group: int = 50) -> DataFrame:
+    """The rows of `docs` that are kept."""
+    names = ("doc_id", "lang", "source", "version")
+    kept = quality_verdicts(docs, min_group).filter("kept").select(*(F.col(c).alias(f"kept_{c}") for c in names))
+    rows = docs.select(F.struct("*").alias("row"), text_version(F.col("text")).alias("version"))
+    same = F.col("version") == F.col("kept_version")
+    for c in names[:3]:
+        same = same & F.col(f"row.{c}").eqNullSafe(F.col(f"kept_{c}"))
+    return rows.join(kept, same, "left_semi").select("row.*")

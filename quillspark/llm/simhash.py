@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_slices, materialize
+from quillspark.llm.common import doc_slices, materialize, text_version
 from quillspark.llm.components import components
 
 SEED = 42
@@ -62,13 +62,16 @@ def simhashes(texts: list[str], width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed number)."""
+    """doc_id, version (hash of the text) and fp (the fingerprint's 64 bits as a signed number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in doc_slices(batches, 1_500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(simhashes(texts, width).view(np.int64))], ["doc_id", "fp"])
+        for keys, texts in doc_slices(batches, 1_500_000):
+            ids, versions = ([k[name] for k in keys] for name in ("doc_id", "version"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(simhashes(texts, width).view(np.int64))], ["doc_id", "version", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_version(text).alias("version"))
+    return docs.select(key, text).mapInArrow(run, "doc_id bigint, version bigint, fp bigint")
 
 
 def ball(radius: int) -> np.ndarray:
@@ -165,11 +168,21 @@ def near_links(distinct: DataFrame, count: int, distance: int = 4, bucket_rows:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links of at most `distance` bits)."""
+    """doc_id, version, fp, root (a fingerprint that names the component) and component_id (the smallest doc_id in it)."""
     found = materialize(fingerprints(docs, width), "simhash")
     distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     roots = components(near_links(distinct, distinct.count(), distance))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("named_fp"), "component_id")
-    return found.join(named, found.fp == named.named_fp).select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select(F.col("fp").alias("named_fp"), "root", "component_id")
+    return found.join(named, found.fp == named.named_fp).select("doc_id", "version", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of `docs` without near copies: of each component the row with the smallest doc_id (then text hash) stays."""
+    found = near_duplicates(docs, width, distance)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "version")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("kept_doc"), F.col("k.version").alias("kept_version"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc"), text_version(F.col("text").cast("string")).alias("version"))
+    kept = rows.join(first, F.col("doc").eqNullSafe(F.col("kept_doc")) & (F.col("version") == F.col("kept_version")), "left_semi")
+    return kept.dropDuplicates(["doc", "version"]).select("row.*")
