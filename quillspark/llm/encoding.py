@@ -53,7 +53,7 @@ class _Places(dict):
 class ChunkEncoder:
     """Encode texts into one flat id array and its offsets. `remember`: chunks held before the memory starts anew."""
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 

@@ -14,8 +14,9 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -53,87 +54,124 @@ def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(sizes: list[int], room: int, most: int) -> list[list[int]]:
-    """Undominated ways to fill `room` from descending `sizes`, fullest first.
+class _Rest:
+    """The pieces not yet placed, as counts of distinct sizes; takes and puts back in place."""
+
+    def __init__(self, sizes: list[int]):
+        self.sizes = sorted(set(sizes))
+        self.counts = {s: 0 for s in self.sizes}
+        for s in sizes:
+            self.counts[s] += 1
+        self.total, self.left = sum(sizes), len(sizes)
+
+    def move(self, pieces: list[int], by: int) -> None:
+        for s in pieces:
+            self.counts[s] += by
+            self.total += by * s
+        self.left += by * len(pieces)
+
+    def below(self, limit: int, at: int | None = None) -> Iterator[int]:
+        """Distinct sizes still there, of at most `limit`, largest first."""
+        i = bisect_right(self.sizes, limit, 0, at) - 1
+        while i >= 0:
+            if self.counts[self.sizes[i]]:
+                yield self.sizes[i]
+            i -= 1
+
+    def largest(self) -> int:
+        return next(self.below(self.sizes[-1]))
+
+
+def _fillings(rest: _Rest, room: int, most: int, steps: int = 2_000) -> list[list[int]]:
+    """Undominated ways to fill `room`, fullest first.
 
     A filling is dominated if a piece outside it fits besides, or could take the place of a smaller piece inside, or of
-    two pieces inside. `most` bounds the fillings looked at."""
+    two pieces inside. `most` and `steps` bound the fillings kept and the pieces tried."""
     found: list[tuple[int, list[int]]] = []
-    seen: set[tuple[int, ...]] = set()
+    tried = 0
 
-    def grow(at: int, left: int, chosen: list[int]) -> None:
-        if len(found) >= most:
-            return
+    def grow(limit: int, left: int, chosen: list[int]) -> bool:
+        nonlocal tried
         extended = False
-        previous = -1
-        for i in range(at, len(sizes)):
-            if sizes[i] <= left and sizes[i] != previous:
-                extended, previous = True, sizes[i]
-                grow(i + 1, left - sizes[i], [*chosen, sizes[i]])
-                if len(found) >= most:
-                    return
-        if not extended and tuple(chosen) not in seen:
-            seen.add(tuple(chosen))
+        for s in list(islice(rest.below(min(limit, left)), most)):
+            tried += 1
+            if tried > steps or len(found) >= most:
+                return True
+            extended = True
+            rest.move([s], -1)
+            full = grow(s, left - s, [*chosen, s])
+            rest.move([s], 1)
+            if full:
+                return True
+        if not extended:
             found.append((left, chosen))
-
-    grow(0, room, [])
+            return left == 0  # nothing is fuller
+        return False
+
+    grow(room, room, [])
+    if not found:  # the steps ran out on the way down
+        chosen, left = [], room
+        while (s := next(rest.below(left), None)) is not None:
+            rest.move([s], -1)
+            chosen.append(s)
+            left -= s
+        rest.move(chosen, 1)
+        found = [(left, chosen)]
     kept = []
     for left, chosen in sorted(found, key=lambda x: (x[0], len(x[1]))):
-        rest = list(sizes)
-        for x in chosen:
-            rest.remove(x)
-        swaps = [*chosen, *(a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :])]
-        better = any(x <= left for x in rest) or any(s < x <= s + left for x in set(rest) for s in swaps)
+        rest.move(chosen, -1)
+        swaps = {*chosen, *(a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :])} if left else ()
+        better = next(rest.below(left), None) is not None or any(next(rest.below(s + left), 0) > s for s in swaps)
+        rest.move(chosen, 1)
         if not better:
             kept.append(chosen)
-    return kept or [found[0][1] if found else []]
+    return kept or [min(found)[1]]
+
 
+def pack_lengths(lengths: list[int], capacity: int, nodes: int | None = None, fillings: int = 24) -> list[list[int]]:
+    """Sequences as lists of positions in `lengths`.
 
-def pack_lengths(lengths: list[int], capacity: int, nodes: int = 2_000, fillings: int = 64) -> list[list[int]]:
-    """Sequences as lists of positions in `lengths`. `nodes`, `fillings`: how long the search may go on improving."""
+    `nodes`: sequences completed before the search ends with its incumbent (by default, four descents and 2000 more)."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     sizes = [lengths[i] for i in order]
-    if sizes and (sizes[0] > capacity or sizes[-1] < 0):
-        raise ValueError("a piece is longer than a sequence")
+    if sizes and (sizes[0] > capacity or sizes[-1] <= 0):
+        raise ValueError("a piece must have between 1 and `capacity` ids")
     best = _best_fit(sizes, capacity)
-    bound = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes), 1 if sizes else 0)
-    spent = 0
-
-    def search(rest: list[int], done: list[list[int]], waste: int) -> None:
-        nonlocal best, spent
-        if not rest:
-            if len(done) < len(best):
-                best = list(done)
-            return
-        spent += 1
-        need = len(done) + -(-sum(rest) // capacity)
-        if len(best) <= bound or spent > nodes or need >= len(best):
-            return
-        tail = _best_fit(rest, capacity)
-        if len(done) + len(tail) < len(best):
-            best = [*done, *tail]
-        allowed = (len(best) - 1) * capacity - sum(sizes)  # a better packing wastes no more than this
-        largest, others = rest[0], rest[1:]
-        for filling in _fillings(others, capacity - largest, fillings):
-            more = waste + capacity - largest - sum(filling)
-            if more > allowed:
-                continue
-            left = list(others)
-            for x in filling:
-                left.remove(x)
-            search(left, [*done, [largest, *filling]], more)
-            if len(best) <= bound or spent > nodes:
-                return
-
-    if len(best) > bound:
-        import sys
-
-        limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, 4 * len(best) + 1000))
-        try:
-            search(sizes, [], 0)
-        finally:
-            sys.setrecursionlimit(limit)
+    bound = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+    budget = nodes if nodes is not None else 4 * len(best) + 2_000
+    rest = _Rest(sizes)
+    whole = rest.total
+    done: list[list[int]] = []
+    # A frame: fillings still to try for the sequence around the largest piece left, and the waste before it.
+    frames: list[tuple[int, list[list[int]], int]] = []
+    waste = 0
+    opening = len(best) > bound
+    while opening or frames:
+        if len(best) <= bound or budget <= 0:
+            break
+        if opening and rest.left:
+            budget -= 1
+            big = rest.largest()
+            rest.move([big], -1)
+            frames.append((big, _fillings(rest, capacity - big, fillings)[::-1], waste))
+        elif opening and len(done) < len(best):
+            best = [list(b) for b in done]
+        big, options, waste = frames[-1]
+        if len(done) == len(frames):  # take back what was tried last
+            rest.move(done.pop()[1:], 1)
+        opening = False
+        while options:
+            filling = options.pop()
+            more = waste + capacity - big - sum(filling)
+            # A better packing wastes no more than this, and needs room for what is left.
+            if more <= (len(best) - 1) * capacity - whole and len(frames) + -(-(rest.total - sum(filling)) // capacity) < len(best):
+                rest.move(filling, -1)
+                done.append([big, *filling])
+                waste, opening = more, True
+                break
+        if not opening:
+            rest.move([big], 1)
+            frames.pop()
     by_size: dict[int, list[int]] = {}
     for i in reversed(order):
         by_size.setdefault(lengths[i], []).append(i)
