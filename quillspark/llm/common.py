@@ -62,8 +62,9 @@ def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the plan's size; it follows file sizes, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the plan's size, without a job. It follows file sizes; where it knows nothing, partitions count."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 54 else df.rdd.getNumPartitions() * (32 << 20)
 
 
 def text_slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
