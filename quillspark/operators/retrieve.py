@@ -12,6 +12,7 @@ from quillspark.functions.text import stitched, token_count, truncated, words
 from quillspark.operators.models import Reranker, rerank_scores
 from quillspark.operators.ranges import members, ranges
 from quillspark.operators.search import top_k
+from quillspark.session import materialize
 
 #: A payload without a field reads as this.
 DEFAULTS = {"video_id": "", "title": "", "url": "", "timecode": "", "start": 0.0, "end": 0.0, "chunk_index": 0, "n_chunks": 0, "section": "other", "text": ""}
@@ -139,9 +140,10 @@ def contexts(passages: DataFrame, config: RetrievalConfig) -> DataFrame:
 def retrieve(candidates: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), make_reranker: Callable[[], Reranker] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (query_id, query, chunk_id, score, rank) the passages, the contexts, and counters of each query."""
     rows = payload(candidates.filter(F.col("rank") <= config.pool).join(chunks.drop("score", "rank", "query"), "chunk_id"))
-    ranked = weighted(reranked(rows, config.rerank_top, make_reranker), config)
-    chosen = with_neighbors(top_videos(ranked, config.top_videos, config.per_video), payload(chunks), config.neighbor_radius)
-    passages = merged_passages(chosen, config)
+    # Each table below is read several times; at most `pool` rows a query are kept.
+    ranked = materialize(weighted(reranked(rows, config.rerank_top, make_reranker), config), "ranked")
+    chosen = materialize(top_videos(ranked, config.top_videos, config.per_video), "chosen")
+    passages = materialize(merged_passages(materialize(with_neighbors(chosen, payload(chunks), config.neighbor_radius), "filled"), config), "passages")
     counts = ranked.groupBy("query_id").agg(F.count("*").alias("candidates")).join(passages.groupBy("query_id").agg(F.count("*").alias("passages")), "query_id", "left")
     counters = counts.withColumns({"pool": F.lit(config.pool), "neighbor_radius": F.lit(config.neighbor_radius), "used_reranker": F.lit(make_reranker is not None)})
     return passages, contexts(passages, config), counters

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def conjunction(video_id: str | None = None, section: str | None = None, has_ingredients: bool | None = None) -> Column | None:
@@ -64,6 +65,7 @@ def dense_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     Queries go in blocks of QUERY_BLOCK; every task keeps its own k best of each query, so what is shuffled is k rows a
     query and task, whatever the size of the index."""
     kinds = dict(index.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(index.schema["chunk_id"].dataType), pa.float64()
     out = None
     for ids, vectors in _blocks(queries):
         sent = index.sparkSession.sparkContext.broadcast((ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)))
@@ -87,7 +89,7 @@ def dense_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
                 for q, qid in enumerate(ids):
                     best += [(qid, n, s) for n, s in zip(names[q], scores[q].tolist(), strict=True)]
                 columns = list(zip(*best, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in columns], ["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow, strict=True)], ["query_id", "chunk_id", "score"])
 
         found = index.select("chunk_id", "vector").mapInArrow(run, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
         out = found if out is None else out.unionByName(found)

@@ -16,6 +16,7 @@ from quillspark.operators.models import ChatClient, Embedder, Reranker, embed
 from quillspark.operators.retrieve import retrieve
 from quillspark.operators.search import search
 from quillspark.operators.timeline import clean_transcript
+from quillspark.session import materialize
 from quillspark.sources.sinks import not_yet
 
 
@@ -81,10 +82,10 @@ def build_index(chunk_table: DataFrame, make: Callable[[], Embedder]) -> tuple[D
 
 def search_queries(queries: DataFrame, vectors: DataFrame, postings: DataFrame, make: Callable[[], Embedder], config: RetrievalConfig) -> DataFrame:
     """Candidates of (query_id, query): query_id, query, chunk_id, score, rank."""
-    made = embed(queries, "query_id", "query", make)
+    made = materialize(embed(queries, "query_id", "query", make), "queries")
     dense, terms = made.select("query_id", F.col("dense").alias("vector")), made.select("query_id", F.explode("sparse").alias("term", "weight"))
     found = search(dense, terms, vectors, postings, config.pool, config.mode, config.search_overfetch, config.rrf_constant)
-    return found.join(queries, "query_id")
+    return materialize(found.join(queries, "query_id"), "candidates")
 
 
 def evaluate_retrieval(golden: DataFrame, chunk_table: DataFrame, vectors: DataFrame, postings: DataFrame, make: Callable[[], Embedder], config: RetrievalConfig = RetrievalConfig(), rank_k: int = 10, reranker: Callable[[], Reranker] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from quillspark.functions import jsontext, text as X
 from quillspark.operators import chunking, evaluate, retrieve, search, timeline
 from quillspark.operators.answer import other_sources, primary_source
 from quillspark.plans import jobs
-from quillspark.session import ship
+from quillspark.session import materialize, ship
 from quillspark.sources import connectors, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,8 +129,8 @@ def _weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _filled(spark: SparkSession, d: str) -> DataFrame:
-    chosen = retrieve.top_videos(_weighted(spark, d), SMALL.top_videos, SMALL.per_video)
-    return retrieve.with_neighbors(chosen, turns(spark, d).drop("conv_id"), 1)
+    chosen = materialize(retrieve.top_videos(_weighted(spark, d), SMALL.top_videos, SMALL.per_video), "chosen")
+    return materialize(retrieve.with_neighbors(chosen, turns(spark, d).drop("conv_id"), 1), "filled")
 
 
 # Text functions
@@ -176,13 +176,13 @@ cut AS (
   SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS part, span, list_sum(list_transform(p, lambda x: length(x))) AS total FROM parts WHERE len(p) >= 2
   UNION ALL SELECT doc_id, 0, text, span, greatest(length(text), 1) FROM parts WHERE len(p) < 2)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha256(part) AS digest,
-       round(coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * span / total, 3) AS start
+       round(coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * span / total, 6) AS start
 FROM cut""")
 def sentence_spread(spark, d):
     """X6, at full stops"""
     span = F.col("n_chars") / 15.0
     rows = read(spark, d, "documents").select("doc_id", F.posexplode(X.sentence_cues(F.col("text"), F.lit(0.0), span, r"\. ")).alias("pos", "c"))
-    return rows.select("doc_id", "pos", F.sha2("c.text", 256).alias("digest"), F.round("c.start", 3).alias("start"))
+    return rows.select("doc_id", "pos", F.sha2("c.text", 256).alias("digest"), F.round("c.start", 6).alias("start"))
 
 
 @query(r"""SELECT doc_id, sha256(CASE WHEN len(w) <= 50 THEN text ELSE array_to_string(w[1:50], ' ') || ' …' END) AS digest
@@ -420,7 +420,7 @@ def sentence_assemble(spark, d):
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) AS moment, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_id, ts FROM events),
 m AS (SELECT *, sum(CASE WHEN before IS NULL OR moment - before >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM e)
-SELECT user_id, s AS session, count(*) AS n FROM m GROUP BY ALL""")
+SELECT user_id, CAST(s AS BIGINT) AS session, count(*) AS n FROM m GROUP BY ALL""")
 def gap_sessions(spark, d):
     """W2, pauses alone"""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -899,7 +899,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents to chunks to postings; benchmark texts as questions; contexts within the budget."""
     from quillspark.operators.models import term_weights
 
-    chunks = _chunks(spark, d)
+    chunks = materialize(_chunks(spark, d), "chunks")
     postings = term_weights(chunks, "chunk_id", F.col("text"))
     asked = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
     terms = term_weights(asked, "query_id", F.col("query"))

@@ -10,6 +10,7 @@ from quillspark.operators.answer import answers, call_model, messages
 from quillspark.operators.models import HashEmbedder, OverlapReranker
 from quillspark.plans import jobs
 from quillspark.plans.facade import BadRequest, Service, check_request
+from quillspark.session import materialize
 from quillspark.sources import connectors, readers, sinks
 
 
@@ -139,8 +140,9 @@ def built(spark):
     cues = [(v, i, f"{word} номер {i} затем добавим соль и перец, потом перемешаем.", i * 4.0, 4.0) for v, word in (("a", "борщ"), ("b", "плов")) for i in range(60)]
     cues = spark.createDataFrame(cues, "video_id string, cue_idx int, text string, start double, duration double")
     videos = spark.createDataFrame([(v, t, ["p"], [p], True) for v, t, p in (("a", "Борщ", "Супы"), ("b", "Плов", "Мясо"))] + [("c", "x", [], [], False)], "video_id string, title string, playlist_ids array<string>, playlist_titles array<string>, is_recipe boolean")
-    chunk_table = jobs.build_chunks(cues, videos, cut=ChunkConfig(target=150, max=200, min=40, overlap=20)).cache()
-    vectors, postings = jobs.build_index(chunk_table, HashEmbedder)
+    chunk_table = jobs.build_chunks(cues, videos, cut=ChunkConfig(target=150, max=200, min=40, overlap=20))
+    chunk_table = materialize(chunk_table, "chunks")
+    vectors, postings = (materialize(x, "index") for x in jobs.build_index(chunk_table, HashEmbedder))
     return cues, videos, chunk_table, vectors, postings
 
 
