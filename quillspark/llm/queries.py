@@ -114,6 +114,65 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+OP6_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+  SELECT *, replace(replace(replace(replace(r, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS er,
+         replace(replace(replace(t, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS et FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || er || ': ' || et || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+_STRENGTH = """(SELECT CASE WHEN coalesce(room, 0) = 0 THEN 20.0::DOUBLE ELSE 1.0::DOUBLE / least(0.99, greatest(0.001, (seen - chance) / room)) - 1.0 END FROM (
+  SELECT sum(n * (bad / n::DOUBLE - m) * (bad / n::DOUBLE - m)) AS seen, sum(m * (1 - m)) AS chance, sum((n - 1) * m * (1 - m)) AS room FROM {0} WHERE n > 0))"""
+_ALPHABETS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP8_SQL = rf"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_ALPHABETS}) AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+known AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels GROUP BY doc_id),
+hosts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+  FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) FROM hosts) AS m FROM hosts GROUP BY suffix),
+shrunk1 AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM suffixes, (SELECT {_STRENGTH.format('suffixes')} AS k)),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM hosts JOIN shrunk1 USING (suffix) GROUP BY domain, suffix),
+shrunk2 AS (SELECT domain, suffix, (bad + k * m) / (n + k) AS m FROM domains, (SELECT {_STRENGTH.format('domains')} AS k)),
+placed AS (SELECT host, n, bad, m FROM hosts JOIN shrunk2 USING (domain, suffix)),
+posterior AS (SELECT host, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM placed, (SELECT {_STRENGTH.format('placed')} AS k)),
+judged AS (SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.5 AS blocked FROM posterior),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parsed)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN judged USING (host)
+"""
+
+_WORD_LIST = rf"regexp_extract_all(translate(coalesce(text, ''), {_ALPHABETS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORD_LIST} AS w FROM documents), b AS (SELECT item_id, {_WORD_LIST} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM item_windows) WHERE len(w) >= size)),
+found AS (SELECT p.doc_id, p.size, p.i, v.item_id FROM places p JOIN item_windows v ON v.size = p.size AND v.win = p.win),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_bits": op2_token_bits,
@@ -126,4 +185,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_ownership": op9_secret_ownership,
     "op10_positional_index": op10_positional_index,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_chat_template": OP6_SQL, "op8_host_reputation": OP8_SQL, "op10_positional_index": OP10_SQL}
