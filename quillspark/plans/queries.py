@@ -176,13 +176,13 @@ cut AS (
   SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS part, span, list_sum(list_transform(p, lambda x: length(x))) AS total FROM parts WHERE len(p) >= 2
   UNION ALL SELECT doc_id, 0, text, span, greatest(length(text), 1) FROM parts WHERE len(p) < 2)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha256(part) AS digest,
-       round(coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * span / total, 6) AS start
+       round(coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * span / total + 1e-9, 6) AS start
 FROM cut""")
 def sentence_spread(spark, d):
     """X6, at full stops"""
     span = F.col("n_chars") / 15.0
     rows = read(spark, d, "documents").select("doc_id", F.posexplode(X.sentence_cues(F.col("text"), F.lit(0.0), span, r"\. ")).alias("pos", "c"))
-    return rows.select("doc_id", "pos", F.sha2("c.text", 256).alias("digest"), F.round("c.start", 6).alias("start"))
+    return rows.select("doc_id", "pos", F.sha2("c.text", 256).alias("digest"), F.round(F.col("c.start") + 1e-9, 6).alias("start"))
 
 
 @query(r"""SELECT doc_id, sha256(CASE WHEN len(w) <= 50 THEN text ELSE array_to_string(w[1:50], ' ') || ' …' END) AS digest
