@@ -50,6 +50,22 @@ def statuses(videos: DataFrame, existing: DataFrame, fetched: DataFrame, drop_no
     return rows.select("video_id", "title", status.alias("status"), "error", "skip_reason")
 
 
+def punctuation_backend(requested: str, source: str, available: dict[str, Callable]) -> str:
+    """Which restorer to use: `auto` takes the first that can be made (labels, then text), none for recognised speech, which has marks."""
+    if requested != "auto":
+        return requested if requested in available else "none"
+    if source == "asr":
+        return "none"
+    for name in ("rupunct", "silero"):
+        if name in available:
+            try:
+                available[name]()
+            except Exception:  # noqa: BLE001  a model that cannot be made is passed over
+                continue
+            return name
+    return "none"
+
+
 def run_counters(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "rate_limited").alias("rate_limited"), F.count("*").alias("total"))
 

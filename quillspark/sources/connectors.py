@@ -182,6 +182,49 @@ def speech_cues(segments: DataFrame) -> DataFrame:
     return cut.select("video_id", (F.row_number().over(w) - 1).cast("int").alias("cue_idx"), "c.text", "c.start", "c.duration")
 
 
+class SpeechModel(Protocol):
+    def transcribe(self, path: str) -> list[tuple[str, float, float]]:
+        """(text, start, end) of each segment."""
+
+
+def transcribe_audio(files: DataFrame, make: Callable[[], SpeechModel]) -> DataFrame:
+    """Recognised segments of (video_id, path); the model is made once a worker. For speech_cues."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from quillspark.operators.models import _worker_model
+
+        model = _worker_model(make)
+        for frame in frames:
+            rows = [(v, i, t, float(a), float(b)) for v, p in zip(frame["video_id"], frame["path"], strict=True) for i, (t, a, b) in enumerate(model.transcribe(p))]
+            yield pd.DataFrame(rows, columns=["video_id", "seg_no", "text", "start", "end"])
+
+    return files.select("video_id", "path").mapInPandas(run, "video_id string, seg_no int, text string, start double, end double")
+
+
+def asr_fetcher(download: Callable[[str, str], list[str]], transcribe: Callable[[str], list[tuple[str, float, float]]], language: str, keep: str | None = None) -> Fetcher:
+    """A fetcher by speech recognition. `download` puts files for a video into a folder and lists them; the largest is heard.
+
+    The folder goes afterwards unless `keep` names one."""
+
+    def run(video_id: str) -> Transcript:
+        import os
+        import shutil
+        import tempfile
+
+        folder = keep or tempfile.mkdtemp(prefix="audio-")
+        try:
+            files = download(video_id, folder)
+            if not files:
+                raise TranscriptError(f"{video_id}: no audio")
+            found = transcribe(max(files, key=os.path.getsize))
+            return Transcript([(t.strip(), a, max(b - a, 0.0)) for t, a, b in found if t and t.strip()], language, True, "asr")
+        finally:
+            if not keep:
+                shutil.rmtree(folder, ignore_errors=True)
+
+    return run
+
+
 def playlist_entries(raw: DataFrame) -> DataFrame:
     """Entries with an id; a missing title is empty."""
     return raw.filter("video_id is not null and video_id != ''").withColumn("title", F.coalesce("title", F.lit("")))

@@ -204,3 +204,55 @@ def test_streams(spark, tmp_path):
     for number, batch in enumerate([[("a", 1), ("b", 1)], [("b", 2)], [("b", 2)]]):
         put(spark.createDataFrame(batch, "chunk_id string, x int"), number)
     assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/t/v2").collect())) == [("a", 1), ("b", 2)]
+
+
+def make_speech():
+    class Model:
+        def transcribe(self, path):
+            return [(f"Из {path}. Второе.", 0.0, 4.0), (" ", 4.0, 5.0)]
+
+    return Model()
+
+
+def test_speech(spark, tmp_path):
+    files = spark.createDataFrame([("v", "a.wav")], "video_id string, path string")
+    assert [r["text"] for r in connectors.speech_cues(connectors.transcribe_audio(files, make_speech)).collect()] == ["Из a.wav.", "Второе."]
+    kept = []
+
+    def download(video_id, folder):
+        import os
+
+        kept.append(folder)
+        for name, size in (("a", 3), ("b", 9)):
+            with open(f"{folder}/{name}", "wb") as f:
+                f.write(bytes(size))
+        return [f"{folder}/{n}" for n in sorted(os.listdir(folder))]
+
+    fetch = connectors.asr_fetcher(download, lambda p: [(p[-1], 1.0, 0.5)], "ru")
+    assert fetch("v").cues == [("b", 1.0, 0.0)]
+    import os
+
+    assert not os.path.exists(kept[0])
+    connectors.asr_fetcher(download, lambda p: [("x", 0, 1)], "ru", str(tmp_path))("v")
+    assert os.path.exists(tmp_path / "b")
+
+
+def test_punctuation_backend():
+    def broken():
+        raise RuntimeError
+
+    assert jobs.punctuation_backend("auto", "ytdlp", {"rupunct": broken, "silero": lambda: 1}) == "silero"
+    assert jobs.punctuation_backend("auto", "asr", {"silero": lambda: 1}) == "none"
+    assert jobs.punctuation_backend("silero", "asr", {"silero": lambda: 1}) == "silero"
+
+
+def test_command_line(spark, built, tmp_path, capsys):
+    from quillspark.__main__ import main
+
+    _, _, chunk_table, _, _ = built
+    chunk_table.write.parquet(f"{tmp_path}/chunks")
+    assert main(["index", "--chunks", f"{tmp_path}/chunks", "--out", f"{tmp_path}/index"]) == 0
+    capsys.readouterr()
+    assert main(["search", "--chunks", f"{tmp_path}/chunks", "--index", f"{tmp_path}/index", "--query", "плов", "-k", "2"]) == 0
+    assert len(json.loads(capsys.readouterr().out)) == 2
+    assert main(["search", "--chunks", f"{tmp_path}/chunks", "--index", f"{tmp_path}/index", "--query", "п"]) == 2
