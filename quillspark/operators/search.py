@@ -43,8 +43,8 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_id"
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-#: Queries multiplied with the index at a time; their vectors are all that is sent to every task.
-QUERY_BLOCK = 4096
+#: Queries multiplied with the index at a time, all that is sent to every task; and rows of the index at a time.
+QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
@@ -72,24 +72,21 @@ def dense_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, unit = sent.value
-            best: list[tuple] = []
-            names = scores = None
+            names, scores = np.empty((len(ids), 0), object), np.empty((len(ids), 0))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
-                new = np.round(unit @ rows.T, 9)
-                named = np.array(batch.column(0).to_pylist(), object)
-                names = named[None, :].repeat(len(ids), 0) if names is None else np.concatenate([names, named[None, :].repeat(len(ids), 0)], 1)
-                scores = new if scores is None else np.concatenate([scores, new], 1)
-                order = np.array([sorted(range(scores.shape[1]), key=lambda j: (-scores[q, j], names[q, j]))[:k] for q in range(len(ids))]) if scores.shape[1] <= 4 * k else _best(names, scores, k)
-                names, scores = np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
-            if names is not None:
-                for q, qid in enumerate(ids):
-                    best += [(qid, n, s) for n, s in zip(names[q], scores[q].tolist(), strict=True)]
-                columns = list(zip(*best, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow, strict=True)], ["query_id", "chunk_id", "score"])
+                for at in range(0, batch.num_rows, ROW_BLOCK):
+                    part = batch.slice(at, ROW_BLOCK)
+                    rows = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
+                    named, new = np.array(part.column(0).to_pylist(), object)[None, :], np.round(unit @ rows.T, 9)
+                    picked = _best(np.broadcast_to(named, new.shape), new, k)
+                    names = np.concatenate([names, np.take_along_axis(np.broadcast_to(named, new.shape), picked, 1)], 1)
+                    scores = np.concatenate([scores, np.take_along_axis(new, picked, 1)], 1)
+                    picked = _best(names, scores, k)
+                    names, scores = np.take_along_axis(names, picked, 1), np.take_along_axis(scores, picked, 1)
+            if names.size:
+                best = [(qid, n, s) for q, qid in enumerate(ids) for n, s in zip(names[q], scores[q].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*best, strict=True), arrow, strict=True)], ["query_id", "chunk_id", "score"])
 
         found = index.select("chunk_id", "vector").mapInArrow(run, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
         out = found if out is None else out.unionByName(found)
@@ -100,6 +97,7 @@ def dense_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 def _best(names: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each row, by score and then name; ties at the edge are looked at whole."""
+    k = min(k, scores.shape[1])
     edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
     out = []
     for q in range(len(scores)):

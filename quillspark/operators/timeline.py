@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import CleanConfig, one_of
-from quillspark.functions.text import clean_line, deep_link, ends_sentence, norm_word, resegmented, tidy_sentence, timecode, words
+from quillspark.functions.text import SENTENCE_BREAK, clean_line, deep_link, ends_sentence, norm_word, resegmented, strip, tidy_sentence, timecode, words
 from quillspark.operators.ranges import members, ranges
 
 
@@ -139,6 +139,21 @@ def label_windows(tokens: DataFrame, size: int = 150, stride: int = 110) -> Data
     return rows.withColumns({"position": F.col("word_idx") - start, "centrality": central}).drop("n")
 
 
+def spread_sentences(rows: DataFrame, keys: list[str], pattern: str = SENTENCE_BREAK) -> DataFrame:
+    """X6 for texts of any length: keys, pos, text, start, duration of each sentence of (text, start, end).
+
+    As sentence_cues, by exploding and a running sum. `keys` name a row."""
+    parts = F.filter(F.transform(F.split("text", pattern, -1), strip), lambda p: p != "")
+    span = F.greatest(F.col("end") - F.col("start"), F.lit(0.0))
+    cut = F.when(F.size(parts) < 2, F.array("text")).otherwise(parts)
+    rows = rows.select(*keys, F.col("start").alias("begin"), span.alias("span"), F.posexplode(cut).alias("pos", "text"))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum(F.length("text")).over(whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_char = F.col("span") / F.greatest(F.sum(F.length("text")).over(whole), F.lit(1))
+    alone = F.count("*").over(whole) == 1
+    return rows.select(*keys, "pos", "text", (F.col("begin") + before * per_char).alias("start"), F.when(alone, F.col("span")).otherwise(F.length("text") * per_char).alias("duration"))
+
+
 def best_labels(labelled: DataFrame) -> DataFrame:
     """Of each word the label from the window where it is most central; the earlier window wins a tie."""
     return labelled.groupBy("video_id", "word_idx").agg(F.max_by("label", F.struct("centrality", (-F.col("window")).alias("w"))).alias("label"))

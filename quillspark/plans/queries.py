@@ -180,9 +180,9 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha256(part) AS digest,
 FROM cut""")
 def sentence_spread(spark, d):
     """X6, at full stops"""
-    span = F.col("n_chars") / 15.0
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(X.sentence_cues(F.col("text"), F.lit(0.0), span, r"\. ")).alias("pos", "c"))
-    return rows.select("doc_id", "pos", F.sha2("c.text", 256).alias("digest"), F.round(F.col("c.start") + 1e-9, 6).alias("start"))
+    rows = read(spark, d, "documents").select("doc_id", "text", F.lit(0.0).alias("start"), (F.col("n_chars") / 15.0).alias("end"))
+    rows = timeline.spread_sentences(rows, ["doc_id"], r"\. ")
+    return rows.select("doc_id", "pos", F.sha2("text", 256).alias("digest"), F.round(F.col("start") + 1e-9, 6).alias("start"))
 
 
 @query(r"""SELECT doc_id, sha256(CASE WHEN len(w) <= 50 THEN text ELSE array_to_string(w[1:50], ' ') || ' …' END) AS digest

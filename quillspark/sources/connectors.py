@@ -172,14 +172,15 @@ def cues_of(fetched: DataFrame) -> DataFrame:
 
 def speech_cues(segments: DataFrame) -> DataFrame:
     """Recognised speech (video_id, seg_no, text, start, end) cut into sentence cues; blank segments go."""
-    from quillspark.functions.text import sentence_cues, strip
-
-    rows = segments.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter("text != ''")
-    cut = rows.select("video_id", "seg_no", F.posexplode(sentence_cues(F.col("text"), F.col("start"), F.col("end"))).alias("pos", "c"))
     from pyspark.sql import Window
 
+    from quillspark.functions.text import strip
+    from quillspark.operators.timeline import spread_sentences
+
+    rows = segments.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter("text != ''")
+    cut = spread_sentences(rows, ["video_id", "seg_no"])
     w = Window.partitionBy("video_id").orderBy("seg_no", "pos")
-    return cut.select("video_id", (F.row_number().over(w) - 1).cast("int").alias("cue_idx"), "c.text", "c.start", "c.duration")
+    return cut.select("video_id", (F.row_number().over(w) - 1).cast("int").alias("cue_idx"), "text", "start", "duration")
 
 
 class SpeechModel(Protocol):
