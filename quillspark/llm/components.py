@@ -18,6 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:  # smaller neighbours; they and the node itself are linked to the least
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = materialize(least, "least")  # by itself, so that the join has its own exchange and a hub's edges can be split
     joined = near.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

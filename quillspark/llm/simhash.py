@@ -1,11 +1,12 @@
 r"""Operator 5: SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two 64-bit fingerprints differ in at most 2r bits just when the balls of radius r around them meet. Every distinct
-fingerprint stands for all 2081 variants within 2 bits; variants meet in buckets of a linear hash. Because the hash is
-linear (`H(x ^ mask) = H(x) ^ H(mask)`), a fingerprint is sent once to each bucket that any of its variants falls in,
-and the bucket rebuilds those variants from it: the shuffle carries fingerprints, not variants. In a bucket, equal
-variants are found by sorting, colliding pairs are verified, and a spanning forest of the links leaves the bucket, never
-all pairs of a group. Texts with equal fingerprints are merged before; components join the rest.
+fingerprint stands for all 2081 variants within 2 bits; variants meet in buckets, a bucket being the value of k chosen
+bits. A variant's bucket differs from its fingerprint's in the chosen bits that were flipped, so all variants of a
+fingerprint lie in 1 + k + k(k - 1) / 2 buckets: the fingerprint is sent once to each, and the bucket rebuilds its
+variants there. The shuffle carries fingerprints, not variants. In a bucket, equal variants are found by sorting,
+colliding pairs are verified, and a spanning forest of the links leaves the bucket, never all pairs of a group. Texts
+with equal fingerprints are merged before; components join the rest.
 
 The number of buckets follows the number of distinct fingerprints, so that a bucket holds a bounded number of them; a
 bucket works through its variants in slices of bounded size.
@@ -79,11 +80,11 @@ def ball(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)], np.uint64)
 
 
-def linear_hash(x: np.ndarray, bits: int) -> np.ndarray:
-    """`bits` parities of fixed random subsets of the 64 bits."""
+def projected(x: np.ndarray, positions: list[int]) -> np.ndarray:
+    """The bits of x at `positions`, as a number."""
     out = np.zeros(x.shape, np.int64)
-    for j, key in enumerate(np.random.default_rng(5).integers(1, 1 << 63, 60, dtype=np.uint64)[:bits]):
-        out |= (np.bitwise_count(x & key).astype(np.int64) & 1) << j
+    for j, p in enumerate(positions):
+        out |= ((x >> np.uint64(p)) & np.uint64(1)).astype(np.int64) << j
     return out
 
 
@@ -103,14 +104,18 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = shorter
 
 
-def bucket_links(fps: np.ndarray, bucket: int, bits: int, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, least linked fingerprint) that meet in one bucket; `most` variants are held at a time."""
+def bucket_links(fps: np.ndarray, bucket: int, bits: int, positions: list[int], radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, least linked fingerprint) that meet in one bucket; `most` variants are held at a time.
+
+    The bucket is a value of the first `bits` of `positions`; more of them cut it into slices."""
     fps = np.unique(fps)
+    if len(fps) < 2:
+        return fps[:0], fps[:0]
     masks = ball(radius)
     finer = 0
-    while (len(fps) * len(masks)) >> (bits + finer) > most and bits + finer < 40:
+    while (len(fps) * len(masks)) >> finer > most and finer < 20 and bits + finer < len(positions):
         finer += 1
-    of_mask, of_fp = linear_hash(masks, bits + finer), linear_hash(fps, bits + finer)
+    of_mask, of_fp = (projected(x, positions[: bits + finer]) for x in (masks, fps))
     order = np.argsort(of_mask, kind="stable")
     classes, first = np.unique(of_mask[order], return_index=True)
     groups = dict(zip(classes.tolist(), np.split(order, first[1:]), strict=True))
@@ -139,29 +144,34 @@ def bucket_links(fps: np.ndarray, bucket: int, bits: int, radius: int, most: int
     return fps[linked], fps[label[linked]]
 
 
-def near_links(distinct: DataFrame, count: int, distance: int = 4, bucket_rows: int = 8_000_000, most: int = 8_000_000) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of `fp` within `distance` bits. `count`: rows of `distinct`."""
+def near_links(distinct: DataFrame, count: int, distance: int = 4, bucket_rows: int = 250_000, most: int = 8_000_000) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of `fp` within `distance` bits. `count`: rows of `distinct`.
+
+    The number of buckets is the least power of two that gives about `bucket_rows` fingerprints each. Bits that are set
+    in nearest to half of all fingerprints come first, so that buckets are even."""
     radius = -(-distance // 2)
     if distance % 2:
         raise ValueError("the distance must be even")
     masks = ball(radius)
+    ones = distinct.agg(*(F.sum(F.shiftright("fp", j).bitwiseAND(F.lit(1))) for j in range(64))).first()
+    positions = sorted(range(64), key=lambda j: (abs(2 * (ones[j] or 0) - count), j))
     bits = 6
-    while count * min(1.0, len(masks) / (1 << bits)) > bucket_rows:
+    while bits < 40 and count * len(np.unique(projected(masks, positions[:bits]))) > bucket_rows << bits:
         bits += 1
-    reach = np.unique(linear_hash(masks, bits))
+    reach = np.unique(projected(masks, positions[:bits]))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(fps), 4096):
                 part = fps[at : at + 4096]
-                buckets = (linear_hash(part.view(np.uint64), bits)[:, None] ^ reach[None, :]).ravel()
+                buckets = (projected(part.view(np.uint64), positions[:bits])[:, None] ^ reach[None, :]).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.repeat(part, len(reach)))], ["bucket", "fp"])
 
     def meet(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         fps = rows.column("fp").to_numpy().view(np.uint64)
-        u, v = bucket_links(fps, bucket, bits, radius, most)
+        u, v = bucket_links(fps, bucket, bits, positions, radius, most)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
     return distinct.select("fp").mapInArrow(spread, "bucket bigint, fp bigint").groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")

@@ -94,7 +94,7 @@ def test_simhash(docs, none):
 
 
 def test_ball_meets_every_close_pair():
-    from quillspark.llm.simhash import bucket_links, forest
+    from quillspark.llm.simhash import ball, bucket_links, forest, projected
 
     rng = np.random.default_rng(1)
     fps = [np.uint64(x) for x in rng.integers(0, 1 << 63, 40, dtype=np.uint64)]
@@ -105,9 +105,14 @@ def test_ball_meets_every_close_pair():
     fps = np.unique(np.array(fps, np.uint64))
     close = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
     want = forest(len(fps), np.array([a for a, _ in close]), np.array([b for _, b in close]))
-    u, v = (np.concatenate(x) for x in zip(*(bucket_links(fps, b, 6, 2, 500) for b in range(64)), strict=True))
-    got = forest(len(fps), np.searchsorted(fps, u), np.searchsorted(fps, v))
-    assert (got == want).all()
+    for bits, most in ((6, 500), (6, 10**6), (9, 10**4)):
+        positions = rng.permutation(64).tolist()
+        # Each bucket gets the fingerprints of which some variant lies there.
+        reach, homes = np.unique(projected(ball(2), positions[:bits])), projected(fps, positions[:bits])
+        sent = [fps[np.isin(homes ^ b, reach)] for b in range(1 << bits)]
+        u, v = (np.concatenate(x) for x in zip(*(bucket_links(f, b, bits, positions, 2, most) for b, f in enumerate(sent)), strict=True))
+        got = forest(len(fps), np.searchsorted(fps, u), np.searchsorted(fps, v))
+        assert (got == want).all()
 
 
 def test_secrets(docs, none):
