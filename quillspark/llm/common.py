@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import ship
+from quillspark.session import shared_dir, ship
 
 #: `[\x20\x09-\x0D]`, the white space of every contract.
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,18 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only in local mode, where it may be unset."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/quill-{tag}-{uuid.uuid4().hex}"
