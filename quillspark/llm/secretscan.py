@@ -3,9 +3,9 @@ r"""Operator 9: secret scans by corpus-wide ownership frequency, with DataFrame
 Three patterns give the base spans. Positions come from one pass each: the pieces between matches (split) and the
 matches themselves (extract all) alternate, so running lengths give every start and end in code points.
 
-Beyond them, long mixed tokens are candidates. The hash of every candidate is counted over the whole corpus by distinct
+Long mixed tokens are candidates, within base spans and beside them. The hash of every candidate is counted over the whole corpus by distinct
 owner (source) and repository (document): a value that several owners hold is a copied example, a value that one owner
-alone holds, in few repositories, looks live and is added as a span of kind `owned`. Only hashes are shuffled, distinct
+alone holds, in few repositories, looks live and is added as a span of kind `owned` (over a base span, or of its own). Only hashes are shuffled, distinct
 triples first, so a value that a third of all documents hold is spread and then added up map-side.
 
 Defined results: null or empty texts have no spans; a null owner counts as one owner; rows that repeat a doc_id count as
@@ -64,11 +64,10 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def secret_spans(docs: DataFrame, max_owners: int = 1, max_repositories: int = 3, min_distinct: int = 8) -> DataFrame:
     """doc_id, base and spans (base and added), each an ordered array of (start, kind, end)."""
     found = scan(docs)
-    candidates = found.select("rid", F.col("source").alias("owner"), F.col("doc_id").alias("repository"), "base", F.explode("more").alias("span"))
-    overlap = F.exists("base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"]))
+    candidates = found.select("rid", F.col("source").alias("owner"), F.col("doc_id").alias("repository"), F.explode("more").alias("span"))
     varied = F.size(F.array_distinct(F.split(F.col("span.value"), ""))) >= min_distinct
     mixed = F.regexp_like(F.col("span.value"), F.lit("[0-9]")) & F.regexp_like(F.col("span.value"), F.lit("[A-Za-z]"))
-    candidates = candidates.filter(~overlap & varied & mixed).select("rid", "owner", "repository", "span.start", "span.end", F.xxhash64("span.value").alias("h1"), F.xxhash64(F.lit(7), F.col("span.value")).alias("h2"))
+    candidates = candidates.filter(varied & mixed).select("rid", "owner", "repository", "span.start", "span.end", F.xxhash64("span.value").alias("h1"), F.xxhash64(F.lit(7), F.col("span.value")).alias("h2"))
     rare = ownership(candidates).filter((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     added = candidates.join(rare, ["h1", "h2"]).groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("added")).select(F.col("rid").alias("rid2"), "added")
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
