@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACES, ascii_lower
+from quillspark.llm.common import SPACES, ascii_lower, materialize
 
 
 def line_key(line: Column) -> Column:
@@ -33,6 +33,7 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> Dat
     place = base.select("doc", "version", F.posexplode("lines").alias("pos", "line")).select("doc", "version", "pos", line_key(F.col("line")).alias("key"))
     place = place.filter(F.length("key") >= min_length).select("doc", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
     shared = place.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("keeper")).filter(F.col("n_docs") >= min_docs).drop("n_docs")
+    shared = materialize(shared, "shared")  # by itself, so that the join below has its own exchange and its hot keys can be split
     lost = place.join(shared, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy("doc", "version").agg(F.collect_set("pos").alias("lost")).select(F.col("doc").alias("lost_doc"), F.col("version").alias("lost_version"), "lost")
     joined = base.join(lost, F.col("doc").eqNullSafe(F.col("lost_doc")) & (F.col("version") == F.col("lost_version")), "left")
