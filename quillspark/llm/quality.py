@@ -126,25 +126,34 @@ def _estimates(frame: DataFrame, *keys: str) -> DataFrame:
     return materialize(solved.select(*keys, "n", *MEAN, F.col("solved.m").alias("precision"), "solved.logdet"), "estimates")
 
 
+#: Groups up to this number are sent to every task (under 10 MB); more are joined by shuffling.
+FEW_GROUPS = 20_000
+
+
+def _groups(table: DataFrame) -> DataFrame:
+    """A stored table of groups, to be joined: broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= FEW_GROUPS else table
+
+
 def _near(frame: DataFrame, d2: str, *keys: str) -> DataFrame:
     """The share H of each group with the smallest distances."""
     bound = materialize(frame.groupBy(*keys).agg(F.percentile_approx(d2, F.lit(H), F.lit(10_000)).alias("bound")), "bounds")
-    return frame.join(bound, list(keys)).filter(F.col(d2) <= F.col("bound")).drop("bound")
+    return frame.join(_groups(bound), list(keys)).filter(F.col(d2) <= F.col("bound")).drop("bound")
 
 
 def robust_estimates(vectors: DataFrame, steps: int = 3) -> DataFrame:
     """`key`, n, mean and covariance of each group, by concentration from two starts."""
     mids = vectors.groupBy("key").agg(*(F.percentile_approx(x, F.lit(0.5), F.lit(10_000)).alias(m) for x, m in zip(X, MEAN, strict=True)))
     mids = materialize(mids, "medians")
-    spread = vectors.join(mids, "key").groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(m)), F.lit(0.5), F.lit(10_000)).alias(f"a{i}") for i, (x, m) in enumerate(zip(X, MEAN, strict=True))))
+    spread = vectors.join(_groups(mids), "key").groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(m)), F.lit(0.5), F.lit(10_000)).alias(f"a{i}") for i, (x, m) in enumerate(zip(X, MEAN, strict=True))))
     starts = materialize(mids.join(spread, "key"), "starts")
-    first = vectors.join(starts, "key")
+    first = vectors.join(_groups(starts), "key")
     # Start 0 scales each statistic by its median deviation, start 1 by the floor alone.
     scaled = [sum((((F.col(x) - F.col(m)) / s) ** 2 for x, m, s in zip(X, MEAN, scale, strict=True)), F.lit(0.0)) for scale in ([F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + f * f) for i, f in enumerate(FLOORS)], [F.lit(f) for f in FLOORS])]
     both = first.select("key", *X, F.explode(F.array(*(F.struct(F.lit(k).alias("start"), d.alias("d2")) for k, d in enumerate(scaled)))).alias("s")).select("key", *X, "s.*")
     estimates = _estimates(_near(both, "d2", "key", "start"), "key", "start")
     for _ in range(steps):
-        placed = _distance(vectors.join(estimates, "key")).select("key", "start", *X, "d2")
+        placed = _distance(vectors.join(_groups(estimates), "key")).select("key", "start", *X, "d2")
         estimates = _estimates(_near(placed, "d2", "key", "start"), "key", "start")
     best = estimates.groupBy("key").agg(F.min_by(F.struct("n", *MEAN, "precision"), F.struct("logdet", "start")).alias("e"))
     return materialize(best.select("key", "e.*"), "best")
@@ -158,9 +167,9 @@ def quality_verdicts(docs: DataFrame, min_group: int = 50) -> DataFrame:
     many2 = materialize(counted.groupBy("k2", "k1").count().withColumnRenamed("count", "n2"), "groups")
     many1 = many2.groupBy("k1").agg(F.sum(F.when(F.col("n2") < min_group, F.col("n2"))).alias("n1"))
     named = many2.join(many1, "k1").select("k2", F.when(F.col("n2") >= min_group, F.col("k2")).when(F.col("n1") >= min_group, F.col("k1")).otherwise("*").alias("key"))
-    keyed = counted.join(materialize(named, "keys"), "k2").drop("k1", "k2")
+    keyed = counted.join(_groups(materialize(named, "keys")), "k2").drop("k1", "k2")
     estimates = robust_estimates(keyed.select("key", *X))
-    judged = _distance(keyed.join(estimates, "key", "left"))
+    judged = _distance(keyed.join(_groups(estimates), "key", "left"))
     kept = ~base_failed() & (F.col("n").isNull() | (F.col("n") < 10 * H) | (F.col("d2") <= CUTOFF))
     return judged.select("doc_id", "lang", "source", "version", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "d2", kept.alias("kept"))
 
