@@ -1,17 +1,18 @@
 r"""Operator 7: language-model scores by a hierarchical Pitman-Yor model.
 
-Each context (the class of the word before: its last three bytes, hashed to CLASSES; or the start of a document) is a
-restaurant; all share the unigram restaurant as their parent, whose own parent is uniform over the known words and one
-for all others. Seatings are sampled by Gibbs sweeps: every customer of a (context, word) takes its seat anew given the
-other contexts' tables of the sweep before; tables send customers to the parent, which is reseated likewise. Predictive
-probabilities are averaged over the sweeps after burn-in.
+Each context (the whole word before, by its 64-bit hash; or the start of a document) is a restaurant; all share the
+unigram restaurant as their parent, whose own parent is uniform over the known words and one for all others. Seatings
+are sampled by Gibbs sweeps: every customer of a (context, word) takes its seat anew given the other contexts' tables of
+the sweep before; tables send customers to the parent, which is reseated likewise. Predictive probabilities are averaged
+over the sweeps after burn-in.
 
 How it is spread: a shard (a run of documents in one task) counts its distinct (word, context) pairs once, so the most
-frequent word is one entry a shard. Pairs meet by word hash in buckets whose number follows the input, so one bucket
-holds all restaurants' counts of its words, and the words' parent seats. A sweep is one pass over the buckets; what
-buckets exchange are the table totals of contexts (CLASSES numbers). Sweeps draw from generators seeded by bucket and
-sweep, so a lost task replays the same seats, and no seating is stored. Answers go back to shards, where each document
-sums its tokens.
+frequent word is one entry a shard and context. Pairs meet by word hash in buckets whose number follows the input, so
+one bucket holds all restaurants' counts of its words, and the words' parent seats. Contexts grow with the corpus: their
+customers and tables are summed in ranges of context hashes, as many as there are buckets, and each bucket gets back the
+sums of the contexts it holds (`route`, `exchange`); only the root's totals reach the driver. Sweeps draw from generators
+seeded by bucket and sweep, so a lost task replays the same seats, and no seating is stored. Answers go back to shards,
+where each document sums its tokens.
 
 Tokens: words `[^\x20\x09-\x0D]+` with A-Z lowered, then one end. Documents whose crc32(doc_id as text) mod 5 is not 1
 are learnt. Defined results: null or empty texts hold the end alone; a null doc_id is the empty text; repeated rows
@@ -23,17 +24,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import doc_slices, input_bytes, materialize
 
-CLASSES = 1024
+#: A space is in no word, so its hash stands for the start of a document.
+START = b" "
 SWEEPS, BURN_IN = 3, 1
 THETA0 = THETA1 = 1.0
 
@@ -50,6 +53,11 @@ def squeeze(values: np.ndarray) -> bytes:
     return head + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
+def small(values: np.ndarray) -> bytes:
+    """Counts or places, compressed in the smallest kind that holds them all."""
+    return squeeze(values.astype(np.min_scalar_type(int(values.max(initial=0)))))
+
+
 def expand(data: bytes) -> np.ndarray:
     kind, n = np.dtype(data[:4].decode().strip()), int.from_bytes(data[4:12], "little")
     planes = pa.decompress(data[12:], n * kind.itemsize, codec="zstd", asbytes=True) if n else b""
@@ -74,25 +82,28 @@ def shard_rows(ids: list, texts: list[str], shard: int, buckets: int) -> list[tu
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     flat = np.concatenate(tokens)
     hashes = np.fromiter(map(xxh64_intdigest, local), np.uint64, len(local))
-    classes = np.fromiter((1 + zlib.crc32(w[-3:]) % (CLASSES - 1) for w in local), np.int64, len(local))
+    # Contexts in order of their hash, the start of a document among them.
+    places = np.append(hashes, np.uint64(xxh64_intdigest(START))).view(np.int64)
+    contexts = np.sort(places)
+    by_hash = np.searchsorted(contexts, places)
     before = np.empty_like(flat)
-    before[1:] = classes[flat[:-1]]
-    before[np.cumsum(sizes) - sizes] = 0
+    before[1:] = by_hash[flat[:-1]]
+    before[np.cumsum(sizes) - sizes] = by_hash[-1]
     # Words in order of (bucket, hash); pairs in that order, then by context.
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((hashes, bucket))
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    pairs, place = np.unique(rank[flat] * CLASSES + before, return_inverse=True)
+    pairs, place = np.unique(rank[flat] * len(contexts) + before, return_inverse=True)
     learnt = np.repeat([not held_out(d) for d in ids], sizes)
     counts = np.bincount(place[learnt], minlength=len(pairs)).astype(np.uint32)
-    word, context = pairs // CLASSES, (pairs % CLASSES).astype(np.uint16)
+    word, context = pairs // len(contexts), contexts[pairs % len(contexts)]
     of_pair = bucket[order][word]
     rows = [("doc", shard, -1, np.array([d or 0 for d in ids], "<i8").tobytes(), np.array([d is None for d in ids]).tobytes(), squeeze(sizes.astype(np.uint32)), squeeze(place.astype(np.uint32)))]
     edges = np.flatnonzero(np.r_[True, of_pair[1:] != of_pair[:-1]])
     for a, b in zip(edges, np.r_[edges[1:], len(pairs)], strict=True):
         words, per_word = np.unique(word[a:b], return_counts=True)
-        rows.append(("req", shard, int(of_pair[a]), squeeze(hashes[order][words]), squeeze(per_word.astype(np.uint16)), squeeze(context[a:b]), squeeze(counts[a:b])))
+        rows.append(("req", shard, int(of_pair[a]), squeeze(hashes[order][words]), small(per_word), squeeze(context[a:b]), small(counts[a:b])))
     return rows
 
 
@@ -111,38 +122,50 @@ def gather(docs: DataFrame, buckets: int, chars: int = 8_000_000) -> DataFrame:
     return materialize(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, ROWS), "pairs", partition_by="kind")
 
 
-MODEL = "bucket bigint, words binary, per_word binary, contexts binary, counts binary, n_pairs bigint, tokens bigint, singles bigint, doubles bigint, few1 bigint, few2 bigint, shards array<bigint>, requests array<binary>, request_sizes array<array<bigint>>"
+MODEL = "bucket bigint, words binary, per_word binary, contexts binary, counts binary, places binary, new_words binary, new_contexts binary, learnt binary, n_words bigint, n_pairs bigint, tokens bigint, singles bigint, doubles bigint, few1 bigint, few2 bigint, shards array<bigint>, requests array<binary>, request_sizes array<bigint>"
 
 
 def merge_bucket(rows: pa.Table) -> pa.Table:
-    """All shards' counts of one bucket, beside the shards' requests."""
+    """All shards' counts of one bucket, beside the shards' requests.
+
+    Contexts are numbered within the bucket; `places` holds their hashes. A request is the steps between its places among
+    all asked pairs, of which `learnt` marks those with counts; the others are in `new_words` (1 + word, or 0) and `new_contexts`."""
     data = [rows.column(c).to_pylist() for c in ("a", "b", "c", "d")]
     words, contexts, counts = [], [], []
     for a, b, c, d in zip(*data, strict=True):
         words.append(np.repeat(expand(a), expand(b)))
         contexts.append(expand(c))
         counts.append(expand(d))
+    del data
+    sizes = [len(w) for w in words]
     word, context, count = np.concatenate(words), np.concatenate(contexts), np.concatenate(counts).astype(np.int64)
     del words, contexts, counts
-    seen = count > 0
-    word, context, count = word[seen], context[seen], count[seen]
     order = np.lexsort((context, word))
     word, context, count = word[order], context[order], count[order]
-    head = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])]) if len(word) else np.empty(0, np.int64)
+    first = np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])][: len(word)]
+    asked = np.empty(len(word), np.int64)
+    asked[order] = np.cumsum(first) - 1
+    requests = [small(np.diff(x, prepend=0)) for x in np.split(asked, np.cumsum(sizes)[:-1])]
+    head = np.flatnonzero(first)
     total = np.add.reduceat(count, head) if len(head) else count[:0]
     word, context = word[head], context[head]
-    distinct, per_word = np.unique(word, return_counts=True)
-    # Of a request, contexts and words are needed again; its counts are not.
-    requests, sizes = [], []
-    for a, b, c in zip(*data[:3], strict=True):
-        requests.append(a + b + c)
-        sizes.append([len(a), len(b)])
+    places, context = np.unique(context, return_inverse=True)
+    learnt = total > 0
+    distinct, per_word = np.unique(word[learnt], return_counts=True)
+    new = word[~learnt]
+    at = _find(distinct, new) + 1
+    total = total[learnt]
     values = {
         "bucket": [rows.column("bucket")[0].as_py()],
-        "words": [squeeze(distinct)],
-        "per_word": [squeeze(per_word.astype(np.uint16))],
-        "contexts": [squeeze(context)],
-        "counts": [squeeze(total.astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.int64))],
+        "words": [squeeze(np.zeros(len(distinct), np.uint8))],
+        "per_word": [small(per_word)],
+        "contexts": [small(context[learnt])],
+        "counts": [small(total)],
+        "places": [squeeze(places)],
+        "new_words": [small(at)],
+        "new_contexts": [small(context[~learnt])],
+        "learnt": [squeeze(np.packbits(learnt))],
+        "n_words": [len(distinct)],
         "n_pairs": [len(total)],
         "tokens": [int(total.sum())],
         "singles": [int((total == 1).sum())],
@@ -153,22 +176,43 @@ def merge_bucket(rows: pa.Table) -> pa.Table:
         "requests": [requests],
         "request_sizes": [sizes],
     }
-    types = [pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 6, pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int64()))]
+    types = [pa.int64(), *[pa.binary()] * 8, *[pa.int64()] * 7, pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
     return pa.table([pa.array(v, t) for v, t in zip(values.values(), types, strict=True)], names=list(values))
 
 
 @dataclass
 class Totals:
-    """What all buckets share: customers of contexts, and after each sweep the tables of contexts and of the root."""
+    """What all buckets share: after each sweep the tables of the root; by context, what `shared` holds for each bucket."""
 
     tokens: int
     words: int
     discount0: float
     discount1: float
-    customers: np.ndarray
-    tables: list[np.ndarray]
     root_customers: list[int]
     root_tables: list[int]
+    shared: DataFrame | None = None
+    local: dict[int, dict[int, np.ndarray]] = field(default_factory=dict)
+
+    def by_context(self, bucket: int, level: int) -> np.ndarray:
+        """Of the bucket's contexts: tables after sweep `level`, or customers at level -1."""
+        if bucket not in self.local:
+            self.local[bucket] = levels(self.shared.filter(F.col("bucket") == bucket).toArrow())
+        return self.local[bucket][level]
+
+    def of(self, bucket: int, shared: pa.Table) -> Totals:
+        return Totals(self.tokens, self.words, self.discount0, self.discount1, self.root_customers, self.root_tables, None, {bucket: levels(shared)})
+
+    def bare(self) -> Totals:
+        """Without the table, to be sent to tasks."""
+        return Totals(self.tokens, self.words, self.discount0, self.discount1, list(self.root_customers), list(self.root_tables))
+
+
+def levels(shared: pa.Table) -> dict[int, np.ndarray]:
+    found: dict[int, list[np.ndarray]] = {}
+    shared = shared.sort_by("part")
+    for level, values in zip(shared.column("level").to_pylist(), shared.column("n").to_pylist(), strict=True):
+        found.setdefault(level, []).append(expand(values).astype(np.int64))
+    return {level: np.concatenate(values) for level, values in found.items()}
 
 
 def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -209,7 +253,7 @@ class Restaurants:
         """From the seats after sweep s to those after sweep s + 1."""
         rng = np.random.default_rng([self.bucket, s])
         parent, _ = self.parent_probability(totals, s)
-        strength = (THETA1 + totals.discount1 * totals.tables[s][self.contexts]) * parent[self.word]
+        strength = (THETA1 + totals.discount1 * totals.by_context(self.bucket, s)[self.contexts]) * parent[self.word]
         self.tables = seat(self.counts, strength, totals.discount1, rng)
         self.parent = np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
         base = (THETA0 + totals.discount0 * totals.root_tables[s]) / (totals.words + 1)
@@ -220,7 +264,7 @@ class Restaurants:
         parent, unknown = self.parent_probability(totals, s)
         up = np.where(word >= 0, parent[word], unknown) if len(parent) else np.full(len(word), unknown)
         own = np.where(pair >= 0, self.counts[pair] - totals.discount1 * self.tables[pair], 0.0) if len(self.counts) else np.zeros(len(pair))
-        return (own + (THETA1 + totals.discount1 * totals.tables[s][context]) * up) / (THETA1 + totals.customers[context])
+        return (own + (THETA1 + totals.discount1 * totals.by_context(self.bucket, s)[context]) * up) / (THETA1 + totals.by_context(self.bucket, -1)[context])
 
 
 def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -233,74 +277,125 @@ def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 PARTS = ("words", "per_word", "contexts", "counts")
 
 
-def _by_context(model: DataFrame, made, what: int) -> np.ndarray:
-    """Sum over buckets of `what` numbers (CLASSES contexts and a few totals); that many rows reach the driver."""
+def _cuts(places: np.ndarray, parts: int) -> np.ndarray:
+    """Where the ranges of context hashes begin and end in a sorted array."""
+    part = (((places >> 32) + (1 << 31)) * parts) >> 32
+    return np.searchsorted(part, np.arange(parts + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def route(model: DataFrame, parts: int) -> DataFrame:
+    """For each range of contexts and bucket: steps between the places of the bucket's contexts in the range's; and how many the range has."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                values = made(Restaurants(*(row[p] for p in PARTS), row["bucket"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(what)), pa.array(values.astype(np.int64))], ["k", "n"])
+                places = expand(row["places"])
+                cuts = _cuts(places, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int64()), pa.array([row["bucket"]] * parts, pa.int64()), pa.array([squeeze(places[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "bucket", "places"])
+
+    def number(rows: pa.Table) -> pa.Table:
+        places = [expand(x) for x in rows.column("places").to_pylist()]
+        every = np.unique(np.concatenate(places))
+        steps = [small(np.diff(np.searchsorted(every, x), prepend=0)) for x in places]
+        return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "steps": pa.array(steps, pa.binary()), "size": pa.array([len(every)] * len(steps), pa.int64())})
+
+    sent = model.select("bucket", "places").mapInArrow(send, "part bigint, bucket bigint, places binary")
+    return materialize(sent.groupBy("part").applyInArrow(number, "part bigint, bucket bigint, steps binary, size bigint"), "route")
+
 
-    found = np.zeros(what, np.int64)
-    for k, n in model.select("bucket", *PARTS).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n")).collect():
-        found[k] = n
-    return found
+SEATS = "part bigint, bucket bigint, level bigint, n binary, customers bigint, roots bigint"
+
+
+def exchange(seats: DataFrame, routes: DataFrame) -> DataFrame:
+    """Sums over buckets, for each bucket's contexts: part, bucket, level, n."""
+
+    def add(rows: pa.Table, known: pa.Table) -> pa.Table:
+        places = {b: np.cumsum(expand(x).astype(np.int64)) for b, x in zip(known.column("bucket").to_pylist(), known.column("steps").to_pylist(), strict=True)}
+        size = known.column("size")[0].as_py()
+        sums: dict[int, np.ndarray] = {}
+        for bucket, level, n in zip(*(rows.column(c).to_pylist() for c in ("bucket", "level", "n")), strict=True):
+            sums.setdefault(level, np.zeros(size, np.int64))[places[bucket]] += expand(n).astype(np.int64)
+        part = rows.column("part")[0].as_py()
+        out = [(part, b, level, small(total[at])) for level, total in sums.items() for b, at in places.items()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "bucket", "level", "n"])
+
+    return materialize(seats.groupBy("part").cogroup(routes.groupBy("part")).applyInArrow(add, "part bigint, bucket bigint, level bigint, n binary"), "shared")
+
+
+def _seats(r: Restaurants, size: int, cuts: np.ndarray, by_level: dict[int, np.ndarray]) -> pa.Table:
+    """Rows of SEATS for one bucket: weights of its pairs summed by context; the root's totals are in the first row."""
+    out = []
+    for level, weights in by_level.items():
+        n = np.bincount(r.contexts, weights, size).astype(np.int64)
+        out += [(p, r.bucket, level, small(n[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    out[0] = (*out[0][:4], int(r.parent.sum()), int(r.roots.sum()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=[f.split()[0] for f in SEATS.split(", ")])
 
 
 def train(model: DataFrame, sweeps: int = SWEEPS) -> Totals:
     """Run the sweeps; the totals after each determine the model."""
-    row = model.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_pairs", "tokens", "singles", "doubles", "few1", "few2"))).first()
+    names = ("n_pairs", "tokens", "singles", "doubles", "few1", "few2", "n_words")
+    row = model.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names), F.count("*")).first()
     discount = lambda one, two: float(np.clip(one / max(1, one + 2 * two), 0.1, 0.95))
+    totals = Totals(row[1], row[6], discount(row[4], row[5]), discount(row[2], row[3]), [row[0]], [row[6]])
+    parts = max(1, row[7])
+    routes = route(model, parts)
 
-    def first(r: Restaurants) -> np.ndarray:
-        return np.concatenate([np.bincount(r.contexts, r.counts, CLASSES), np.bincount(r.contexts, minlength=CLASSES), [len(r.words)]])
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                r, places = Restaurants(*(row[p] for p in PARTS), row["bucket"]), expand(row["places"])
+                yield from _seats(r, len(places), _cuts(places, parts), {-1: r.counts, 0: r.tables}).to_batches()
 
-    start = _by_context(model, first, 2 * CLASSES + 1)
-    totals = Totals(row[1], int(start[-1]), discount(row[4], row[5]), discount(row[2], row[3]), start[:CLASSES], [start[CLASSES : 2 * CLASSES]], [row[0]], [int(start[-1])])
+    totals.shared = exchange(model.select("bucket", *PARTS, "places").mapInArrow(first, SEATS), routes)
+    pairs = model.select("bucket", *PARTS).groupBy("bucket")
     for s in range(sweeps):
+        seats = materialize(pairs.cogroup(totals.shared.groupBy("bucket")).applyInArrow(_swept(totals.bare(), s), SEATS), "seats")
+        found = seats.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("roots"), F.lit(0))).first()
+        totals.root_customers.append(found[0])
+        totals.root_tables.append(found[1])
+        totals.shared = totals.shared.unionByName(exchange(seats, routes))
+    return totals
 
-        def swept(r: Restaurants, upto: int = s) -> np.ndarray:
-            for k in range(upto + 1):
-                r.sweep(totals, k)
-            return np.concatenate([np.bincount(r.contexts, r.tables, CLASSES), [r.parent.sum(), r.roots.sum()]])
 
-        found = _by_context(model, swept, CLASSES + 2)
-        totals.tables.append(found[:CLASSES])
-        totals.root_customers.append(int(found[-2]))
-        totals.root_tables.append(int(found[-1]))
-    return totals
+def _swept(totals: Totals, upto: int):
+    def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        r, own = Restaurants(*(row[p] for p in PARTS), row["bucket"]), totals.of(row["bucket"], shared)
+        for s in range(upto + 1):
+            r.sweep(own, s)
+        ends = shared.filter(pa.compute.equal(shared.column("level"), 0)).sort_by("part").column("n").to_pylist()
+        cuts = np.cumsum([0, *(int.from_bytes(n[4:12], "little") for n in ends)])
+        return _seats(r, int(cuts[-1]), cuts, {upto + 1: r.tables})
+
+    return run
 
 
 def answer(model: DataFrame, totals: Totals) -> DataFrame:
     """For each shard and bucket: log10 probability and learnt count of the word, for each requested pair in its order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("bucket", *PARTS, "shards", "requests", "request_sizes")}
-                r = Restaurants(*(row[p] for p in PARTS), row["bucket"])
-                last = len(totals.tables) - 1
-                states = []
-                for s in range(last):
-                    r.sweep(totals, s)
-                    if s + 1 > BURN_IN:
-                        states.append((s + 1, r.tables, r.parent, r.roots))
-                known = np.bincount(r.word, r.counts, len(r.words)).astype(np.int64)
-                keys = r.word * CLASSES + r.contexts
-                for shard, data, (la, lb) in zip(row["shards"], row["requests"], row["request_sizes"], strict=True):
-                    place = _find(r.words, expand(data[:la]))
-                    word = np.repeat(place, expand(data[la : la + lb]))
-                    context = expand(data[la + lb :]).astype(np.int64)
-                    pair = np.where(word >= 0, _find(keys, word * CLASSES + context), -1)
-                    total = np.zeros(len(word))
-                    for s, r.tables, r.parent, r.roots in states:
-                        total += r.predictive(totals, s, pair, word, context)
-                    score = np.log10(total / len(states)).astype(np.float32)
-                    count = np.where(word >= 0, known[word], 0) if len(known) else np.zeros(len(word), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([row["bucket"]]), pa.array([squeeze(score)], pa.binary()), pa.array([squeeze(count.astype(np.uint32 if count.max(initial=0) < 1 << 32 else np.int64))], pa.binary())], ["shard", "bucket", "scores", "known"])
-
-    return model.mapInArrow(run, "shard bigint, bucket bigint, scores binary, known binary")
+    bare = totals.bare()
+
+    def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        r, own = Restaurants(*(row[p] for p in PARTS), row["bucket"]), bare.of(row["bucket"], shared)
+        known = np.append(np.bincount(r.word, r.counts, len(r.words)).astype(np.int64), 0)  # the last one: never learnt
+        new_words, new_contexts = (expand(row[c]).astype(np.int64) for c in ("new_words", "new_contexts"))
+        n = len(r.counts) + len(new_words)
+        learnt = np.unpackbits(expand(row["learnt"]), count=n).astype(bool)
+        pair, word, context = np.full(n, -1), np.empty(n, np.int64), np.empty(n, np.int64)
+        pair[learnt], word[learnt], word[~learnt] = np.arange(len(r.counts)), r.word, new_words - 1
+        context[learnt], context[~learnt] = r.contexts, new_contexts
+        total, last = np.zeros(n), len(own.root_tables) - 1
+        for s in range(last):
+            r.sweep(own, s)
+            if s + 1 > BURN_IN:
+                total += r.predictive(own, s + 1, pair, word, context)
+        score, count = np.log10(total / (last - BURN_IN)).astype(np.float32), known[word]
+        asked = [np.cumsum(expand(x).astype(np.int64)) for x in row["requests"]]
+        return pa.table([pa.array(row["shards"], pa.int64()), pa.array([row["bucket"]] * len(asked), pa.int64()), pa.array([squeeze(score[x]) for x in asked], pa.binary()), pa.array([small(count[x]) for x in asked], pa.binary())], names=["shard", "bucket", "scores", "known"])
+
+    pairs = model.select("bucket", *PARTS, "new_words", "new_contexts", "learnt", "shards", "requests").groupBy("bucket")
+    return pairs.cogroup(totals.shared.groupBy("bucket")).applyInArrow(run, "shard bigint, bucket bigint, scores binary, known binary")
 
 
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

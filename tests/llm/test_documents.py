@@ -191,6 +191,19 @@ def test_language_model_beats_unigrams(spark):
     assert found.score.sum() > 0.7 * found.base_score.sum()
 
 
+def test_contexts_are_whole_words(spark):
+    """Words before that share their last three bytes keep contexts of their own, however many there are."""
+    from quillspark.llm.hpylm import score_documents
+
+    rng = random.Random(9)
+    after = {f"w{i}same": f"n{rng.randint(0, 9)}" for i in range(1500)}
+    text = lambda: " ".join(f"{w} {after[w]}" for w in rng.sample(sorted(after), 300))
+    found = score_documents(spark.createDataFrame([(i, text()) for i in range(120)], "doc_id bigint, text string"), buckets=4)
+    found = found.filter("held_out").toPandas()
+    # Half the words follow from the one before: nearly all that a text costs is its 300 free words (log10 of 1500 each).
+    assert found.score.sum() > -1.15 * len(found) * 300 * np.log10(1500)
+
+
 def test_predictive_sums_to_one(spark):
     from quillspark.llm.hpylm import Restaurants, merge_bucket, shard_rows, train
     import pyarrow as pa
