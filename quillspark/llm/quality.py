@@ -24,7 +24,9 @@ from quillspark.llm.common import SPACES, materialize, text_version
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 #: Standard deviations below which no group's statistic is taken to vary.
-FLOORS = (0.5, 0.35, 0.05, 0.25, 0.25)
+#: Those of shares lie well under 1 / sqrt(CUTOFF) of what base rules leave, so that each can reject a text by itself:
+#: from about a sixth of its words in repeated windows, or one duplicate line in 16 words, where a group has neither.
+FLOORS = (0.5, 0.35, 0.05, 0.08, 0.05)
 P = len(FLOORS)
 #: Share of a group that an estimate rests on, and the factor that makes its covariance consistent for normal data:
 #: H / P(chi2 with 7 degrees <= 6.626), 6.626 being the H quantile of chi2 with 5 degrees.

@@ -80,6 +80,28 @@ def test_quality_rejects_outliers(spark):
     assert {d for d, *_ in junk} <= bad and len(bad) == 10
 
 
+def test_quality_rejects_by_each_share_alone(spark):
+    """Texts extreme only in duplicate lines, or only in repeated words, are rejected."""
+    from quillspark.llm.quality import quality_verdicts
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefg", k=rng.randint(2, 8)))
+    clean = [[word() for _ in range(rng.randint(40, 300))] for _ in range(150)]
+    rows = [(i, " ".join(w), "en", "s") for i, w in enumerate(clean)]
+    ten = [word() for _ in range(10)]
+    rows += [(1000 + i, "\n".join(rng.choices(ten, k=200)), "en", "s") for i in range(3)]
+    for i in range(3):
+        w = [word() for _ in range(200)]
+        rows.append((2000 + i, " ".join(w[:100] + w[:29] + w[100:171]), "en", "s"))
+    found = quality_verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    odd = [d for d in got if d >= 1000]
+    assert not any(got[d]["base_failed"] for d in odd)
+    assert all(got[d]["n_dup_lines"] == 0 and got[d]["n_repeat_words"] == 58 for d in odd if d >= 2000)
+    assert all(got[d]["n_dup_lines"] > 150 and got[d]["n_repeat_words"] == 0 for d in odd if d < 2000)
+    assert {d for d in got if not got[d]["kept"]} == set(odd)
+
+
 def test_simhash(docs, none):
     from pyspark.sql import functions as F
 
