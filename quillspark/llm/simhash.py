@@ -190,7 +190,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """The rows of `docs` without near copies: of each component the row with the smallest doc_id (then text hash) stays."""
-    found = near_duplicates(docs, width, distance)
+    return first_of_each(docs, near_duplicates(docs, width, distance))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` that come first in their component. `found`: doc_id, version, root."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "version")).alias("k"))
     first = first.select(F.col("k.doc_id").alias("kept_doc"), F.col("k.version").alias("kept_version"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc"), text_version(F.col("text").cast("string")).alias("version"))

@@ -115,6 +115,37 @@ def test_simhash(docs, none):
     assert near_duplicates(none).count() == 0 and one_of_each(none).count() == 0
 
 
+def test_pipeline_drops_near_copies(spark):
+    """Copies with a similarity of 0.8 or more go, also those linked by another copy alone; others stay."""
+    import corpus_pipeline
+    from quillspark.llm.neardup import shingle_set
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(200)]
+        rows.append((10 * i, " ".join(base)))
+        for k, changed in enumerate((1, 2, 4), 1):
+            copy = list(base)
+            for at in rng.sample(range(200), changed):
+                copy[at] = word()
+            rows.append((10 * i + k, " ".join(copy)))
+        half = base[:100] + [word() for _ in range(100)]
+        rows.append((10 * i + 5, " ".join(half)))
+    texts = dict(rows)
+    near = lambda a, b: len(np.intersect1d(x := shingle_set(texts[a], 5), y := shingle_set(texts[b], 5))) >= 0.8 * len(np.union1d(x, y))
+    root = {}
+    for d in sorted(texts):
+        group = [o for o in texts if o // 10 == d // 10]
+        seen = {d}
+        while more := {o for o in group if o not in seen and any(near(o, s) for s in seen)}:
+            seen |= more
+        root[d] = min(seen)
+    out = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(root.values())) and len(set(root.values())) == 80
+
+
 def test_ball_meets_every_close_pair():
     from quillspark.llm.simhash import ball, bucket_links, forest, projected
 
