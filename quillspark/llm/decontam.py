@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_slices, materialize
+from quillspark.llm.common import doc_slices, materialize, text_version
 
 #: Bytes that end a word become spaces; A-Z become a-z; bytes over 0x7F belong to words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -49,7 +49,7 @@ def _places(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, "<u4").astype(np.int64))
 
 
-INDEX = "shard bigint, term binary, n bigint, postings binary, doc_ids binary, null_ids binary, starts binary"
+INDEX = "shard bigint, term binary, n bigint, postings binary, doc_ids binary, null_ids binary, versions binary, starts binary"
 
 
 def build_index(docs: DataFrame, terms: set[bytes] | None = None, chars: int = 8_000_000) -> DataFrame:
@@ -60,7 +60,8 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, chars: int = 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = TaskContext.get().partitionId(), 0
-        for ids, texts in doc_slices(batches, chars):
+        for keys, texts in doc_slices(batches, chars):
+            ids, versions = ([k[name] for k in keys] for name in ("doc_id", "version"))
             known: dict[bytes, int] = {} if wanted is None else {t: i for i, t in enumerate(wanted.value)}
             tokens, spans, at = [], np.zeros((len(ids), 2), np.int64), 0
             for i, text in enumerate(texts):
@@ -91,12 +92,15 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, chars: int = 8
                     pa.array([_deltas(x) for x in lists] + [None], pa.binary()),
                     pa.array([None] * n + [np.array([d or 0 for d in ids], "<i8").tobytes()], pa.binary()),
                     pa.array([None] * n + [nulls.tobytes()], pa.binary()),
+                    pa.array([None] * n + [np.array(versions, "<i8").tobytes()], pa.binary()),
                     pa.array([None] * n + [spans.astype("<i8").tobytes()], pa.binary()),
                 ],
-                ["shard", "term", "n", "postings", "doc_ids", "null_ids", "starts"],
+                ["shard", "term", "n", "postings", "doc_ids", "null_ids", "versions", "starts"],
             )
 
-    return materialize(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, INDEX), "postings")
+    text = F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_version(text).alias("version"))
+    return materialize(docs.select(key, text).mapInArrow(run, INDEX), "postings")
 
 
 def phrase_starts(window: tuple[bytes, ...], postings: dict[bytes, np.ndarray]) -> np.ndarray:
@@ -140,7 +144,7 @@ def _block_key(items: list[tuple[object, str | None]], size: int) -> dict[tuple[
     return found
 
 
-RESULT = "doc_id bigint, shard bigint, doc_no bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<bigint>"
+RESULT = "doc_id bigint, version bigint, shard bigint, doc_no bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<bigint>"
 
 
 def search(index: DataFrame, items: list[tuple[object, str | None]], size: int = 13, slop: int = 0) -> DataFrame:
@@ -158,6 +162,7 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], size: int =
         ids = np.frombuffer(rows.column("doc_ids")[head].as_py(), "<i8")
         nulls = np.frombuffer(rows.column("null_ids")[head].as_py(), bool)
         postings = {t: _places(d) for t, d in zip(term, data, strict=True) if t is not None}
+        versions = np.frombuffer(rows.column("versions")[head].as_py(), "<i8")
         begins = spans[:, 0]
         hits: dict[int, list[tuple[int, int]]] = {}
         owners: dict[int, set] = {}
@@ -183,6 +188,7 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], size: int =
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64(), mask=nulls),
+                "version": pa.array(versions, pa.int64()),
                 "shard": pa.array([rows.column("shard")[0].as_py()] * len(ids), pa.int64()),
                 "doc_no": pa.array(range(len(ids)), pa.int64()),
                 "n_words": pa.array(spans[:, 1] - spans[:, 0]),
@@ -208,7 +214,7 @@ def item_blocks(items: DataFrame, chars: int = 16_000_000) -> Iterator[list[tupl
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13, slop: int = 0, chars: int = 16_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside a match) and item_ids of every document, over all items."""
+    """doc_id, version (hash of the text), n_words, n_hit (words inside a match) and item_ids of every document, over all items."""
     blocks = item_blocks(items, chars)
     first = next(blocks, [])
     second = next(blocks, None)
@@ -219,14 +225,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, slop: int =
         part = materialize(search(index, second, size, slop).filter(F.size("spans") > 0), "matches")
         found, second = found.unionByName(part), next(blocks, None)
     found = found.groupBy("shard", "doc_no").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids")
+        F.max("doc_id").alias("doc_id"), F.max("version").alias("version"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids")
     ) if terms is None else found
     start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("hit"))
     step = lambda got, span: F.struct(
         F.greatest(got["end"], span["end"]).alias("end"), (got["hit"] + F.greatest(F.lit(0), span["end"] - F.greatest(got["end"], span["start"]))).alias("hit")
     )
     n_hit = F.aggregate(F.array_sort("spans"), start, step, lambda got: got["hit"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
+    return found.select("doc_id", "version", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
 
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
@@ -235,7 +241,7 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
-    """The rows of `docs` that are not contaminated; rows that repeat a doc_id go together."""
-    bad = contamination(docs, items, size).filter(is_contaminated()).select(F.col("doc_id").alias("bad_doc")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc"))
-    return rows.join(bad, F.col("doc").eqNullSafe(F.col("bad_doc")), "left_anti").select("row.*")
+    """The rows of `docs` that are not contaminated; rows that repeat a doc_id are judged row by row."""
+    bad = contamination(docs, items, size).filter(is_contaminated()).select(F.col("doc_id").alias("bad_doc"), F.col("version").alias("bad_version")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc"), text_version(F.col("text").cast("string")).alias("version"))
+    return rows.join(bad, F.col("doc").eqNullSafe(F.col("bad_doc")) & (F.col("version") == F.col("bad_version")), "left_anti").select("row.*")

@@ -208,6 +208,17 @@ def test_contamination(spark, docs, none):
     assert contamination(docs, frame.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_contaminated_rows_go_alone(spark):
+    """A contaminated row takes no clean row along that shares its doc_id or its null."""
+    from quillspark.llm.decontam import without_contaminated
+
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, passage), (None, "clean one"), (None, None), (1, passage), (1, "clean two"), (2, passage)]
+    items = spark.createDataFrame([(1, passage), (2, "x y z " * 10)], "item_id bigint, text string")
+    out = without_contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), items)
+    assert as_set(out, "doc_id", "text") == sorted([(None, "clean one"), (None, None), (1, "clean two")], key=repr)
+
+
 def test_proximity(spark):
     from quillspark.llm.decontam import build_index, search
 
