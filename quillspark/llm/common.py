@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,20 +34,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/quill-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    """A fresh path in the shared folder. What is written there goes by `discard`, or with the driver's JVM by `leave`."""
+    return f"{shared_dir(spark)}/quill-{tag}-{uuid.uuid4().hex}"
+
+
+def leave(spark: SparkSession, path: str) -> None:
+    """Remove `path`, which must exist by now, when the driver's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
 
 
 def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, tag)
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    leave(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by `materialize` that nothing reads any more, and let Spark drop the shuffle files of what is out of use."""
+    gc.collect()
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        jvm.System.gc()
+
+
+@contextmanager
+def bucketed(df: DataFrame, tag: str, buckets: int, key: str, partition_by: str) -> Iterator[DataFrame]:
+    """A table in the shared folder, bucketed by `key`, so that it can be grouped by it again and again without a shuffle."""
+    spark = df.sparkSession
+    path, name = scratch_path(spark, tag), f"quill_{tag}_{uuid.uuid4().hex}"
+    try:
+        df.write.partitionBy(partition_by).bucketBy(min(buckets, 100_000), key).option("path", path).saveAsTable(name)
+        leave(spark, path)
+        out = spark.table(name)
+        out.scratch = path
+        yield out
+        discard(out)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def input_bytes(df: DataFrame) -> int:

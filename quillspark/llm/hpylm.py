@@ -1,44 +1,44 @@
 r"""Operator 7: language-model scores by a hierarchical Pitman-Yor model.
 
-Each context (the whole word before, by its 64-bit hash; or the start of a document) is a restaurant; all share the
-unigram restaurant as their parent, whose own parent is uniform over the known words and one for all others. Seatings
-are sampled by Gibbs sweeps: every customer of a (context, word) takes its seat anew given the other contexts' tables of
-the sweep before; tables send customers to the parent, which is reseated likewise. Predictive probabilities are averaged
-over the sweeps after burn-in.
-
-How it is spread: a shard (a run of documents in one task) counts its distinct (word, context) pairs once, so the most
-frequent word is one entry a shard and context. Pairs meet by word hash in buckets whose number follows the input, so
-one bucket holds all restaurants' counts of its words, and the words' parent seats. Contexts grow with the corpus: their
-customers and tables are summed in ranges of context hashes, as many as there are buckets, and each bucket gets back the
-sums of the contexts it holds (`route`, `exchange`); only the root's totals reach the driver. Sweeps draw from generators
-seeded by bucket and sweep, so a lost task replays the same seats, and no seating is stored. Answers go back to shards,
-where each document sums its tokens.
+Each context (the whole word before, or the start of a document) is a restaurant; all share the unigram restaurant as
+their parent, whose own parent is uniform over the known words and one for all others. Seatings are sampled by Gibbs
+(`seating.py`), discounts and strengths of both levels are drawn anew after each exchange, and predictive probabilities
+are averaged over the sweeps after burn-in.
+
+How it is spread: a shard is a run of documents in one task. Words get dense numbers by frequency (a word is its 64-bit
+hash). A shard counts its distinct (context, word) pairs once and sends them to buckets dealt by context; a context of
+more than `most` customers is dealt by word as well, so the pairs of a bucket stay bounded and their number follows the
+input. Buckets are written once as a table bucketed by their number, which the rounds read without a shuffle. In each
+round a bucket sweeps its own restaurants SWEEPS times given its words' parent probabilities, then sends its tables by
+word (and by split context) to be added up and seated in the root; root counts come back to the buckets that hold the
+words. Only totals and the likelihoods on the grid of parameters reach the driver. Draws are seeded by bucket and round,
+so a lost task replays the same seats. Answers go back to shards, one row a bucket and shard.
 
 Tokens: words `[^\x20\x09-\x0D]+` with A-Z lowered, then one end. Documents whose crc32(doc_id as text) mod 5 is not 1
 are learnt. Defined results: null or empty texts hold the end alone; a null doc_id is the empty text; repeated rows
 are learnt and scored each; with nothing learnt every word has probability one; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored. A token's log10 probability is rounded to 24 bits before documents add theirs up.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_slices, input_bytes, materialize
+from quillspark.llm.common import bucketed, discard, doc_slices, input_bytes, materialize
+from quillspark.llm.seating import DISCOUNTS, STRENGTHS, Restaurants, draw_parameters, first_tables, restaurants_likelihood, tables_likelihood
 
-#: A space is in no word, so its hash stands for the start of a document.
-START = b" "
-SWEEPS, BURN_IN = 3, 1
-THETA0 = THETA1 = 1.0
+#: Rounds of SWEEPS sweeps between exchanges; the seats of the first BURN_IN rounds are not used.
+ROUNDS, BURN_IN, SWEEPS = 6, 2, 3
+#: Context number of the start of a document; the word of number i is context i + 1.
+START = 0
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -58,371 +58,395 @@ def small(values: np.ndarray) -> bytes:
     return squeeze(values.astype(np.min_scalar_type(int(values.max(initial=0)))))
 
 
+def steps(values: np.ndarray) -> bytes:
+    """Ascending numbers."""
+    return small(np.diff(values, prepend=0))
+
+
 def expand(data: bytes) -> np.ndarray:
     kind, n = np.dtype(data[:4].decode().strip()), int.from_bytes(data[4:12], "little")
     planes = pa.decompress(data[12:], n * kind.itemsize, codec="zstd", asbytes=True) if n else b""
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
+def numbers(data: bytes) -> np.ndarray:
+    return expand(data).astype(np.int64)
+
+
+def climbed(data: bytes) -> np.ndarray:
+    return np.cumsum(numbers(data))
+
+
+def mix(values: np.ndarray) -> np.ndarray:
+    """Well-spread unsigned numbers."""
+    x = values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+# Shards and words
+
+
 class _Local(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
         return number
 
 
-def shard_rows(ids: list, texts: list[str], shard: int, buckets: int) -> list[tuple]:
-    """(kind, shard, bucket, a, b, c, d): one `doc` row, and a `req` row for each bucket with distinct words, pairs of each, contexts and learnt counts."""
+SHARDS = "shard bigint, n_learnt bigint, doc_ids binary, nulls binary, sizes binary, tokens binary, hashes array<bigint>, counts array<bigint>"
+
+
+def shard_row(ids: list, texts: list[str], shard: int) -> tuple:
+    """Tokens as places in the shard's words, which stand by falling frequency: hashes and learnt counts."""
     from xxhash import xxh64_intdigest
 
     local = _Local({b"": 0})  # the end
     tokens = []
     for text in texts:
         found = text.encode().lower().split()
-        tokens.append(np.append(np.fromiter(map(local.__getitem__, found), np.int64, len(found)), 0))
+        tokens.append(np.append(np.fromiter(map(local.__getitem__, found), np.int32, len(found)), np.int32(0)))
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     flat = np.concatenate(tokens)
-    hashes = np.fromiter(map(xxh64_intdigest, local), np.uint64, len(local))
-    # Contexts in order of their hash, the start of a document among them.
-    places = np.append(hashes, np.uint64(xxh64_intdigest(START))).view(np.int64)
-    contexts = np.sort(places)
-    by_hash = np.searchsorted(contexts, places)
-    before = np.empty_like(flat)
-    before[1:] = by_hash[flat[:-1]]
-    before[np.cumsum(sizes) - sizes] = by_hash[-1]
-    # Words in order of (bucket, hash); pairs in that order, then by context.
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((hashes, bucket))
+    hashes = np.fromiter(map(xxh64_intdigest, local), np.uint64, len(local)).view(np.int64)
+    order = np.argsort(-np.bincount(flat, minlength=len(local)), kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    pairs, place = np.unique(rank[flat] * len(contexts) + before, return_inverse=True)
-    learnt = np.repeat([not held_out(d) for d in ids], sizes)
-    counts = np.bincount(place[learnt], minlength=len(pairs)).astype(np.uint32)
-    word, context = pairs // len(contexts), contexts[pairs % len(contexts)]
-    of_pair = bucket[order][word]
-    rows = [("doc", shard, -1, np.array([d or 0 for d in ids], "<i8").tobytes(), np.array([d is None for d in ids]).tobytes(), squeeze(sizes.astype(np.uint32)), squeeze(place.astype(np.uint32)))]
-    edges = np.flatnonzero(np.r_[True, of_pair[1:] != of_pair[:-1]])
-    for a, b in zip(edges, np.r_[edges[1:], len(pairs)], strict=True):
-        words, per_word = np.unique(word[a:b], return_counts=True)
-        rows.append(("req", shard, int(of_pair[a]), squeeze(hashes[order][words]), small(per_word), squeeze(context[a:b]), small(counts[a:b])))
-    return rows
-
+    learnt = np.array([not held_out(d) for d in ids])
+    counts = np.bincount(flat[np.repeat(learnt, sizes)], minlength=len(local))
+    return (shard, int(learnt.sum()), np.array([d or 0 for d in ids], "<i8").tobytes(), np.array([d is None for d in ids]).tobytes(), small(sizes), small(rank[flat]), hashes[order], counts[order])
 
-ROWS = "kind string, shard bigint, bucket bigint, a binary, b binary, c binary, d binary"
 
-
-def gather(docs: DataFrame, buckets: int, chars: int = 8_000_000) -> DataFrame:
+def shards(docs: DataFrame, chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = TaskContext.get().partitionId(), 0
         for ids, texts in doc_slices(batches, chars):
-            columns = list(zip(*shard_rows(ids, texts, number << 24 | made, buckets), strict=True))
+            yield from _rows(SHARDS, [shard_row(ids, texts, number << 24 | made)]).to_batches()
             made += 1
-            types = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in ROWS.split(", ")])
 
-    return materialize(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, ROWS), "pairs", partition_by="kind")
+    return materialize(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SHARDS), "shards")
 
 
-MODEL = "bucket bigint, words binary, per_word binary, contexts binary, counts binary, places binary, new_words binary, new_contexts binary, learnt binary, n_words bigint, n_pairs bigint, tokens bigint, singles bigint, doubles bigint, few1 bigint, few2 bigint, shards array<bigint>, requests array<binary>, request_sizes array<bigint>"
+def vocabulary(found: DataFrame) -> DataFrame:
+    """hash, id (dense, the most frequent word first) and n of the learnt words."""
+    totals = found.select(F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("counts").alias("n")))).groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 0")
+    ranked = materialize(totals.repartitionByRange(F.desc("n"), "hash").sortWithinPartitions(F.desc("n"), "hash").withColumn("at", F.monotonically_increasing_id()), "words")
+    part = F.shiftright("at", 33)
+    starts, at = [], 0
+    for row in ranked.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a partition
+        starts.append((row["part"], at))
+        at += row["count"]
+    first = F.broadcast(ranked.sparkSession.createDataFrame(starts, "part bigint, first bigint"))
+    within = F.col("at") - F.shiftleft(part, 33)
+    return ranked.join(first, part == first.part).select("hash", (F.col("first") + within).alias("id"), "n")
 
 
-def merge_bucket(rows: pa.Table) -> pa.Table:
-    """All shards' counts of one bucket, beside the shards' requests.
-
-    Contexts are numbered within the bucket; `places` holds their hashes. A request is the steps between its places among
-    all asked pairs, of which `learnt` marks those with counts; the others are in `new_words` (1 + word, or 0) and `new_contexts`."""
-    data = [rows.column(c).to_pylist() for c in ("a", "b", "c", "d")]
-    words, contexts, counts = [], [], []
-    for a, b, c, d in zip(*data, strict=True):
-        words.append(np.repeat(expand(a), expand(b)))
-        contexts.append(expand(c))
-        counts.append(expand(d))
-    del data
-    sizes = [len(w) for w in words]
-    word, context, count = np.concatenate(words), np.concatenate(contexts), np.concatenate(counts).astype(np.int64)
-    del words, contexts, counts
-    order = np.lexsort((context, word))
-    word, context, count = word[order], context[order], count[order]
-    first = np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])][: len(word)]
-    asked = np.empty(len(word), np.int64)
-    asked[order] = np.cumsum(first) - 1
-    requests = [small(np.diff(x, prepend=0)) for x in np.split(asked, np.cumsum(sizes)[:-1])]
-    head = np.flatnonzero(first)
-    total = np.add.reduceat(count, head) if len(head) else count[:0]
-    word, context = word[head], context[head]
-    places, context = np.unique(context, return_inverse=True)
-    learnt = total > 0
-    distinct, per_word = np.unique(word[learnt], return_counts=True)
-    new = word[~learnt]
-    at = _find(distinct, new) + 1
-    total = total[learnt]
-    values = {
-        "bucket": [rows.column("bucket")[0].as_py()],
-        "words": [squeeze(np.zeros(len(distinct), np.uint8))],
-        "per_word": [small(per_word)],
-        "contexts": [small(context[learnt])],
-        "counts": [small(total)],
-        "places": [squeeze(places)],
-        "new_words": [small(at)],
-        "new_contexts": [small(context[~learnt])],
-        "learnt": [squeeze(np.packbits(learnt))],
-        "n_words": [len(distinct)],
-        "n_pairs": [len(total)],
-        "tokens": [int(total.sum())],
-        "singles": [int((total == 1).sum())],
-        "doubles": [int((total == 2).sum())],
-        "few1": [int((per_word == 1).sum())],
-        "few2": [int((per_word == 2).sum())],
-        "shards": [rows.column("shard").to_pylist()],
-        "requests": [requests],
-        "request_sizes": [sizes],
-    }
-    types = [pa.int64(), *[pa.binary()] * 8, *[pa.int64()] * 7, pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
-    return pa.table([pa.array(v, t) for v, t in zip(values.values(), types, strict=True)], names=list(values))
-
-
-@dataclass
-class Totals:
-    """What all buckets share: after each sweep the tables of the root; by context, what `shared` holds for each bucket."""
+@dataclass(frozen=True)
+class Sizes:
+    """Known to every task: learnt tokens, words and documents; buckets; the customers of a context that is dealt by word."""
 
     tokens: int
     words: int
-    discount0: float
-    discount1: float
-    root_customers: list[int]
-    root_tables: list[int]
-    shared: DataFrame | None = None
-    local: dict[int, dict[int, np.ndarray]] = field(default_factory=dict)
-
-    def by_context(self, bucket: int, level: int) -> np.ndarray:
-        """Of the bucket's contexts: tables after sweep `level`, or customers at level -1."""
-        if bucket not in self.local:
-            self.local[bucket] = levels(self.shared.filter(F.col("bucket") == bucket).toArrow())
-        return self.local[bucket][level]
-
-    def of(self, bucket: int, shared: pa.Table) -> Totals:
-        return Totals(self.tokens, self.words, self.discount0, self.discount1, self.root_customers, self.root_tables, None, {bucket: levels(shared)})
-
-    def bare(self) -> Totals:
-        """Without the table, to be sent to tasks."""
-        return Totals(self.tokens, self.words, self.discount0, self.discount1, list(self.root_customers), list(self.root_tables))
-
-
-def levels(shared: pa.Table) -> dict[int, np.ndarray]:
-    found: dict[int, list[np.ndarray]] = {}
-    shared = shared.sort_by("part")
-    for level, values in zip(shared.column("level").to_pylist(), shared.column("n").to_pylist(), strict=True):
-        found.setdefault(level, []).append(expand(values).astype(np.int64))
-    return {level: np.concatenate(values) for level, values in found.items()}
-
-
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating: a new one is opened with weight `strength`, an old one joined with its customers less the discount.
-
-    The first 32 customers are seated one by one, then in runs of an eighth of those seated, with the chance at the run's start."""
-    tables = np.ones(len(customers), np.int64)
-    live, i = np.flatnonzero(customers > 1), 1
-    while len(live):
-        run = 1 if i < 32 else i // 8
-        chance = strength[live] / (i - discount * tables[live] + strength[live])
-        if run == 1:
-            tables[live] += rng.random(len(live)) < chance
-        else:
-            tables[live] += rng.binomial(np.minimum(run, customers[live] - i), np.minimum(1.0, chance))
-        i += run
-        live = live[customers[live] > i]
-    return tables
-
-
-class Restaurants:
-    """One bucket's counts, and its seats after any sweep whose totals are known."""
-
-    def __init__(self, words: bytes, per_word: bytes, contexts: bytes, counts: bytes, bucket: int):
-        self.words, self.contexts, self.counts = expand(words), expand(contexts).astype(np.int64), expand(counts).astype(np.int64)
-        per_word = expand(per_word).astype(np.int64)
-        self.word = np.repeat(np.arange(len(self.words)), per_word)
-        self.bucket = bucket
-        self.tables, self.parent, self.roots = np.ones(len(self.counts), np.int64), per_word, np.ones(len(self.words), np.int64)
-
-    def parent_probability(self, totals: Totals, s: int) -> tuple[np.ndarray, float]:
-        """Of each word, and of a word never learnt."""
-        base = (THETA0 + totals.discount0 * totals.root_tables[s]) / (totals.words + 1)
-        room = THETA0 + totals.root_customers[s]
-        return (self.parent - totals.discount0 * self.roots + base) / room, base / room
-
-    def sweep(self, totals: Totals, s: int) -> None:
-        """From the seats after sweep s to those after sweep s + 1."""
-        rng = np.random.default_rng([self.bucket, s])
-        parent, _ = self.parent_probability(totals, s)
-        strength = (THETA1 + totals.discount1 * totals.by_context(self.bucket, s)[self.contexts]) * parent[self.word]
-        self.tables = seat(self.counts, strength, totals.discount1, rng)
-        self.parent = np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
-        base = (THETA0 + totals.discount0 * totals.root_tables[s]) / (totals.words + 1)
-        self.roots = seat(self.parent, np.full(len(self.words), base), totals.discount0, rng)
-
-    def predictive(self, totals: Totals, s: int, pair: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Probabilities after sweep s; pair and word are places here, or -1 for what was never learnt."""
-        parent, unknown = self.parent_probability(totals, s)
-        up = np.where(word >= 0, parent[word], unknown) if len(parent) else np.full(len(word), unknown)
-        own = np.where(pair >= 0, self.counts[pair] - totals.discount1 * self.tables[pair], 0.0) if len(self.counts) else np.zeros(len(pair))
-        return (own + (THETA1 + totals.discount1 * totals.by_context(self.bucket, s)[context]) * up) / (THETA1 + totals.by_context(self.bucket, -1)[context])
-
-
-def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == wanted, at, -1)
-
-
-PARTS = ("words", "per_word", "contexts", "counts")
-
-
-def _cuts(places: np.ndarray, parts: int) -> np.ndarray:
-    """Where the ranges of context hashes begin and end in a sorted array."""
-    part = (((places >> 32) + (1 << 31)) * parts) >> 32
-    return np.searchsorted(part, np.arange(parts + 1))
-
-
-def route(model: DataFrame, parts: int) -> DataFrame:
-    """For each range of contexts and bucket: steps between the places of the bucket's contexts in the range's; and how many the range has."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                places = expand(row["places"])
-                cuts = _cuts(places, parts)
-                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int64()), pa.array([row["bucket"]] * parts, pa.int64()), pa.array([squeeze(places[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "bucket", "places"])
+    documents: int
+    buckets: int
+    most: int
+
+    @property
+    def unknown(self) -> int:
+        """Number of every word that was never learnt."""
+        return self.words
+
+    def deal(self, context: np.ndarray, word: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        ways = 1 + np.maximum(customers - 1, 0) // self.most
+        way = np.where(context == self.unknown + 1, mix(word), mix(word) % ways.astype(np.uint64))  # nobody sits in an unknown context
+        return (mix(mix(context) ^ way) % np.uint64(self.buckets)).astype(np.int64)
+
+
+PAIRS = "kind string, shard bigint, bucket bigint, a binary, b binary, c binary, d binary, e binary, f binary"
+
+
+def shard_pairs(row: dict, pos: np.ndarray, ids: np.ndarray, totals: np.ndarray, sizes: Sizes) -> list[tuple]:
+    """One `doc` row (ids, nulls, sizes, each token's pair, base scores, known tokens) and a `req` row for each bucket with
+    distinct pairs: contexts, pairs of each, words, learnt counts, and the customers of contexts dealt by word."""
+    n_words = len(row["hashes"])
+    number, total = np.full(n_words, sizes.unknown, np.int64), np.zeros(n_words, np.int64)
+    number[pos], total[pos] = ids, totals
+    per_doc, tokens = numbers(row["sizes"]), expand(row["tokens"])
+    starts = np.cumsum(per_doc) - per_doc
+    base = np.log10((total + 0.5) / (sizes.tokens + 0.5 * (sizes.words + 1)))
+    sums = np.add.reduceat(base[tokens], starts), np.add.reduceat((total > 0).astype(np.int64)[tokens], starts)
+    word = number[tokens]
+    context = np.empty_like(word)
+    context[1:] = word[:-1] + 1
+    context[starts] = START
+    pairs, place = np.unique(context * (sizes.words + 2) + word, return_inverse=True)
+    doc_ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], bool)
+    learnt = np.repeat([not held_out(None if null else int(d)) for d, null in zip(doc_ids, nulls, strict=True)], per_doc)
+    counts = np.bincount(place[learnt], minlength=len(pairs))
+    context, word = pairs // (sizes.words + 2), pairs % (sizes.words + 2)
+    by_number = np.argsort(number, kind="stable")
+    at = by_number[np.searchsorted(number[by_number], np.maximum(context - 1, 0)).clip(max=n_words - 1)]
+    customers = np.where(context == START, sizes.documents, total[at])
+    bucket = sizes.deal(context, word, customers)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    bucket, context, word, counts, customers = (x[order] for x in (bucket, context, word, counts, customers))
+    rows = [("doc", row["shard"], -1, row["doc_ids"], row["nulls"], row["sizes"], small(rank[place]), sums[0].astype("<f8").tobytes(), small(sums[1]))]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for a, b in zip(edges, np.r_[edges[1:], len(bucket)], strict=True):
+        own, head, each = np.unique(context[a:b], return_index=True, return_counts=True)
+        whole = customers[a:b][head]
+        rows.append(("req", row["shard"], int(bucket[a]), steps(own), small(each), small(word[a:b]), small(counts[a:b]), small(np.where(whole > sizes.most, whole, 0)), None))
+    return rows
+
+
+# Buckets
+
+PACKS = "kind string, bucket bigint, shard bigint, contexts binary, per_context binary, whole binary, split binary, words binary, word binary, counts binary, request binary, size bigint"
 
-    def number(rows: pa.Table) -> pa.Table:
-        places = [expand(x) for x in rows.column("places").to_pylist()]
-        every = np.unique(np.concatenate(places))
-        steps = [small(np.diff(np.searchsorted(every, x), prepend=0)) for x in places]
-        return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "steps": pa.array(steps, pa.binary()), "size": pa.array([len(every)] * len(steps), pa.int64())})
 
-    sent = model.select("bucket", "places").mapInArrow(send, "part bigint, bucket bigint, places binary")
-    return materialize(sent.groupBy("part").applyInArrow(number, "part bigint, bucket bigint, steps binary, size bigint"), "route")
+def merge_bucket(rows: pa.Table, sizes: Sizes) -> pa.Table:
+    """A `model` row with all shards' pairs of one bucket; for each shard an `ask` row, the steps between its pairs among them."""
+    shard, *data = (rows.column(c).to_pylist() for c in ("shard", "a", "b", "c", "d", "e"))
+    keys, counts, whole = [], [], []
+    for a, b, c, d, e in zip(*data, strict=True):
+        context = climbed(a)
+        keys.append(np.repeat(context, numbers(b)) * (sizes.words + 2) + numbers(c))
+        counts.append(numbers(d))
+        large = numbers(e)
+        whole.append(np.stack([context[large > 0], large[large > 0]]))
+    del data
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    pairs, asked = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(asked, np.concatenate(counts), len(pairs)).astype(np.int64)
+    del keys, counts
+    bucket = rows.column("bucket")[0].as_py()
+    asks = [("ask", bucket, s, *[None] * 7, steps(x), len(x)) for s, x in zip(shard, np.split(asked, ends), strict=True)]
+    contexts, context, per_context = np.unique(pairs // (sizes.words + 2), return_inverse=True, return_counts=True)
+    words, word = np.unique(pairs % (sizes.words + 2), return_inverse=True)
+    customers, split = np.bincount(context, count, len(contexts)).astype(np.int64), np.zeros(len(contexts), bool)
+    large = np.concatenate(whole, axis=1)
+    at = np.searchsorted(contexts, large[0])
+    customers[at], split[at] = large[1], True
+    model = ("model", bucket, -1, steps(contexts), small(per_context), small(customers), squeeze(split.view(np.uint8)), steps(words), small(word), small(count), None, int((words < sizes.words).sum() + split.sum()))
+    return _rows(PACKS, [model, *asks])
+
+
+@dataclass(frozen=True)
+class State:
+    """Of the whole model in one round: parameters of contexts and root, the root's customers and tables."""
+
+    discount: float = 0.5
+    strength: float = 1.0
+    root_discount: float = 0.5
+    root_strength: float = 1.0
+    customers: int = 0
+    tables: int = 0
+
+
+class Bucket:
+    def __init__(self, row: dict, sizes: Sizes):
+        self.contexts, self.words = climbed(row["contexts"]), climbed(row["words"])
+        self.context = np.repeat(np.arange(len(self.contexts)), numbers(row["per_context"]))
+        self.whole, self.split = numbers(row["whole"]), expand(row["split"]).astype(bool)
+        self.word, self.counts = numbers(row["word"]), numbers(row["counts"])
+        self.learnt = np.flatnonzero(self.counts)
+        self.many = self.counts[self.learnt] > 1
+        self.known, self.sizes = self.words < sizes.words, sizes
+        #: What is sent up: words by their number, and beyond them the split contexts.
+        self.sent = np.concatenate([self.words[self.known], sizes.words + 2 + self.contexts[self.split]])
+
+    def parts(self, n: int) -> list[np.ndarray]:
+        part = self.sent % n
+        order = np.argsort(part, kind="stable")
+        return np.split(order, np.cumsum(np.bincount(part, minlength=n))[:-1])
+
+    def tables(self, seats: bytes | None) -> np.ndarray:
+        """Tables of the learnt pairs; `seats` holds those of pairs with more than one customer."""
+        out = first_tables(self.counts[self.learnt])
+        if seats is not None:
+            out[self.many] = numbers(seats)
+        return out
+
+    def take(self, boxes: list[tuple[int, bytes, bytes]], parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables in the root by word; tables of split contexts by context. From (part, a, b)."""
+        up = np.zeros((2, len(self.sent)), np.int64)
+        places = self.parts(parts)
+        for part, a, b in boxes:
+            up[0][places[part]], up[1][places[part]] = numbers(a), numbers(b)
+        n = int(self.known.sum())
+        root = np.zeros((2, len(self.words)), np.int64)
+        root[:, self.known] = up[:, :n]
+        shared = np.zeros(len(self.contexts), np.int64)
+        shared[self.split] = up[0, n:]
+        return root, shared
+
+    def parent(self, root: np.ndarray, state: State) -> np.ndarray:
+        base = (state.root_strength + state.root_discount * state.tables) / (self.sizes.words + 1)
+        return (root[0] - state.root_discount * root[1] + base) / (state.root_strength + state.customers)
+
+    def predictive(self, tables: np.ndarray, shared: np.ndarray, parent: np.ndarray, state: State) -> np.ndarray:
+        opened = np.where(self.split, shared, np.bincount(self.context[self.learnt], tables, len(self.contexts)))
+        own = self.counts.astype(np.float64)
+        own[self.learnt] -= state.discount * tables
+        return (own + ((state.strength + state.discount * opened)[self.context]) * parent[self.word]) / (state.strength + self.whole)[self.context]
+
+
+BOX = "kind string, bucket bigint, part bigint, a binary, b binary, c binary, grid array<double>"
+GRID = len(DISCOUNTS) * len(STRENGTHS)
+
+
+def visit(sizes: Sizes, state: State, number: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """One round in one bucket. Out: `word` rows (numbers, tables, what the root had), `seats` by sweep, and one `stat`."""
+
+    def run(model: pa.Table, inbox: pa.Table) -> pa.Table:
+        bucket = Bucket(model.to_pylist()[0], sizes)
+        mail = inbox.to_pylist()
+        key = model.column("bucket")[0].as_py()
+        tables = bucket.tables(next((x["a"] for x in mail if x["kind"] == "seats"), None))
+        root, shared = bucket.take([(x["part"], x["a"], x["b"]) for x in mail if x["kind"] == "word"], parts)
+        context, rows = bucket.context[bucket.learnt], []
+        own = np.bincount(context, tables, len(bucket.contexts)).astype(np.int64)
+        if number:
+            house = Restaurants(context, bucket.counts[bucket.learnt], tables, len(bucket.contexts), np.where(bucket.split, shared - own, 0))
+            log_parent, rng = np.log(bucket.parent(root, state))[bucket.word[bucket.learnt]], np.random.default_rng([key, number])
+            for i in range(SWEEPS):
+                house.sweep(log_parent, state.strength, state.discount, rng)
+                rows.append(("seats", key, i, small(tables[bucket.many]), None, None, None))
+            own = np.bincount(context, tables, len(bucket.contexts)).astype(np.int64)
+        by_word = np.bincount(bucket.word[bucket.learnt], tables, len(bucket.words)).astype(np.int64)
+        up = np.concatenate([by_word[bucket.known], own[bucket.split]])
+        echo = np.concatenate([root[1][bucket.known], bucket.whole[bucket.split]])
+        rows += [("word", key, p, steps(bucket.sent[at]), small(up[at]), small(echo[at]), None) for p, at in enumerate(bucket.parts(parts)) if len(at)]
+        grid = tables_likelihood(bucket.counts[bucket.learnt], tables)[:, None] + restaurants_likelihood(bucket.whole[~bucket.split], own[~bucket.split])
+        return _rows(BOX, [*rows, ("stat", key, -1, None, None, None, grid.ravel())])
+
+    return run
 
 
-SEATS = "part bigint, bucket bigint, level bigint, n binary, customers bigint, roots bigint"
-
+def seat_root(sizes: Sizes, state: State, number: int) -> Callable[[pa.Table], pa.Table]:
+    """Add up the tables of some words from all buckets and seat them in the root; answer each bucket. Last, one `stat`: the
+    contexts' grid, the root's, its customers and tables."""
 
-def exchange(seats: DataFrame, routes: DataFrame) -> DataFrame:
-    """Sums over buckets, for each bucket's contexts: part, bucket, level, n."""
-
-    def add(rows: pa.Table, known: pa.Table) -> pa.Table:
-        places = {b: np.cumsum(expand(x).astype(np.int64)) for b, x in zip(known.column("bucket").to_pylist(), known.column("steps").to_pylist(), strict=True)}
-        size = known.column("size")[0].as_py()
-        sums: dict[int, np.ndarray] = {}
-        for bucket, level, n in zip(*(rows.column(c).to_pylist() for c in ("bucket", "level", "n")), strict=True):
-            sums.setdefault(level, np.zeros(size, np.int64))[places[bucket]] += expand(n).astype(np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        buckets, a, b, c = (rows.column(n).to_pylist() for n in ("bucket", "a", "b", "c"))
+        sent = [climbed(x) for x in a]
+        ends = np.cumsum([len(x) for x in sent])[:-1]
+        every, at = np.unique(np.concatenate(sent), return_inverse=True)
+        total = np.bincount(at, np.concatenate([expand(x) for x in b]), len(every)).astype(np.int64)
+        echo = np.zeros(len(every), np.int64)
+        np.maximum.at(echo, at, np.concatenate([numbers(x) for x in c]))
+        n = int(np.searchsorted(every, sizes.words))  # beyond them are contexts, whose tables are only added up
         part = rows.column("part")[0].as_py()
-        out = [(part, b, level, small(total[at])) for level, total in sums.items() for b, at in places.items()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "bucket", "level", "n"])
-
-    return materialize(seats.groupBy("part").cogroup(routes.groupBy("part")).applyInArrow(add, "part bigint, bucket bigint, level bigint, n binary"), "shared")
-
-
-def _seats(r: Restaurants, size: int, cuts: np.ndarray, by_level: dict[int, np.ndarray]) -> pa.Table:
-    """Rows of SEATS for one bucket: weights of its pairs summed by context; the root's totals are in the first row."""
-    out = []
-    for level, weights in by_level.items():
-        n = np.bincount(r.contexts, weights, size).astype(np.int64)
-        out += [(p, r.bucket, level, small(n[a:b]), 0, 0) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    out[0] = (*out[0][:4], int(r.parent.sum()), int(r.roots.sum()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=[f.split()[0] for f in SEATS.split(", ")])
-
-
-def train(model: DataFrame, sweeps: int = SWEEPS) -> Totals:
-    """Run the sweeps; the totals after each determine the model."""
-    names = ("n_pairs", "tokens", "singles", "doubles", "few1", "few2", "n_words")
-    row = model.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names), F.count("*")).first()
-    discount = lambda one, two: float(np.clip(one / max(1, one + 2 * two), 0.1, 0.95))
-    totals = Totals(row[1], row[6], discount(row[4], row[5]), discount(row[2], row[3]), [row[0]], [row[6]])
-    parts = max(1, row[7])
-    routes = route(model, parts)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                r, places = Restaurants(*(row[p] for p in PARTS), row["bucket"]), expand(row["places"])
-                yield from _seats(r, len(places), _cuts(places, parts), {-1: r.counts, 0: r.tables}).to_batches()
-
-    totals.shared = exchange(model.select("bucket", *PARTS, "places").mapInArrow(first, SEATS), routes)
-    pairs = model.select("bucket", *PARTS).groupBy("bucket")
-    for s in range(sweeps):
-        seats = materialize(pairs.cogroup(totals.shared.groupBy("bucket")).applyInArrow(_swept(totals.bare(), s), SEATS), "seats")
-        found = seats.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("roots"), F.lit(0))).first()
-        totals.root_customers.append(found[0])
-        totals.root_tables.append(found[1])
-        totals.shared = totals.shared.unionByName(exchange(seats, routes))
-    return totals
-
-
-def _swept(totals: Totals, upto: int):
-    def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
-        row = rows.to_pylist()[0]
-        r, own = Restaurants(*(row[p] for p in PARTS), row["bucket"]), totals.of(row["bucket"], shared)
-        for s in range(upto + 1):
-            r.sweep(own, s)
-        ends = shared.filter(pa.compute.equal(shared.column("level"), 0)).sort_by("part").column("n").to_pylist()
-        cuts = np.cumsum([0, *(int.from_bytes(n[4:12], "little") for n in ends)])
-        return _seats(r, int(cuts[-1]), cuts, {upto + 1: r.tables})
+        tables = np.where(echo[:n] > 0, np.clip(echo[:n], 1, total[:n]), first_tables(total[:n]))
+        house = Restaurants(np.zeros(n, np.int64), total[:n], tables, 1, np.array([max(0, state.tables - int(echo[:n].sum()))]))
+        house.sweep(np.full(n, -np.log(sizes.words + 1)), state.root_strength, state.root_discount, np.random.default_rng([part, number, 1]))
+        out = np.concatenate([tables, np.zeros(len(every) - n, np.int64)])
+        answers = [("word", k, part, small(total[x]), small(out[x]), None, None) for k, x in zip(buckets, np.split(at, ends), strict=True)]
+        grid = np.concatenate([restaurants_likelihood(echo[n:], total[n:]).ravel(), tables_likelihood(total[:n], tables), [total[:n].sum(), tables.sum()]])
+        return _rows(BOX, [*answers, ("stat", -1, part, None, None, None, grid)])
 
     return run
 
 
-def answer(model: DataFrame, totals: Totals) -> DataFrame:
-    """For each shard and bucket: log10 probability and learnt count of the word, for each requested pair in its order."""
-    bare = totals.bare()
-
-    def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
-        row = rows.to_pylist()[0]
-        r, own = Restaurants(*(row[p] for p in PARTS), row["bucket"]), bare.of(row["bucket"], shared)
-        known = np.append(np.bincount(r.word, r.counts, len(r.words)).astype(np.int64), 0)  # the last one: never learnt
-        new_words, new_contexts = (expand(row[c]).astype(np.int64) for c in ("new_words", "new_contexts"))
-        n = len(r.counts) + len(new_words)
-        learnt = np.unpackbits(expand(row["learnt"]), count=n).astype(bool)
-        pair, word, context = np.full(n, -1), np.empty(n, np.int64), np.empty(n, np.int64)
-        pair[learnt], word[learnt], word[~learnt] = np.arange(len(r.counts)), r.word, new_words - 1
-        context[learnt], context[~learnt] = r.contexts, new_contexts
-        total, last = np.zeros(n), len(own.root_tables) - 1
-        for s in range(last):
-            r.sweep(own, s)
-            if s + 1 > BURN_IN:
-                total += r.predictive(own, s + 1, pair, word, context)
-        score, count = np.log10(total / (last - BURN_IN)).astype(np.float32), known[word]
-        asked = [np.cumsum(expand(x).astype(np.int64)) for x in row["requests"]]
-        return pa.table([pa.array(row["shards"], pa.int64()), pa.array([row["bucket"]] * len(asked), pa.int64()), pa.array([squeeze(score[x]) for x in asked], pa.binary()), pa.array([small(count[x]) for x in asked], pa.binary())], names=["shard", "bucket", "scores", "known"])
-
-    pairs = model.select("bucket", *PARTS, "new_words", "new_contexts", "learnt", "shards", "requests").groupBy("bucket")
-    return pairs.cogroup(totals.shared.groupBy("bucket")).applyInArrow(run, "shard bigint, bucket bigint, scores binary, known binary")
+def _grid(box: DataFrame, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for row in box.filter("kind = 'stat'").select(F.posexplode("grid").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[row["at"]] = row["x"]
+    return out
+
+
+def train(models: DataFrame, sizes: Sizes, rounds: int = ROUNDS, burn_in: int = BURN_IN) -> tuple[list[tuple[int, State]], DataFrame, int]:
+    """The rounds whose seats count with their states; their seats and root counts by `level`; and the number of parts."""
+    entries = models.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, entries // 250_000)
+    inbox = models.sparkSession.createDataFrame([], BOX)
+    models = models.groupBy("bucket")
+    state, kept, boxes, old = State(), [], [], []
+    for number in range(rounds + 1):
+        outbox = materialize(models.cogroup(inbox.groupBy("bucket")).applyInArrow(visit(sizes, state, number, parts), BOX), "outbox")
+        root = materialize(outbox.filter("kind = 'word'").groupBy("part").applyInArrow(seat_root(sizes, state, number), BOX), "root")
+        grid, own = _grid(root, GRID + len(DISCOUNTS) + 2), _grid(outbox, GRID)
+        seated = replace(state, customers=int(grid[-2]), tables=int(grid[-1]))
+        discard(*old)
+        old = [] if number > burn_in else [outbox, root]
+        seats, words = outbox.filter("kind = 'seats'"), root.filter("kind = 'word'")
+        if number > burn_in:
+            kept.append((number, seated))
+            boxes.append(seats.unionByName(words).withColumn("level", F.lit(number)))
+        inbox = seats.filter(F.col("part") == SWEEPS - 1).unionByName(words)
+        rng = np.random.default_rng([number, 2])
+        d, s = draw_parameters((own + grid[:GRID]).reshape(len(DISCOUNTS), len(STRENGTHS)), rng)
+        d0, s0 = draw_parameters(grid[GRID:-2, None] + restaurants_likelihood(np.array([seated.customers]), np.array([seated.tables])), rng)
+        state = replace(seated, discount=d, strength=s, root_discount=d0, root_strength=s0)
+    out = boxes[0]
+    for box in boxes[1:]:
+        out = out.unionByName(box)
+    return kept, out, parts
+
+
+def answer(packs: DataFrame, levels: DataFrame, sizes: Sizes, kept: list[tuple[int, State]], parts: int) -> DataFrame:
+    """For each shard and bucket: log10 probability of each requested pair in its order."""
+
+    def run(packed: pa.Table, mail: pa.Table) -> pa.Table:
+        rows, mail = packed.to_pylist(), mail.to_pylist()
+        bucket = Bucket(next(r for r in rows if r["kind"] == "model"), sizes)
+        total, n = np.zeros(len(bucket.counts)), 0
+        for level, state in kept:
+            own = [x for x in mail if x["level"] == level]
+            root, shared = bucket.take([(x["part"], x["a"], x["b"]) for x in own if x["kind"] == "word"], parts)
+            parent = bucket.parent(root, state)
+            for x in own:
+                if x["kind"] == "seats":
+                    total += bucket.predictive(bucket.tables(x["a"]), shared, parent, state)
+                    n += 1
+        score = np.log10(total / n).astype(np.float32)
+        return _rows("shard bigint, bucket bigint, scores binary", [(r["shard"], r["bucket"], squeeze(score[climbed(r["request"])])) for r in rows if r["kind"] == "ask"])
+
+    return packs.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(run, "shard bigint, bucket bigint, scores binary")
 
 
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, buckets: int | None = None, chars: int = 16_000_000, most: int = 250_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the whole text)."""
     buckets = buckets or max(16, -(-input_bytes(docs) // (12 << 20)))
-    rows = gather(docs, buckets)
-    requests = rows.filter("kind = 'req'").select("shard", "bucket", "a", "b", "c", "d")
-    model = materialize(requests.groupBy("bucket").applyInArrow(merge_bucket, MODEL), "model")
-    totals = train(model)
-    tokens, words = totals.tokens, totals.words
+    found = shards(docs, chars)
+    words = materialize(vocabulary(found), "vocabulary")
+    counted = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sizes = Sizes(counted[1], counted[0], found.agg(F.coalesce(F.sum("n_learnt"), F.lit(0))).first()[0], buckets, most)
+
+    def pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
+        pos, ids, n = (known.column(c).to_numpy().astype(np.int64) for c in ("pos", "id", "n"))
+        return _rows(PAIRS, shard_pairs(shard.to_pylist()[0], pos, ids, n, sizes))
+
+    known = found.select("shard", F.posexplode("hashes").alias("pos", "hash")).join(words, "hash").select(F.col("shard").alias("of"), "pos", "id", "n")
+    rows = materialize(found.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(pairs, PAIRS), "pairs", partition_by="kind")
+    discard(found, words)
+    requests = rows.filter("kind = 'req'").select("shard", "bucket", "a", "b", "c", "d", "e")
+    with bucketed(requests.groupBy("bucket").applyInArrow(lambda t: merge_bucket(t, sizes), PACKS), "packs", buckets, "bucket", "kind") as packs:
+        kept, levels, parts = train(packs.filter("kind = 'model'"), sizes)
+        answers = materialize(answer(packs, levels, sizes, kept, parts), "answers")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("bucket")
-        logs = np.concatenate([expand(x) for x in right.column("scores").to_pylist()]).astype(np.float64)
-        known = np.concatenate([expand(x) for x in right.column("known").to_pylist()]).astype(np.int64)
-        base = np.log10((known + 0.5) / (tokens + 0.5 * (words + 1)))
+        logs = np.concatenate([expand(x) for x in right.sort_by("bucket").column("scores").to_pylist()]).astype(np.float64)
         out = []
-        for a, b, c, d in zip(*(left.column(n).to_pylist() for n in "abcd"), strict=True):
-            ids, nulls, sizes, place = np.frombuffer(a, "<i8"), np.frombuffer(b, bool), expand(c).astype(np.int64), expand(d).astype(np.int64)
-            first = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x[place], first) for x in ((known > 0).astype(np.int64), base, logs)]
+        for a, b, c, d, e, f in zip(*(left.column(n).to_pylist() for n in "abcdef"), strict=True):
+            ids, nulls, per_doc = np.frombuffer(a, "<i8"), np.frombuffer(b, bool), numbers(c)
+            total = np.add.reduceat(logs[expand(d)], np.cumsum(per_doc) - per_doc)
             held = [held_out(None if n else int(i)) for i, n in zip(ids, nulls, strict=True)]
-            out.append(pa.table([pa.array(ids, mask=nulls), pa.array(held), pa.array(sizes), pa.array(sums[0]), pa.array(np.full(len(ids), tokens)), pa.array(sums[1]), pa.array(sums[2])], names=[f.split()[0] for f in RESULT.split(", ")]))
+            columns = [pa.array(ids, mask=nulls), pa.array(held), pa.array(per_doc), pa.array(numbers(f)), pa.array(np.full(len(ids), sizes.tokens)), pa.array(np.frombuffer(e, "<f8")), pa.array(total)]
+            out.append(pa.table(columns, names=[f.split()[0] for f in RESULT.split(", ")]))
         return pa.concat_tables(out)
 
-    shards = rows.filter("kind = 'doc'").select("shard", "a", "b", "c", "d")
-    return shards.groupBy("shard").cogroup(answer(model, totals).groupBy("shard")).applyInArrow(score, RESULT)
+    texts = rows.filter("kind = 'doc'").select("shard", *"abcdef")
+    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(score, RESULT)
