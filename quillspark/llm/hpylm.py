@@ -145,7 +145,9 @@ def vocabulary(found: DataFrame) -> DataFrame:
         at += row["count"]
     first = F.broadcast(ranked.sparkSession.createDataFrame(starts, "part bigint, first bigint"))
     within = F.col("at") - F.shiftleft(part, 33)
-    return ranked.join(first, part == first.part).select("hash", (F.col("first") + within).alias("id"), "n")
+    out = materialize(ranked.join(first, part == first.part).select("hash", (F.col("first") + within).alias("id"), "n"), "vocabulary")
+    discard(ranked)
+    return out
 
 
 @dataclass(frozen=True)
@@ -421,7 +423,7 @@ def score_documents(docs: DataFrame, buckets: int | None = None, chars: int = 16
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the whole text)."""
     buckets = buckets or max(16, -(-input_bytes(docs) // (12 << 20)))
     found = shards(docs, chars)
-    words = materialize(vocabulary(found), "vocabulary")
+    words = vocabulary(found)
     counted = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     sizes = Sizes(counted[1], counted[0], found.agg(F.coalesce(F.sum("n_learnt"), F.lit(0))).first()[0], buckets, most)
 

@@ -17,7 +17,9 @@ LIMIT = 256
 DISCOUNTS = np.round(np.linspace(0.05, 0.95, 19), 2)
 STRENGTHS = np.array([0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0])
 #: Pairs of one restaurant are drawn in this many turns at most, each given the tables of the turns before.
-TURNS = 32
+TURNS = 16
+#: Metropolis steps of a large pair in one sweep.
+STEPS = 4
 
 
 def log_gamma(x) -> np.ndarray:
@@ -151,7 +153,7 @@ class Restaurants:
             return log_stirling(c, inside, discount) + inside * (log_parent + np.log(discount)) + log_gamma(ratio + rest + inside)
 
         now = log_weight(t)
-        for reach in (1, 4, 16, 64, 2, 8, 32):
+        for reach in 1 << rng.integers(0, 8, STEPS):
             new = t + rng.integers(1, reach + 1, len(t)) * rng.choice([-1, 1], len(t))
             then = log_weight(new)
             taken = (new >= 1) & (new <= c) & (np.log(rng.random(len(t))) < then - now)
