@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +83,14 @@ def bucketed(df: DataFrame, tag: str, buckets: int, key: str, partition_by: str)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the system at the end of a task; workers are kept, and share a machine with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the plan's size, without a job. It follows file sizes; where it knows nothing, partitions count."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

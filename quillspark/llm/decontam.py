@@ -1,13 +1,14 @@
 r"""Operator 10: benchmark passages in training documents, by a distributed positional inverted index.
 
 The index is split by documents: a shard is a run of documents that one task read, and a row of the index is one term's
-postings in one shard (their places among the shard's words, delta-coded). `build_index` stores it in the shared
-folder; by default it holds every term, and `terms` restricts it to those that the test items use.
+postings in one shard (their places among the shard's words, delta-coded). `build_index` stores every term's postings in
+the shared folder, whatever is to be searched.
 
-`search` takes the test items in blocks of bounded size, and for each shard intersects offset-adjusted posting lists,
-beginning with the window's rarest term there: a start survives only if every further term stands at its own offset.
-With `slop` over zero it also finds proximity matches, where each next term follows within `slop` further words.
-Postings are dealt out by shard, so a word or passage that a third of all documents hold is dealt like any other.
+`search` takes the test items in blocks of bounded size. In each shard the windows of all items are matched together:
+every window starts from the postings of its rarest term there, and a start survives only if each further term's
+postings hold its own offset. With `slop` over zero it finds proximity matches as well, where each next term follows
+within `slop` further words: every place that can be reached is kept, not the nearest alone. Postings are dealt out by
+shard, so a word or passage that a third of all documents hold is dealt like any other.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z are lowered. Defined results: null or empty texts have no words and
 match nothing; items without words have no window; rows that repeat a doc_id or item_id are judged row by row (an
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_slices, materialize, text_version
+from quillspark.llm.common import doc_slices, materialize, text_version, trim
 
 #: Bytes that end a word become spaces; A-Z become a-z; bytes over 0x7F belong to words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -34,173 +35,205 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def windows(item: list[bytes], size: int) -> list[tuple[bytes, ...]]:
-    """All runs of `size` words; a shorter item is one window, an empty one has none."""
-    if not item:
-        return []
-    return [tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))]
-
-
-def _deltas(places: np.ndarray) -> bytes:
-    return np.diff(places, prepend=0).astype("<u4").tobytes()
-
-
-def _places(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<u4").astype(np.int64))
+INDEX = "shard bigint, term binary, n bigint, postings binary, doc_ids binary, null_ids binary, versions binary, starts binary"
+NAMES = [f.split()[0] for f in INDEX.split(", ")]
 
 
-INDEX = "shard bigint, term binary, n bigint, postings binary, doc_ids binary, null_ids binary, versions binary, starts binary"
+def _binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other in `data`."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(data)])
 
 
-def build_index(docs: DataFrame, terms: set[bytes] | None = None, chars: int = 8_000_000) -> DataFrame:
+def build_index(docs: DataFrame, chars: int = 16_000_000) -> DataFrame:
     """One row per shard and term with its postings, and one row per shard (term null) with its documents.
 
     `starts`: for each document, its first place and the place after its last word; a gap of one place parts documents."""
-    wanted = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = TaskContext.get().partitionId(), 0
         for keys, texts in doc_slices(batches, chars):
             ids, versions = ([k[name] for k in keys] for name in ("doc_id", "version"))
-            known: dict[bytes, int] = {} if wanted is None else {t: i for i, t in enumerate(wanted.value)}
+            known = _Terms()
             tokens, spans, at = [], np.zeros((len(ids), 2), np.int64), 0
             for i, text in enumerate(texts):
                 found = words(text)
-                if wanted is None:
-                    tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
-                else:
-                    tokens.append(np.fromiter(map(known.get, found, [-1] * len(found)), np.int64, len(found)))
+                tokens.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 spans[i] = at, at + len(found)
                 at += len(found) + 1
             flat = np.concatenate(tokens)
-            place = np.concatenate([np.arange(a, b) for a, b in spans])
-            place, flat = place[flat >= 0], flat[flat >= 0]
+            place = np.arange(len(flat)) + np.repeat(np.arange(len(ids)), spans[:, 1] - spans[:, 0])
             order = np.argsort(flat, kind="stable")
-            flat, place = flat[order], place[order]
-            heads = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
+            place, counts = place[order], np.bincount(flat, minlength=len(known))
+            steps = np.diff(place, prepend=0)
+            heads = np.cumsum(counts) - counts
+            steps[heads] = place[heads]
             names = list(known)
-            lists = np.split(place, heads[1:]) if len(heads) else []
-            shard = number << 24 | made
+            shard, n = number << 24 | made, len(names)
             made += 1
+            texts_end = np.cumsum(np.fromiter(map(len, names), np.int64, n))
+            nothing, one = pa.nulls(n, pa.binary()), pa.nulls(1, pa.binary())
             nulls = np.array([d is None for d in ids])
-            n = len(lists)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard] * (n + 1), pa.int64()),
-                    pa.array([names[t] for t in flat[heads]] + [None], pa.binary()),
-                    pa.array([len(x) for x in lists] + [len(ids)], pa.int64()),
-                    pa.array([_deltas(x) for x in lists] + [None], pa.binary()),
-                    pa.array([None] * n + [np.array([d or 0 for d in ids], "<i8").tobytes()], pa.binary()),
-                    pa.array([None] * n + [nulls.tobytes()], pa.binary()),
-                    pa.array([None] * n + [np.array(versions, "<i8").tobytes()], pa.binary()),
-                    pa.array([None] * n + [spans.astype("<i8").tobytes()], pa.binary()),
-                ],
-                ["shard", "term", "n", "postings", "doc_ids", "null_ids", "versions", "starts"],
-            )
+            alone = (np.array([d or 0 for d in ids], "<i8").tobytes(), nulls.tobytes(), np.array(versions, "<i8").tobytes(), spans.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), one, pa.array([len(ids)], pa.int64()), one, *(pa.array([x], pa.binary()) for x in alone)], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), _binaries(b"".join(names), texts_end), pa.array(counts), _binaries(steps.astype("<u4").tobytes(), 4 * np.cumsum(counts)), *[nothing] * 4], NAMES)
+        trim()
 
     text = F.col("text").cast("string")
     key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_version(text).alias("version"))
     return materialize(docs.select(key, text).mapInArrow(run, INDEX), "postings")
 
 
-def phrase_starts(window: tuple[bytes, ...], postings: dict[bytes, np.ndarray]) -> np.ndarray:
-    """Places where the window's terms stand one after the other, from the rarest list on."""
-    lists = [(len(postings[t]), i) for i, t in enumerate(window) if t in postings]
-    if len(lists) < len(window):
-        return np.empty(0, np.int64)
-    lists.sort()
-    starts = postings[window[lists[0][1]]] - lists[0][1]
-    for _, i in lists[1:]:
-        if not len(starts):
-            break
-        other = postings[window[i]]
-        at = np.searchsorted(other, starts + i)
-        starts = starts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] == starts + i)]
-    return starts
-
-
-def proximity_spans(window: tuple[bytes, ...], postings: dict[bytes, np.ndarray], slop: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) places where each next term follows the one before with at most `slop` words between, greedily nearest."""
-    if any(t not in postings for t in window):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    first = last = postings[window[0]]
-    for term in window[1:]:
-        other = postings[term]
-        at = np.searchsorted(other, last, "right")
-        nearest = other[np.minimum(at, len(other) - 1)]
-        good = (at < len(other)) & (nearest - last <= slop + 1)
-        good &= np.searchsorted(ends, last, "right") == np.searchsorted(ends, nearest, "right")
-        first, last = first[good], nearest[good]
-    return first, last
-
-
-def _block_key(items: list[tuple[object, str | None]], size: int) -> dict[tuple[bytes, ...], list]:
-    found: dict[tuple[bytes, ...], list] = {}
-    for item_id, text in items:
-        for window in windows(words(text), size):
-            owners = found.setdefault(window, [])
-            if item_id not in owners:
-                owners.append(item_id)
-    return found
-
-
-RESULT = "doc_id bigint, version bigint, shard bigint, doc_no bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<bigint>"
+class _Terms(dict):
+    def __missing__(self, term: bytes) -> int:
+        self[term] = number = len(self)
+        return number
+
+
+class Block:
+    """Test items as one run of term numbers; `bounds` are the items' ends in it."""
+
+    def __init__(self, items: list[tuple[object, str | None]]):
+        terms = _Terms()
+        found = [np.fromiter(map(terms.__getitem__, w), np.int32, len(w)) for w in (words(text) for _, text in items)]
+        self.terms, self.item_ids = list(terms), [i for i, _ in items]
+        self.run, self.bounds = np.concatenate([*found, np.empty(0, np.int32)]), np.cumsum([len(x) for x in found])
+
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows as rows of term numbers, their items' places), of equal length each time."""
+        length = np.diff(self.bounds, prepend=0)
+        start = self.bounds - length
+        for n in np.unique(np.minimum(length, size)):
+            if n:
+                mine = np.flatnonzero((length >= size) if n == size else (length == n))
+                counts = length[mine] - n + 1
+                item = np.repeat(mine, counts)
+                first = np.repeat(start[mine], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                for at in range(0, len(item), 200_000):
+                    yield self.run[first[at : at + 200_000, None] + np.arange(n)], item[at : at + 200_000]
+
+
+class Shard:
+    """Postings of one shard: `places` by term, and the term at each place."""
+
+    def __init__(self, term: np.ndarray, postings: list[bytes], spans: np.ndarray, n_terms: int):
+        counts = np.array([len(x) // 4 for x in postings], np.int64)
+        steps = np.frombuffer(b"".join(postings), "<u4").astype(np.int64)
+        total, heads = np.cumsum(steps), np.cumsum(counts) - counts
+        self.places = total - np.repeat(total[heads] - steps[heads], counts)
+        self.first, self.counts = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
+        self.first[term], self.counts[term] = heads, counts
+        self.spans, self.begins = spans, spans[:, 0]
+        self.at = np.full((int(spans[-1, 1]) if len(spans) else 0) + 1, -1, np.int32)
+        self.at[self.places] = np.repeat(term, counts).astype(np.int32)
+
+    def candidates(self, windows: np.ndarray, items: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows, items, places of the rarest term, which of the window's terms that is), one row a posting."""
+        n = self.counts[windows]
+        there = np.flatnonzero((n > 0).all(axis=1))
+        windows, items, n = windows[there], items[there], n[there]
+        rarest = n.argmin(axis=1)
+        each = n[np.arange(len(n)), rarest]
+        begin = self.first[windows[np.arange(len(n)), rarest]]
+        total = np.cumsum(each)
+        a = 0
+        while a < len(each):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+            row = np.repeat(np.arange(a, b), each[a:b])
+            within = np.arange(len(row)) - np.repeat(np.cumsum(each[a:b]) - each[a:b], each[a:b])
+            yield windows[row], items[row], self.places[begin[row] + within], rarest[row]
+            a = b
+
+    def phrases(self, windows: np.ndarray, items: np.ndarray, place: np.ndarray, rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, item) where the window's terms stand one after the other."""
+        size = windows.shape[1]
+        start = place - rarest
+        good = np.flatnonzero((start >= 0) & (start + size < len(self.at) + 1))
+        for k in range(size):
+            good = good[self.at[start[good] + k] == windows[good, k]]
+        return start[good], start[good] + size, items[good]
+
+    def nearby(self, windows: np.ndarray, items: np.ndarray, place: np.ndarray, rarest: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, item) where each next term follows with at most `slop` words between: from the rarest term, the nearest ends on either side."""
+        doc = self.spans[np.searchsorted(self.begins, place, "right") - 1]
+        size = windows.shape[1]
+        width = (size - 1) * (slop + 1) + 1
+        found = [place.copy(), place.copy()]
+        alive = np.ones(len(place), bool)
+        for side, way in ((0, -1), (1, 1)):
+            spot = place[:, None] + way * np.arange(width)
+            term = np.where((spot >= doc[:, :1]) & (spot < doc[:, 1:]), self.at[np.clip(spot, 0, len(self.at) - 1)], -1)
+            reach = np.zeros((len(place), width), bool)
+            reach[:, 0] = True
+            for step in range(1, size):
+                wanted = rarest + way * step
+                on = (wanted >= 0) & (wanted < size)
+                summed = np.cumsum(np.pad(reach, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+                low = np.maximum(np.arange(width) - slop - 1, 0)
+                near = summed[:, np.arange(width)] - summed[:, low] > 0
+                following = near & (term == windows[np.arange(len(place)), np.clip(wanted, 0, size - 1)][:, None])
+                reach = np.where(on[:, None], following, reach)
+            alive &= reach.any(axis=1)
+            found[side] = place + way * reach.argmax(axis=1)
+        return found[0][alive], found[1][alive] + 1, items[alive]
+
+
+RESULT = "doc_id bigint, version bigint, shard bigint, doc_no bigint, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<bigint>"
 
 
 def search(index: DataFrame, items: list[tuple[object, str | None]], size: int = 13, slop: int = 0) -> DataFrame:
     """For each document: merged spans of words inside matches (end exclusive) and the items that match. `items`: one bounded block."""
     spark = index.sparkSession
-    block = spark.sparkContext.broadcast(_block_key(items, size))
-    terms = sorted({t for window in block.value for t in window})
-    chosen = spark.createDataFrame([(None,), *((t,) for t in terms)], "wanted binary")
-    rows = index.join(F.broadcast(chosen), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
+    block = Block(items)
+    chosen = spark.createDataFrame([(None, None), *((t, i) for i, t in enumerate(block.terms))], "wanted binary, id int")
+    block.terms, n_terms = [], len(block.terms)
+    sent = spark.sparkContext.broadcast(block)
+    rows = index.join(F.broadcast(chosen), F.col("term").eqNullSafe(F.col("wanted"))).drop("term", "wanted")
 
     def run(rows: pa.Table) -> pa.Table:
-        term, data = rows.column("term").to_pylist(), rows.column("postings").to_pylist()
-        head = term.index(None)
-        spans = np.frombuffer(rows.column("starts")[head].as_py(), "<i8").reshape(-1, 2)
-        ids = np.frombuffer(rows.column("doc_ids")[head].as_py(), "<i8")
-        nulls = np.frombuffer(rows.column("null_ids")[head].as_py(), bool)
-        postings = {t: _places(d) for t, d in zip(term, data, strict=True) if t is not None}
-        versions = np.frombuffer(rows.column("versions")[head].as_py(), "<i8")
-        begins = spans[:, 0]
-        hits: dict[int, list[tuple[int, int]]] = {}
-        owners: dict[int, set] = {}
-        for window, item_ids in block.value.items():
-            if slop:
-                a, b = proximity_spans(window, postings, slop, begins)
-            else:
-                a = phrase_starts(window, postings)
-                b = a + len(window) - 1
-            if len(a):
-                for d, x, y in zip((np.searchsorted(begins, a, "right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
-                    hits.setdefault(d, []).append((x, y + 1))
-                    owners.setdefault(d, set()).update(item_ids)
-        merged: list[list[dict]] = []
-        for d in range(len(ids)):
-            out: list[list[int]] = []
-            for x, y in sorted(hits.get(d, ())):
-                if out and x <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], y)
-                else:
-                    out.append([x, y])
-            merged.append([{"start": x - int(begins[d]), "end": y - int(begins[d])} for x, y in out])
+        block, number = sent.value, rows.column("id").to_numpy(zero_copy_only=False)
+        head = int(np.flatnonzero(np.isnan(number.astype(np.float64)))[0])
+        ids, nulls, versions, spans = (np.frombuffer(rows.column(c)[head].as_py(), kind) for c, kind in (("doc_ids", "<i8"), ("null_ids", bool), ("versions", "<i8"), ("starts", "<i8")))
+        spans = spans.reshape(-1, 2)
+        terms = rows.filter(rows.column("id").is_valid())
+        shard = Shard(terms.column("id").to_numpy().astype(np.int64), terms.column("postings").to_pylist(), spans, n_terms)
+        depth = np.zeros(len(shard.at) + 1, np.int64)
+        owned: list[np.ndarray] = []
+        for windows, item in block.windows(size):
+            for found in shard.candidates(windows, item, 1_000_000 if not slop else 50_000):
+                start, end, item_of = shard.nearby(*found, slop) if slop else shard.phrases(*found)
+                np.add.at(depth, start, 1)
+                np.add.at(depth, end, -1)
+                owned.append(np.unique((np.searchsorted(shard.begins, start, "right") - 1) * len(block.item_ids) + item_of))
+        inside = np.cumsum(depth) > 0
+        edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+        starts, ends = edges[::2], edges[1::2]
+        of = np.searchsorted(shard.begins, starts, "right") - 1
+        per_doc = np.bincount(of, minlength=len(ids))
+        pair = np.unique(np.concatenate([*owned, np.empty(0, np.int64)])).astype(np.int64)
+        doc, item = pair // max(1, len(block.item_ids)), pair % max(1, len(block.item_ids))
+        kinds = sorted({x for x in block.item_ids}, key=lambda x: (x is None, x))
+        rank = {x: i for i, x in enumerate(kinds)}
+        named = np.unique(doc * max(1, len(kinds)) + np.array([rank[x] for x in block.item_ids], np.int64)[item])
+        doc, item = named // max(1, len(kinds)), named % max(1, len(kinds))
+        lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+        span = pa.StructArray.from_arrays([pa.array(starts - shard.begins[of]), pa.array(ends - shard.begins[of])], ["start", "end"])
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64(), mask=nulls),
                 "version": pa.array(versions, pa.int64()),
-                "shard": pa.array([rows.column("shard")[0].as_py()] * len(ids), pa.int64()),
-                "doc_no": pa.array(range(len(ids)), pa.int64()),
+                "shard": pa.array(np.full(len(ids), rows.column("shard")[0].as_py())),
+                "doc_no": pa.array(np.arange(len(ids))),
                 "n_words": pa.array(spans[:, 1] - spans[:, 0]),
-                "spans": pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                "item_ids": pa.array([sorted(owners.get(d, ()), key=lambda x: (x is None, x)) for d in range(len(ids))], pa.list_(pa.int64())),
+                "n_hit": pa.array(np.bincount(of, ends - starts, len(ids)).astype(np.int64)),
+                "spans": lists(per_doc, span),
+                "item_ids": lists(np.bincount(doc, minlength=len(ids)), pa.array([kinds[i] for i in item], pa.int64())),
             }
         )
 
     return rows.groupBy("shard").applyInArrow(run, RESULT)
 
 
-def item_blocks(items: DataFrame, chars: int = 16_000_000) -> Iterator[list[tuple[object, str | None]]]:
+def item_blocks(items: DataFrame, chars: int = 2_000_000) -> Iterator[list[tuple[object, str | None]]]:
     """The test items, streamed to the driver in blocks of about `chars` characters."""
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).toLocalIterator():
@@ -213,26 +246,24 @@ def item_blocks(items: DataFrame, chars: int = 16_000_000) -> Iterator[list[tupl
         yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 13, slop: int = 0, chars: int = 16_000_000) -> DataFrame:
-    """doc_id, version (hash of the text), n_words, n_hit (words inside a match) and item_ids of every document, over all items."""
+def contamination(docs: DataFrame, items: DataFrame, size: int = 13, slop: int = 0, chars: int = 2_000_000) -> DataFrame:
+    """doc_id, version (hash of the text), n_words, n_hit (words inside a match), item_ids and spans of every document, over all items."""
+    index = build_index(docs)
     blocks = item_blocks(items, chars)
-    first = next(blocks, [])
-    second = next(blocks, None)
-    terms = None if second else {t for window in _block_key(first, size) for t in window}
-    index = build_index(docs, terms)
-    found = search(index, first, size, slop)
-    while second:
-        part = materialize(search(index, second, size, slop).filter(F.size("spans") > 0), "matches")
-        found, second = found.unionByName(part), next(blocks, None)
-    found = found.groupBy("shard", "doc_no").agg(
-        F.max("doc_id").alias("doc_id"), F.max("version").alias("version"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids")
-    ) if terms is None else found
-    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("hit"))
-    step = lambda got, span: F.struct(
-        F.greatest(got["end"], span["end"]).alias("end"), (got["hit"] + F.greatest(F.lit(0), span["end"] - F.greatest(got["end"], span["start"]))).alias("hit")
-    )
-    n_hit = F.aggregate(F.array_sort("spans"), start, step, lambda got: got["hit"])
-    return found.select("doc_id", "version", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
+    found, later = search(index, next(blocks, []), size, slop), []
+    for block in blocks:
+        later.append(materialize(search(index, block, size, slop).filter("n_hit > 0"), "matches"))
+    if later:
+        for part in later:
+            found = found.unionByName(part)
+        spans = F.array_sort(F.flatten(F.collect_list("spans")))
+        found = found.groupBy("shard", "doc_no").agg(*(F.max(c).alias(c) for c in ("doc_id", "version", "n_words")), spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+        nothing = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("hit"))
+        step = lambda got, span: F.struct(
+            F.greatest(got["end"], span["end"]).alias("end"), (got["hit"] + F.greatest(F.lit(0), span["end"] - F.greatest(got["end"], span["start"]))).alias("hit")
+        )
+        found = found.withColumn("n_hit", F.aggregate("spans", nothing, step, lambda got: got["hit"]))
+    return found.select("doc_id", "version", "n_words", "n_hit", "item_ids", "spans")
 
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

@@ -228,6 +228,39 @@ def test_proximity(spark):
     assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found.collect()} == {1: [(0, 5)], 2: [], 3: []}
 
 
+def near_matches(window, found, slop):
+    """Whether the window's terms stand in order in `found`, each within `slop` words of the one before; by search of all ways."""
+    ends = {i for i, w in enumerate(found) if w == window[0]}
+    for term in window[1:]:
+        ends = {j for i in ends for j in range(i + 1, min(len(found), i + slop + 2)) if found[j] == term}
+    return bool(ends)
+
+
+def test_proximity_finds_every_way(spark):
+    from quillspark.llm.decontam import build_index, search
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdef", k=rng.randint(0, 14)))) for i in range(150)] + [(900, "a b b x c")]
+    items = [(i, " ".join(rng.choices("abcdef", k=rng.randint(1, 6)))) for i in range(25)] + [(77, "a b c")]
+    index = build_index(spark.createDataFrame(rows, "doc_id bigint, text string"), chars=400)
+    for slop in (0, 1, 2):
+        got = {r["doc_id"]: set(r["item_ids"]) for r in search(index, items, size=3, slop=slop).collect()}
+        cut = lambda w: [w[i : i + 3] for i in range(max(1, len(w) - 2))]
+        want = {d: {i for i, t in items if any(near_matches(w, text.split(), slop) for w in cut(t.split()))} for d, text in rows}
+        assert got == want
+
+
+def test_many_windows(spark):
+    from quillspark.llm.decontam import build_index, search
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(words, k=1013))) for i in range(100)]  # 100,100 windows of 13 words
+    rows = [(i, " ".join([*rng.choices(words, k=300), *(items[i][1].split()[50 : 50 + 13 * (i % 3)])])) for i in range(60)]
+    found = search(build_index(spark.createDataFrame(rows, "doc_id bigint, text string")), items).collect()
+    assert {r["doc_id"]: (list(r["item_ids"]), r["n_hit"]) for r in found} == {i: ([i] if i % 3 else [], 13 * (i % 3)) for i in range(60)}
+
+
 def test_language_model(docs, none):
     from quillspark.llm.hpylm import score_documents
 
@@ -268,26 +301,6 @@ def test_contexts_are_whole_words(spark):
     assert found.score.sum() > -1.15 * len(found) * 300 * np.log10(1500)
 
 
-def test_predictive_sums_to_one(spark):
-    from quillspark.llm.hpylm import Restaurants, merge_bucket, shard_rows, train
-    import pyarrow as pa
-
-    rows = [r for r in shard_rows([0, 2, 3], ["a b a c b a", "b b c", "d a b c"], 0, 1) if r[0] == "req"]
-    table = pa.table({k: [r[i] for r in rows] for k, i in (("shard", 1), ("bucket", 2), ("a", 3), ("b", 4), ("c", 5), ("d", 6))})
-    model = spark.createDataFrame(merge_bucket(table).to_pandas().drop(columns=["shards", "requests", "request_sizes"]))
-    totals = train(model)
-    row = model.first().asDict()
-    r = Restaurants(*(bytes(row[p]) for p in ("words", "per_word", "contexts", "counts")), row["bucket"])
-    for s in range(3):
-        r.sweep(totals, s)
-    words = np.arange(len(r.words))
-    for context in np.unique(r.contexts):
-        pair = np.array([next((i for i in range(len(r.word)) if r.word[i] == w and r.contexts[i] == context), -1) for w in words])
-        known = r.predictive(totals, 3, pair, words, np.full(len(words), context)).sum()
-        other = r.predictive(totals, 3, np.array([-1]), np.array([-1]), np.array([context]))[0]
-        assert known + other == pytest.approx(1.0)
-
-
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
