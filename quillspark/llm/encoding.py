@@ -6,7 +6,7 @@ between chunks is also a cut between pre-tokens. Two layouts are recognised from
 * white space is dropped and no pre-token crosses it: chunks are the runs between white space;
 * byte-level with the usual pattern: a chunk is one optional space and a run of other characters, or white space.
 
-Any other tokenizer, and any text with the separators U+001C to U+001F (white space for Python alone), is encoded whole.
+Any other tokenizer, any text with the string of an added token, and any with the separators U+001C to U+001F (white space for Python alone), is encoded whole.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from itertools import chain
 
 import numpy as np
 
+from quillspark.llm.common import trim
+
 _ODD = re.compile("[\x1c-\x1f]")
 #: What a cut at each single space or line end would get wrong.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|\0")
@@ -60,7 +62,9 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t["content"] for t in spec.get("added_tokens") or () if t["content"]]
+        #: Texts with an added token's string are encoded whole, as only the tokenizer cuts there.
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.layout = _layout(spec)
         self.remember = remember if self.layout != "whole" else 0  # whole texts seldom come again
         self._forget()
@@ -70,8 +74,13 @@ class ChunkEncoder:
         self.ids, self.n_ids = np.empty(1 << 16, np.uint32), 0
         self.start, self.size = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
 
+    def rest(self) -> None:
+        """At the end of a task: let go of what was remembered."""
+        self._forget()
+        trim()
+
     def _chunks(self, text: str) -> list[str]:
-        if self.layout == "whole" or _ODD.search(text):
+        if self.layout == "whole" or _ODD.search(text) or self.added and self.added.search(text):
             return [text]
         if self.layout == "space":
             return text.split()
@@ -114,6 +123,13 @@ class ChunkEncoder:
         return flat, ends[counts]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker process and file."""

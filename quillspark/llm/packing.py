@@ -1,11 +1,14 @@
 """Operator 1: best-fit packing by bin completion.
 
-`pack_lengths` packs the pieces of one group: best-fit decreasing gives the first incumbent; if it is above the waste
-bound, a depth-first search completes one bin at a time around the largest piece left, tries only undominated fillings
-(fullest first), and prunes a branch once its waste is more than the incumbent could still save.
+`pack_lengths` packs the pieces of one group: best-fit decreasing gives the first incumbent; if it is above the bound, a
+depth-first search completes one bin at a time around the largest piece left, tries only undominated fillings (fullest
+first), and prunes a branch once its waste, or the bound of what is left, can no longer beat the incumbent. On its way
+down it also completes what is left by best fit, which gives further incumbents. Without a budget of nodes every
+undominated filling is enumerated and the result is optimal; with one, FILLINGS of them are tried at each node.
 
 `pack` spreads any number of pieces over groups of bounded size, packs each, and packs what lies in poorly filled
-sequences again over fewer, merged groups, so that the number of groups costs next to no sequences.
+sequences again over as many groups as these pieces need; it ends when they no longer get fewer, so no group outgrows
+its bound however badly the pieces fit.
 
 Defined results: null or empty texts hold the end id alone; rows that repeat a doc_id are packed each on its own; an
 empty table gives an empty result; other columns are ignored.
@@ -82,20 +85,39 @@ class _Rest:
         return next(self.below(self.sizes[-1]))
 
 
-def _fillings(rest: _Rest, room: int, most: int, steps: int = 2_000) -> list[list[int]]:
+#: Budget of one search where one is wanted: nodes beyond one descent; fillings kept and pieces tried at each.
+NODES, FILLINGS, TRIES = 500, 24, 200
+
+
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: for each least size, the larger pieces' own bins and the volume that does not fit in them."""
+    sizes = np.sort(np.asarray(sizes, np.int64))
+    if not len(sizes):
+        return 0
+    whole = np.r_[0, np.cumsum(sizes)]
+    half = np.searchsorted(sizes, capacity // 2, "right")
+    least = np.r_[0, np.unique(sizes[:half])]
+    low, high = np.searchsorted(sizes, least), np.searchsorted(sizes, capacity - least, "right")
+    high = np.maximum(high, half)
+    alone, middle = len(sizes) - high, high - half
+    over = (whole[half] - whole[low]) - (middle * capacity - (whole[high] - whole[half]))
+    return int((alone + middle + np.maximum(0, -(-over // capacity))).max())
+
+
+def _fillings(rest: _Rest, room: int, most: int | None, tries: int | None) -> list[list[int]]:
     """Undominated ways to fill `room`, fullest first.
 
     A filling is dominated if a piece outside it fits besides, or could take the place of a smaller piece inside, or of
-    two pieces inside. `most` and `steps` bound the fillings kept and the pieces tried."""
+    two pieces inside. `most` and `tries` bound the fillings kept and the pieces tried; the first is always kept."""
     found: list[tuple[int, list[int]]] = []
     tried = 0
 
     def grow(limit: int, left: int, chosen: list[int]) -> bool:
         nonlocal tried
         extended = False
-        for s in list(islice(rest.below(min(limit, left)), most)):
+        for s in list(rest.below(min(limit, left))) if most is None else list(islice(rest.below(min(limit, left)), most)):
             tried += 1
-            if tried > steps or len(found) >= most:
+            if found and (tries is not None and tried > tries or most is not None and len(found) >= most):
                 return True
             extended = True
             rest.move([s], -1)
@@ -109,14 +131,6 @@ def _fillings(rest: _Rest, room: int, most: int, steps: int = 2_000) -> list[lis
         return False
 
     grow(room, room, [])
-    if not found:  # the steps ran out on the way down
-        chosen, left = [], room
-        while (s := next(rest.below(left), None)) is not None:
-            rest.move([s], -1)
-            chosen.append(s)
-            left -= s
-        rest.move(chosen, 1)
-        found = [(left, chosen)]
     kept = []
     for left, chosen in sorted(found, key=lambda x: (x[0], len(x[1]))):
         rest.move(chosen, -1)
@@ -128,32 +142,38 @@ def _fillings(rest: _Rest, room: int, most: int, steps: int = 2_000) -> list[lis
     return kept or [min(found)[1]]
 
 
-def pack_lengths(lengths: list[int], capacity: int, nodes: int | None = None, fillings: int = 24) -> list[list[int]]:
-    """Sequences as lists of positions in `lengths`.
-
-    `nodes`: sequences completed before the search ends with its incumbent (by default, four descents and 2000 more)."""
+def pack_lengths(lengths: list[int], capacity: int, nodes: int | None = None) -> list[list[int]]:
+    """Sequences as lists of positions in `lengths`. `nodes`: completions of sequences tried, beyond one descent, before
+    the search ends with its incumbent; None searches until that is known to be the best."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     sizes = [lengths[i] for i in order]
     if sizes and (sizes[0] > capacity or sizes[-1] <= 0):
         raise ValueError("a piece must have between 1 and `capacity` ids")
     best = _best_fit(sizes, capacity)
-    bound = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
-    budget = nodes if nodes is not None else 4 * len(best) + 2_000
+    bound = lower_bound(np.array(sizes, np.int64), capacity)
+    budget, limits = (None, (None, None)) if nodes is None else (len(best) + nodes, (FILLINGS, TRIES))
     rest = _Rest(sizes)
     whole = rest.total
     done: list[list[int]] = []
     # A frame: fillings still to try for the sequence around the largest piece left, and the waste before it.
     frames: list[tuple[int, list[list[int]], int]] = []
-    waste = 0
+    waste, tried = 0, len(sizes)
     opening = len(best) > bound
     while opening or frames:
-        if len(best) <= bound or budget <= 0:
+        if len(best) <= bound or budget is not None and budget <= 0:
             break
         if opening and rest.left:
-            budget -= 1
+            if budget is not None:
+                budget -= 1
+            if rest.left <= tried - max(1, tried // 16) or rest.left > tried + tried // 16:  # a sixteenth on: complete by best fit
+                tried = rest.left
+                left = _best_fit([s for s in rest.below(capacity) for _ in range(rest.counts[s])], capacity)
+                if len(done) + len(left) < len(best):
+                    best = [list(b) for b in done] + left
+                    continue
             big = rest.largest()
             rest.move([big], -1)
-            frames.append((big, _fillings(rest, capacity - big, fillings)[::-1], waste))
+            frames.append((big, _fillings(rest, capacity - big, *limits)[::-1], waste))
         elif opening and len(done) < len(best):
             best = [list(b) for b in done]
         big, options, waste = frames[-1]
@@ -196,11 +216,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
             columns = list(zip(*rows, strict=True))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder(tokenizer).rest()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int, group_rows: int = 25_000, merge: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, group_rows: int = 25_000) -> DataFrame:
     """Add sequence_id and offset to rows that have `length`. One task packs about `group_rows` pieces at a time."""
     fields = [f for f in pieces.schema.fields if f.name not in ("group", "sequence_id", "offset", "room")]
     kept = [f.name for f in fields]
@@ -212,7 +233,7 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 25_000, merge: int
             sequence, offset, room = (np.zeros(len(rows), np.int64) for _ in range(3))
             lengths = rows["length"].astype("int64").tolist()
             base = (step << 56) | (int(rows["group"].iloc[0]) << 28)
-            for number, members in enumerate(pack_lengths(lengths, capacity)):
+            for number, members in enumerate(pack_lengths(lengths, capacity, NODES)):
                 at = 0
                 for i in members:
                     sequence[i], offset[i] = base | number, at
@@ -222,20 +243,19 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 25_000, merge: int
 
         return run
 
-    total = pieces.count()
-    groups = max(1, -(-total // group_rows))
-    spread = F.pmod(F.xxhash64(*(F.col(c) for c in kept)), F.lit(groups)).cast("bigint")
-    rest, done, step = pieces.select(*kept).withColumn("group", spread), None, 0
+    rest, done, step, groups = pieces.select(*kept), None, 0, max(1, -(-pieces.count() // group_rows))
     while True:
-        packed = rest.groupBy("group").applyInPandas(level(step), schema)
-        if groups == 1:
-            done = packed if done is None else done.unionByName(packed)
-            return done.select(*kept, "sequence_id", "offset")
-        packed = materialize(packed, "packed")
-        full = packed.filter(F.col("room") * 8 <= capacity)
+        spread = F.pmod(F.xxhash64(F.lit(step), *(F.col(c) for c in kept)), F.lit(groups)).cast("bigint")
+        packed = rest.withColumn("group", spread).repartition(groups, "group").groupBy("group").applyInPandas(level(step), schema)
+        if groups > 1:
+            packed = materialize(packed, "packed")
+        loose = F.col("room") * 8 > capacity
+        fewer = max(1, -(-packed.filter(loose).count() // group_rows)) if groups > 1 else groups
+        if fewer == groups:  # one group, or pieces that do not fit together better than this
+            return (packed if done is None else done.unionByName(packed)).select(*kept, "sequence_id", "offset")
+        full = packed.filter(~loose)
         done = full if done is None else done.unionByName(full)
-        groups, step = -(-groups // merge), step + 1
-        rest = packed.filter(F.col("room") * 8 > capacity).select(*kept, F.pmod(F.col("group"), F.lit(groups)).alias("group"))
+        rest, groups, step = packed.filter(loose).select(*kept), fewer, step + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:

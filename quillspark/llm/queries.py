@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch_path, table
+from quillspark.llm.common import leave, scratch_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,10 +27,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.encoding import vocabulary_size
     from quillspark.llm.tokenbin import read_tokens, write_tokens
 
-    path = scratch_path(spark, "tokens")
-    parts = write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), vocabulary=50_257, end_id=2)
+    path, file = scratch_path(spark, "tokens"), tokenizer_file("byte_bpe_50k.json")
+    parts = write_tokens(table(spark, sf_dir, "documents"), path, file, vocabulary=vocabulary_size(file), end_id=2)
+    leave(spark, path)
     return read_tokens(spark, parts)
 
 

@@ -159,6 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
                     writer.add(doc_id, np.append(flat[at[i] : at[i + 1]], np.uint32(end_id)))
             writer.close()
         files.move(draft, f"{root}/{name}")
+        encoder(tokenizer).rest()
         yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int64()), "name": [name], "n_ids": pa.array([writer.n_ids], pa.int64()), "n_docs": pa.array([len(writer.doc_ids)], pa.int64())})
 
     files, root = _open(path)

@@ -326,13 +326,41 @@ def test_packing_levels(spark):
 
     rng = random.Random(2)
     rows = [(i, rng.randint(1, 40)) for i in range(900)]
-    found = pack(spark.createDataFrame(rows, "doc_id bigint, length bigint"), 100, group_rows=100, merge=4).toPandas()
+    found = pack(spark.createDataFrame(rows, "doc_id bigint, length bigint"), 100, group_rows=100).toPandas()
     assert len(found) == 900 and found.groupby("sequence_id").length.sum().max() <= 100
-    assert found.sequence_id.nunique() <= len(pack_lengths([n for _, n in rows], 100)) + 4
+    assert found.sequence_id.nunique() <= len(pack_lengths([n for _, n in rows], 100, 500)) + 6
+
+
+def test_packing_keeps_groups_bounded(spark, monkeypatch):
+    """Pieces of which no two fit together are never gathered in one group."""
+    from quillspark.llm import packing
+
+    def held(lengths, capacity, nodes):
+        assert len(lengths) <= 160, len(lengths)
+        return [[i] for i in range(len(lengths))]
+
+    monkeypatch.setattr(packing, "pack_lengths", held)
+    found = packing.pack(spark.createDataFrame([(i, 60) for i in range(2000)], "doc_id bigint, length bigint"), 100, group_rows=100)
+    assert found.select("sequence_id").distinct().count() == 2000
+
+
+def test_lower_bound_and_time():
+    import time
+
+    from quillspark.llm.packing import lower_bound, pack_lengths
+
+    assert lower_bound(np.array([60] * 7), 100) == 7 and lower_bound(np.array([51, 51, 50, 30]), 100) == 3 and lower_bound(np.array([], np.int64), 9) == 0
+    for seed, low, high in ((1, 1100, 2100), (2, 300, 1500)):
+        rng = random.Random(seed)
+        sizes = [rng.randint(low, high) for _ in range(3000)]
+        began = time.process_time()
+        packed = pack_lengths(sizes, 4096, 500)
+        assert time.process_time() - began < 6  # about 1 s where nothing else runs
+        assert lower_bound(np.array(sizes), 4096) <= len(packed)
 
 
 def test_bin_completion_is_optimal_on_small_cases():
-    from quillspark.llm.packing import pack_lengths
+    from quillspark.llm.packing import lower_bound, pack_lengths
 
     def best(sizes, capacity):
         found = [len(sizes)]
@@ -356,6 +384,7 @@ def test_bin_completion_is_optimal_on_small_cases():
         capacity = rng.choice([10, 30, 100])
         sizes = sorted((rng.randint(1, capacity if rng.random() < 0.4 else capacity // 2) for _ in range(rng.randint(0, 9))), reverse=True)
         packed = pack_lengths(sizes, capacity)
+        assert lower_bound(np.array(sizes, np.int64), capacity) <= len(packed)
         assert sorted(i for b in packed for i in b) == list(range(len(sizes)))
         assert len(packed) == best(sizes, capacity)
 
@@ -399,8 +428,7 @@ def test_encoder_matches_the_library():
     odd = ["", " ", "  a  b\n\n c ", "x\xa0y\u3000z <|endoftext|>a", "a\n b\t\tc\r\n", "it's 'll 12 345 é́ Σας ΣΑΣ \x1c a\x85b", "é ́x", "\u200bfoo bar  ", "\nx", "x\0y z"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         tokenizer = Tokenizer.from_file(tokenizer_file(name))
-        tokenizer.encode_special_tokens = True
-        texts = odd + [t or "" for _, t in PAIRS]
+        texts = [*odd, "x <|endoftext|> y", "a<|endoftext|>", "<|startoftext|> b", *(t or "" for _, t in PAIRS)]
         for remember in (100_000, 3):
             encoder = ChunkEncoder(tokenizer_file(name), remember)
             for _ in range(2):
