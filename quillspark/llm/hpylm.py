@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bucketed, discard, doc_slices, input_bytes, materialize
+from quillspark.llm.common import bucketed, discard, doc_slices, input_bytes, materialize, trim
 from quillspark.llm.seating import DISCOUNTS, STRENGTHS, Restaurants, draw_parameters, first_tables, restaurants_likelihood, tables_likelihood
 
 #: Rounds of SWEEPS sweeps between exchanges; the seats of the first BURN_IN rounds are not used.
@@ -130,6 +130,7 @@ def shards(docs: DataFrame, chars: int) -> DataFrame:
         for ids, texts in doc_slices(batches, chars):
             yield from _rows(SHARDS, [shard_row(ids, texts, number << 24 | made)]).to_batches()
             made += 1
+        trim()
 
     return materialize(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SHARDS), "shards")
 

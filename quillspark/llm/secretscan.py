@@ -3,12 +3,13 @@ r"""Operator 9: secret scans by corpus-wide ownership frequency, with DataFrame
 Three patterns give the base spans. Positions come from one pass each: the pieces between matches (split) and the
 matches themselves (extract all) alternate, so running lengths give every start and end in code points.
 
-Long mixed tokens are candidates, within base spans and beside them. The hash of every candidate is counted over the whole corpus by distinct
-owner (source) and repository (document): a value that several owners hold is a copied example, a value that one owner
-alone holds, in few repositories, looks live and is added as a span of kind `owned` (over a base span, or of its own). Only hashes are shuffled, distinct
+Long mixed tokens are candidates, within base spans and beside them. The hash of every candidate is counted over the whole
+corpus by distinct owner (source) and repository (text, so that copies of one count once): a value that several owners
+hold is a copied example; one that a single owner holds, in few of its repositories (a share of them, or a small number),
+looks live and is added as a span of kind `owned` (over a base span, or of its own). Only hashes are shuffled, distinct
 triples first, so a value that a third of all documents hold is spread and then added up map-side.
 
-Defined results: null or empty texts have no spans; a null owner counts as one owner; rows that repeat a doc_id count as
+Defined results: null or empty texts have no spans; a null owner counts as one owner; rows that repeat a text count as
 one repository and each get their spans; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: A run starts where no character of its class stands before; so only runs that are long enough are looked at twice.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-OWNED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,}"
+OWNED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
@@ -51,24 +52,28 @@ def scan(docs: DataFrame) -> DataFrame:
     """rid, doc_id, source, base (spans of the base patterns) and more (candidates of the method), kept without texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(_spans(text, ASSIGN, 0, 2, 6), _spans(text, ACCESS, 1, 0, 20), _spans(text, HEX, 2, 0, 24))
-    return materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", base.alias("base"), _spans(text, OWNED, 3, 0, 20).alias("more")), "spans")
+    return materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", F.xxhash64(text).alias("version"), base.alias("base"), _spans(text, OWNED, 3, 0, 20).alias("more")), "spans")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """From (h1, h2, owner, repository) the distinct owners and repositories of each hash."""
+    """From (h1, h2, owner, repository) each hash's distinct owners, its repositories, and an owner (the only one, if one)."""
     triples = candidates.groupBy("h1", "h2", "owner", "repository").agg(F.lit(1).alias("one"))
     per_owner = triples.groupBy("h1", "h2", "owner").agg(F.count("*").alias("n"))
-    return per_owner.groupBy("h1", "h2").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    return per_owner.groupBy("h1", "h2").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.min("owner").alias("owner"))
 
 
-def secret_spans(docs: DataFrame, max_owners: int = 1, max_repositories: int = 3, min_distinct: int = 8) -> DataFrame:
-    """doc_id, base and spans (base and added), each an ordered array of (start, kind, end)."""
+def secret_spans(docs: DataFrame, max_owners: int = 1, max_repositories: int = 3, max_share: float = 0.01, min_distinct: int = 8) -> DataFrame:
+    """doc_id, base and spans (base and added), each an ordered array of (start, kind, end).
+
+    A value is live-looking in at most `max_owners` owners and `max_repositories` texts, or `max_share` of its owner's texts."""
     found = scan(docs)
-    candidates = found.select("rid", F.col("source").alias("owner"), F.col("doc_id").alias("repository"), F.explode("more").alias("span"))
+    candidates = found.select("rid", F.col("source").alias("owner"), F.col("version").alias("repository"), F.explode("more").alias("span"))
     varied = F.size(F.array_distinct(F.split(F.col("span.value"), ""))) >= min_distinct
     mixed = F.regexp_like(F.col("span.value"), F.lit("[0-9]")) & F.regexp_like(F.col("span.value"), F.lit("[A-Za-z]"))
     candidates = candidates.filter(varied & mixed).select("rid", "owner", "repository", "span.start", "span.end", F.xxhash64("span.value").alias("h1"), F.xxhash64(F.lit(7), F.col("span.value")).alias("h2"))
-    rare = ownership(candidates).filter((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
+    texts = found.groupBy("source", "version").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("n_texts"))
+    owned = ownership(candidates).filter(F.col("n_owners") <= max_owners)
+    rare = owned.join(texts, F.col("owner").eqNullSafe(F.col("source"))).filter((F.col("n_repositories") <= max_repositories) | (F.col("n_repositories") <= max_share * F.col("n_texts"))).select("h1", "h2")
     added = candidates.join(rare, ["h1", "h2"]).groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("added")).select(F.col("rid").alias("rid2"), "added")
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     joined = found.join(added, F.col("rid") == F.col("rid2"), "left")

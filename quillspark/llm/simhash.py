@@ -8,8 +8,9 @@ variants there. The shuffle carries fingerprints, not variants. In a bucket, equ
 colliding pairs are verified, and a spanning forest of the links leaves the bucket, never all pairs of a group. Texts
 with equal fingerprints are merged before; components join the rest.
 
-The number of buckets follows the number of distinct fingerprints, so that a bucket holds a bounded number of them; a
-bucket works through its variants in slices of bounded size.
+The number of buckets follows the number of distinct fingerprints. Buckets are counted before they are gathered: one that
+is over its bound is dealt by further bits, on which even fingerprints within a few bits of one another part (of 2^f finer
+buckets each reaches 1 + f + f(f - 1) / 2). A bucket works through its variants in slices of bounded size.
 
 Defined results: null or empty texts have fingerprint zero, like any other; a null doc_id gets a fingerprint, and never
 names a component unless it has no other member (then component_id is null); repeated rows are kept; an empty table gives an empty result.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_slices, materialize, text_version
+from quillspark.llm.common import doc_slices, materialize, text_version, trim
 from quillspark.llm.components import components
 
 SEED = 42
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
         for keys, texts in doc_slices(batches, 1_500_000):
             ids, versions = ([k[name] for k in keys] for name in ("doc_id", "version"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(simhashes(texts, width).view(np.int64))], ["doc_id", "version", "fp"])
+        trim()
 
     text = F.col("text").cast("string")
     key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_version(text).alias("version"))
@@ -168,13 +170,34 @@ def near_links(distinct: DataFrame, count: int, distance: int = 4, bucket_rows:
                 buckets = (projected(part.view(np.uint64), positions[:bits])[:, None] ^ reach[None, :]).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.repeat(part, len(reach)))], ["bucket", "fp"])
 
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Deal rows of large buckets again: to the values of `finer` more bits that their variants in the bucket have."""
+        coarse = projected(masks, positions[:bits])
+        for batch in batches:
+            bucket, fps, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            flips = projected(fps.view(np.uint64), positions[:bits]) ^ bucket
+            for f, flip in {*zip(more.tolist(), flips.tolist(), strict=True)}:
+                mine = np.flatnonzero((more == f) & (flips == flip))
+                further = positions[bits : bits + f]
+                ways = np.unique(projected(masks[coarse == flip], further))
+                part = (projected(fps[mine].view(np.uint64), further)[:, None] ^ ways[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket[mine], len(ways)) | part << bits), pa.array(np.repeat(fps[mine], len(ways))), pa.array(np.full(len(part), f, np.int32))], ["bucket", "fp", "finer"])
+
     def meet(rows: pa.Table) -> pa.Table:
-        bucket = rows.column("bucket")[0].as_py()
+        bucket, more = rows.column("bucket")[0].as_py(), rows.column("finer")[0].as_py()
         fps = rows.column("fp").to_numpy().view(np.uint64)
-        u, v = bucket_links(fps, bucket, bits, positions, radius, most)
+        u, v = bucket_links(fps, bucket, bits + more, positions, radius, most)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return distinct.select("fp").mapInArrow(spread, "bucket bigint, fp bigint").groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")
+    dealt = distinct.select("fp").mapInArrow(spread, "bucket bigint, fp bigint")
+    over = F.ceil(F.log2(F.col("n") / F.lit(bucket_rows))).cast("int") + 6
+    large = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * bucket_rows).select("bucket", F.least(over, F.lit(min(20, 60 - bits))).alias("finer")), "large")
+    if large.isEmpty():
+        dealt = dealt.withColumn("finer", F.lit(0))
+    else:
+        known = dealt.join(large, "bucket", "left").select("bucket", "fp", F.coalesce("finer", F.lit(0)).alias("finer"))
+        dealt = known.filter("finer = 0").unionByName(known.filter("finer > 0").mapInArrow(finer, "bucket bigint, fp bigint, finer int"))
+    return dealt.groupBy("bucket", "finer").applyInArrow(meet, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:

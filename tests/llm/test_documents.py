@@ -168,6 +168,39 @@ def test_ball_meets_every_close_pair():
         assert (got == want).all()
 
 
+def test_hot_buckets_are_split(spark):
+    """Fingerprints within two bits of one share their buckets, which are dealt again; links are those of all pairs."""
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.components import components
+    from quillspark.llm.simhash import ball, near_links
+
+    rng = np.random.default_rng(3)
+    hot = np.uint64(0x5A17C0FFEE123457) ^ ball(2)
+    others = np.repeat(rng.integers(0, 1 << 63, 300, dtype=np.uint64), 2)
+    others[1::2] ^= np.uint64(0b11011)
+    fps = np.unique(np.concatenate([hot, others]))
+    distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
+    for rows in (100, 250_000):  # with buckets far over their bound, and without
+        found = components(near_links(distinct, len(fps), 4, bucket_rows=rows))
+        sizes = found.groupBy("root").agg(F.count("*").alias("n")).groupBy("n").count().collect()
+        assert {(r["n"], r["count"]) for r in sizes} == {(len(hot) - 1, 1), (1, 300)}
+
+
+def test_components(spark):
+    from quillspark.llm.components import components
+
+    rng = random.Random(12)
+    edges = [(a, a + 1) for a in range(0, 60)] + [(100 + rng.randint(0, 50), 100 + rng.randint(0, 50)) for _ in range(40)] + [(900, 900), (7, 7)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {n: r for n, r in label.items() if n != r}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
 def test_secrets(docs, none):
     from pyspark.sql import functions as F
 
@@ -188,6 +221,13 @@ def test_secret_ownership(spark):
     found = secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     got = dict(found.select("doc_id", spans_text("spans")).collect())
     assert got == {0: "", 1: "", 2: "", 3: "", 9: f"owned:7:{7 + len(own)}"}
+    # Long values, and those that one owner repeats: copies of a text count once, and a share of its texts is few.
+    late, often = "abcdefghij" * 7 + "k3Lmnop", "Zx8Cv7Bn6Mm5Aa4Ss3Dd"
+    rows = [(1, late, "a"), *((10 + i, f"same text {often}", "b") for i in range(30)), *((100 + i, f"text {i} {own}", "c") for i in range(10)), *((1000 + i, f"plain {i}", "d") for i in range(5)), (2000, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    marked = lambda **kw: {d for d, n in secret_spans(frame, **kw).select("doc_id", "spans").collect() if n}
+    assert marked() == {1, *range(10, 40)}
+    assert marked(max_share=1.0) == {1, *range(10, 40), *range(100, 110)}
 
 
 def test_contamination(spark, docs, none):
@@ -331,17 +371,13 @@ def test_packing_levels(spark):
     assert found.sequence_id.nunique() <= len(pack_lengths([n for _, n in rows], 100, 500)) + 6
 
 
-def test_packing_keeps_groups_bounded(spark, monkeypatch):
+def test_packing_keeps_groups_bounded(spark):
     """Pieces of which no two fit together are never gathered in one group."""
-    from quillspark.llm import packing
-
-    def held(lengths, capacity, nodes):
-        assert len(lengths) <= 160, len(lengths)
-        return [[i] for i in range(len(lengths))]
+    from quillspark.llm.packing import pack
 
-    monkeypatch.setattr(packing, "pack_lengths", held)
-    found = packing.pack(spark.createDataFrame([(i, 60) for i in range(2000)], "doc_id bigint, length bigint"), 100, group_rows=100)
-    assert found.select("sequence_id").distinct().count() == 2000
+    found = pack(spark.createDataFrame([(i, 60) for i in range(2000)], "doc_id bigint, length bigint"), 100, group_rows=100).toPandas()
+    assert found.sequence_id.nunique() == 2000
+    assert (found.sequence_id // (1 << 28)).value_counts().max() <= 160  # a sequence's number begins with its group's
 
 
 def test_lower_bound_and_time():
