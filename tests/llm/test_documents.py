@@ -168,6 +168,28 @@ def test_ball_meets_every_close_pair():
         assert (got == want).all()
 
 
+def test_links_within_buckets():
+    """All pairs of a bucket, also where it is cut into blocks."""
+    from quillspark.llm.neardup import linked
+    from quillspark.llm.simhash import forest
+
+    rng = random.Random(14)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(1000), 40)
+        for _ in range(6):
+            sets.append(np.unique([x if rng.random() > 0.08 else rng.randrange(1000) for x in base]))
+    sids = np.arange(len(sets)) * 10
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    want = forest(len(sets), np.array([a for a, _ in near]), np.array([b for _, b in near]))
+    blocks, links = np.arange(len(sets)) % 2, []
+    for chosen in (blocks == 0, blocks == 1, blocks >= 0):
+        at = np.flatnonzero(chosen)
+        links += linked(sids[at], sids[at], blocks[at], np.array([len(sets[i]) for i in at]), np.concatenate([sets[i] for i in at]), 0.8)
+    got = forest(len(sets), np.array([a // 10 for a, _ in links]), np.array([b // 10 for _, b in links]))
+    assert (got == want).all() and 0 < len(set(want)) < len(sets)
+
+
 def test_hot_buckets_are_split(spark):
     """Fingerprints within two bits of one share their buckets, which are dealt again; links are those of all pairs."""
     from pyspark.sql import functions as F
