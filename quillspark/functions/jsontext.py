@@ -10,6 +10,9 @@ from quillspark.functions.text import strip
 #: One JSON value and nothing after it: brackets and quotes are balanced by the parser, what is left over by this.
 _WHOLE = r"(?s)^\s*(?:\{.*\}|\[.*\]|\"(?:[^\"\\]|\\.)*\"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)\s*$"
 
+#: Lists within lists that a citation's number is looked for in.
+NESTED = 4
+
 
 def _strict(text: Column) -> Column:
     """The value as VARIANT, null if it isn't one whole JSON value. A trailing second value makes the ends of an array."""
@@ -28,15 +31,17 @@ def lenient_json(text: Column) -> Column:
 
 
 def source_number(value: Column) -> Column:
-    """An int from a VARIANT: whole numbers as they are, fractions cut, lists by their first, texts by their first digits."""
-    kind = F.schema_of_variant(value)
-    number = F.try_variant_get(value, "$", "double").cast("int")
-    digits = F.regexp_extract(F.try_variant_get(value, "$", "string"), r"\d+", 0).try_cast("int")
-    plain = F.when(kind.isin("BOOLEAN", "VOID") | F.startswith(kind, F.lit("OBJECT")), F.lit(None)).when(kind == "STRING", digits).otherwise(number)
-    first = F.try_variant_get(value, "$[0]", "variant")
-    first_kind = F.schema_of_variant(first)
-    of_first = F.when(first_kind == "STRING", F.regexp_extract(F.try_variant_get(first, "$", "string"), r"\d+", 0).try_cast("int")).when(first_kind.isin("BOOLEAN", "VOID") | F.startswith(first_kind, F.lit("OBJECT")), F.lit(None)).otherwise(F.try_variant_get(first, "$", "double").cast("int"))
-    return F.when(value.isNull(), F.lit(None)).when(F.startswith(kind, F.lit("ARRAY")), of_first).otherwise(plain).cast("int")
+    """An int from a VARIANT: whole numbers as they are, fractions cut, texts by their first digits, lists by their first (NESTED lists deep)."""
+    found = F.lit(None).cast("int")
+    for depth in reversed(range(NESTED + 1)):
+        at = "$" + "[0]" * depth
+        inner = F.try_variant_get(value, at, "variant")
+        kind = F.schema_of_variant(inner)
+        digits = F.regexp_extract(F.try_variant_get(inner, "$", "string"), r"\d+", 0).try_cast("int")
+        number = F.try_variant_get(inner, "$", "double").cast("int")
+        plain = F.when(kind.isin("BOOLEAN", "VOID") | F.startswith(kind, F.lit("OBJECT")), F.lit(None)).when(kind == "STRING", digits).otherwise(number)
+        found = F.when(inner.isNull(), F.lit(None)).when(F.startswith(kind, F.lit("ARRAY")), found).otherwise(plain)
+    return found.cast("int")
 
 
 def recipe(value: Column) -> Column:

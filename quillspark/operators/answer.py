@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.jsontext import lenient_json, recipe
-from quillspark.operators.models import ChatClient, _worker_model
+from quillspark.operators.models import ChatClient, FormatRefused, per_worker
 
 SYSTEM = (
     "You answer questions from numbered fragments of video transcripts. Use only what the fragments say. "
@@ -29,33 +31,43 @@ def passes_gate(passages: DataFrame, floor: float) -> DataFrame:
     return passages.groupBy("query_id").agg(F.max("video_score").alias("top_score")).filter(F.col("top_score") >= floor)
 
 
-def _plausible(text: str) -> bool:
-    return "{" in (text or "") or "[" in (text or "")
+def _parsed(text: str) -> bool:
+    """Whether the reply holds a JSON object: whole, in a code fence, or from its first brace to its last."""
+    bare = re.sub(r"^```(?i:json)?|```$", "", (text or "").strip()).strip()
+    for part in (bare, bare[bare.find("{") : bare.rfind("}") + 1]):
+        try:
+            if isinstance(json.loads(part), dict):
+                return True
+        except ValueError:
+            continue
+    return False
 
 
 def call_model(rows: DataFrame, make: Callable[[], ChatClient], **options) -> DataFrame:
     """Add `reply`, `error` and `model` to (query_id, query, context): one call, and one stricter call if no JSON came.
 
-    A backend that refuses a response format is asked again without it; a failure is a row, not an end."""
+    A backend that refuses the format (FormatRefused) is asked again without it; a failure is a row, not an end."""
+
+    get = per_worker(make)
 
     def ask(client: ChatClient, talk: list[dict]) -> str:
         try:
             return client.chat(talk, json_mode=True, **options)
-        except TypeError:
+        except FormatRefused:
             return client.chat(talk, **options)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = _worker_model(make)
+        client = get()
         for frame in frames:
             replies, errors = [], []
             for query, context in zip(frame["query"], frame["context"], strict=True):
                 talk = messages(query, context)
                 try:
                     reply = ask(client, talk)
-                    if not _plausible(reply):
-                        reply = ask(client, [*talk, {"role": "assistant", "content": reply[:2000]}, {"role": "user", "content": AGAIN}])
+                    if not _parsed(reply):
+                        reply = ask(client, [*talk, {"role": "assistant", "content": (reply or "")[:2000]}, {"role": "user", "content": AGAIN}])
                     replies.append(reply)
-                    errors.append(None if _plausible(reply) else "no JSON in the reply")
+                    errors.append(None if _parsed(reply) else "no JSON in the reply")
                 except Exception as error:  # noqa: BLE001  recorded as data
                     replies.append(None)
                     errors.append(str(error)[:200])

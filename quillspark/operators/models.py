@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +24,40 @@ class Reranker(Protocol):
     def score(self, query: str, texts: list[str]) -> list[float]: ...
 
 
+class FormatRefused(Exception):
+    """A backend cannot answer in the wanted format."""
+
+
 class ChatClient(Protocol):
     model: str
 
     def chat(self, messages: list[dict], **options: Any) -> str: ...
 
 
-def _worker_model(make: Callable[[], Any], _made: dict = {}) -> Any:  # noqa: B006  one per worker
-    key = f"{getattr(make, '__module__', '')}.{getattr(make, '__qualname__', repr(make))}"
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
+_MADE: dict[str, Any] = {}
+
+
+def per_worker(make: Callable[[], Any]) -> Callable[[], Any]:
+    """`make`, called once per Python worker for each factory; told apart by what is sent to the workers, closures included."""
+    key = hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
+
+    def get() -> Any:
+        from quillspark.operators.models import _MADE  # the worker's own
+
+        if key not in _MADE:
+            _MADE[key] = make()
+        return _MADE[key]
+
+    return get
 
 
 def embed(rows: DataFrame, key: str, text: str, make: Callable[[], Embedder]) -> DataFrame:
     """key, dense, sparse through a model; weights that aren't positive are left out. The key travels with its row."""
 
+    get = per_worker(make)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _worker_model(make)
+        model = get()
         for frame in frames:
             found = model.encode(frame[text].fillna("").tolist())
             yield pd.DataFrame({key: frame[key], "dense": [list(map(float, d)) for d, _ in found], "sparse": [{int(t): float(w) for t, w in s.items() if w > 0} for _, s in found]})
@@ -85,8 +103,10 @@ class OverlapReranker:
 def rerank_scores(rows: DataFrame, make: Callable[[], Reranker]) -> DataFrame:
     """Add `rerank` to (query, text) rows; a query's rows of a batch are scored together."""
 
+    get = per_worker(make)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _worker_model(make)
+        model = get()
         for frame in frames:
             scores = pd.Series(0.0, index=frame.index)
             for query, part in frame.groupby("query"):

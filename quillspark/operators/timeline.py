@@ -25,10 +25,14 @@ def merged_windows(hits: DataFrame, key: str, at: str, before: float, after: flo
 
 
 def outside_windows(rows: DataFrame, windows: DataFrame, key: str, at: str) -> DataFrame:
-    """Rows whose time is in no window, both ends included. An anti-join by key with a residual range."""
-    w = windows.select(F.col(key).alias("w_key"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
-    inside = (F.col(key) == F.col("w_key")) & (F.col(at) >= F.col("w_start")) & (F.col(at) <= F.col("w_end"))
-    return rows.join(w, inside, "left_anti")
+    """Rows whose time is in no window, both ends included; rows without key or time are in none.
+
+    A sweep: windows and rows of a key in order of time, each row held against the furthest end so far."""
+    opened = windows.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col("start").alias("t"), F.lit(0).alias("kind"), F.col("end").alias("reach"))
+    placed = rows.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("kind"), F.struct("*").alias("row"))
+    order = Window.partitionBy("k").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = opened.unionByName(placed, allowMissingColumns=True).withColumn("inside", F.coalesce(F.max("reach").over(order) >= F.col("t"), F.lit(False)))
+    return swept.filter("kind = 1 AND NOT inside").select("row.*")
 
 
 def strip_ads(cues: DataFrame, config: CleanConfig = CleanConfig()) -> tuple[DataFrame, DataFrame]:

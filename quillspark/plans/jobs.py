@@ -42,7 +42,7 @@ def classify_recipes(videos: DataFrame, config: CleanConfig = CleanConfig()) ->
     return videos.withColumns({"is_recipe": found == "", "skip_reason": F.when(found != "", F.concat(F.lit("delivery_marker:'"), found, F.lit("'")))})
 
 
-def statuses(videos: DataFrame, existing: DataFrame, fetched: DataFrame, drop_non_recipe: bool = True, overwrite: bool = False) -> DataFrame:
+def statuses(videos: DataFrame, existing: DataFrame, fetched: DataFrame, drop_non_recipe: bool = False, overwrite: bool = False) -> DataFrame:
     """The manifest of a run: one status a video, in the order in which a video can end."""
     known = existing.select("video_id").distinct().withColumn("there", F.lit(True))
     rows = videos.join(known, "video_id", "left").join(fetched.select("video_id", F.col("status").alias("fetch_status"), "error"), "video_id", "left")

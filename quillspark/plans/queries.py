@@ -258,11 +258,11 @@ def lenient_json(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.try_variant_get(v, "$.a", "int"), F.try_variant_get(v, "$[0]", "int")).alias("value"))
 
 
-@query("""SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 7 IN (4, 5) THEN NULL ELSE o_orderkey END AS INTEGER) AS n FROM orders""")
+@query("""SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 9 IN (4, 5) THEN NULL ELSE o_orderkey END AS INTEGER) AS n FROM orders""")
 def source_n_coerce(spark, d):
-    """A number, a text, a list, a fraction, a boolean, an object, and a list of texts"""
-    k, t = F.col("o_orderkey") % 7, F.col("o_orderkey").cast("string")
-    forms = [t, F.concat(F.lit('"fragment -'), t, F.lit('"')), F.concat(F.lit("["), t, F.lit(", 5]")), F.concat(t, F.lit(".75")), F.lit("true"), F.concat(F.lit('{"n": '), t, F.lit("}")), F.concat(F.lit('["n '), t, F.lit('"]'))]
+    """A number, a text, a list, a fraction, a boolean, an object, a list of texts, and lists within lists"""
+    k, t = F.col("o_orderkey") % 9, F.col("o_orderkey").cast("string")
+    forms = [t, F.concat(F.lit('"fragment -'), t, F.lit('"')), F.concat(F.lit("["), t, F.lit(", 5]")), F.concat(t, F.lit(".75")), F.lit("true"), F.concat(F.lit('{"n": '), t, F.lit("}")), F.concat(F.lit('["n '), t, F.lit('"]')), F.concat(F.lit("[["), t, F.lit("]]")), F.concat(F.lit('[[["'), t, F.lit(' a"], 2]]'))]
     raw = F.lit(None).cast("string")
     for i, f in enumerate(forms):
         raw = F.when(k == i, f).otherwise(raw)
@@ -575,7 +575,7 @@ def video_status(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("video_id"), "doc_id", F.col("source").alias("title"))
     videos = docs.withColumns({"is_recipe": F.col("doc_id") % 3 != 0, "skip_reason": F.lit("x")})
     fetched = docs.filter("doc_id % 2 = 0").select("video_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
-    return jobs.statuses(videos, docs.filter("doc_id % 5 = 0"), fetched).select("video_id", "status")
+    return jobs.statuses(videos, docs.filter("doc_id % 5 = 0"), fetched, drop_non_recipe=True).select("video_id", "status")
 
 
 @query("""SELECT o_custkey AS video_id, min('t' || lpad(o_orderkey::VARCHAR, 9, '0')) FILTER (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END = best) AS track_id FROM

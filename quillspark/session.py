@@ -35,14 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.sparkContext.setCheckpointDir(found)
+        leave(spark, found)
     return found.rstrip("/")
 
 
+def leave(spark: SparkSession, path: str) -> None:
+    """Remove `path`, which must exist by now, when the driver's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a small intermediate table to the shared folder and read it again, so that plans stay flat and tasks restart from it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quill-{tag}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
+    leave(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -57,10 +57,20 @@ class Fetcher(Protocol):
     def __call__(self, video_id: str) -> Transcript: ...
 
 
-def choose_track(tracks: DataFrame) -> DataFrame:
-    """Of each video's tracks (video_id, track_id, generated, translatable) a manual one, else a generated one, else the first translatable."""
-    rank = F.when(~F.col("generated"), 0).when(F.col("generated"), 1).otherwise(2)
-    return tracks.withColumn("r", rank).groupBy("video_id").agg(F.min_by(F.struct("track_id", "generated"), F.struct("r", "track_id")).alias("t")).select("video_id", "t.*")
+def choose_track(tracks: DataFrame, languages: Sequence[str] = ("ru", "ru-RU")) -> DataFrame:
+    """Of each video's tracks (video_id, track_id, generated, and where known language, translatable, listed) one: a manual track in
+    a wanted language (the first of them that is there), else a generated one, else the first listed that can be translated.
+
+    Tracks without a language count as wanted. Videos with no such track have no row."""
+    has = set(tracks.columns)
+    language = F.col("language") if "language" in has else F.lit(None).cast("string")
+    wanted = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in languages)), language), F.lit(1))
+    translatable = F.coalesce("translatable", F.lit(False)) if "translatable" in has else F.lit(False)
+    listed = F.col("listed") if "listed" in has else F.col("track_id")
+    rank = F.when(wanted > 0, F.col("generated").cast("int")).when(translatable, 2)
+    order = F.struct(rank.alias("rank"), F.when(rank < 2, wanted).alias("wanted"), listed.alias("listed"), F.col("track_id").alias("id"))
+    chosen = tracks.filter(rank.isNotNull()).groupBy("video_id").agg(F.min_by(F.struct("track_id", "generated", (rank == 2).alias("translated")), order).alias("t"))
+    return chosen.select("video_id", "t.*")
 
 
 def with_retries(fetch: Fetcher, retries: int = 3, wait: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Fetcher:
@@ -190,11 +200,12 @@ class SpeechModel(Protocol):
 
 def transcribe_audio(files: DataFrame, make: Callable[[], SpeechModel]) -> DataFrame:
     """Recognised segments of (video_id, path); the model is made once a worker. For speech_cues."""
+    from quillspark.operators.models import per_worker
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from quillspark.operators.models import _worker_model
+    get = per_worker(make)
 
-        model = _worker_model(make)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = get()
         for frame in frames:
             rows = [(v, i, t, float(a), float(b)) for v, p in zip(frame["video_id"], frame["path"], strict=True) for i, (t, a, b) in enumerate(model.transcribe(p))]
             yield pd.DataFrame(rows, columns=["video_id", "seg_no", "text", "start", "end"])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.sources.sinks import exists, upserted
@@ -16,13 +17,42 @@ def session_gaps(events: DataFrame, key: str, at: str, gap: str, late: str) -> D
 
 
 def upsert_batches(path: str, make_rows: Callable[[DataFrame], DataFrame], key: str = "chunk_id") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: rows of a batch replace rows of the same key; each batch writes a version beside the last and then names it."""
+    """For foreachBatch: rows of a batch replace rows of the same key.
+
+    A batch starts from the newest version before it, whatever its number, writes the next beside it and names it at the
+    end, so a batch that comes twice or was cut short leaves whole versions only. A batch without rows writes none."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = make_rows(batch)
-        last = f"{path}/v{number - 1}"
-        out = upserted(spark.read.parquet(last), rows, key) if number and exists(spark, last) else rows.dropDuplicates([key])
-        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if rows.isEmpty():
+            return
+        before = max((v for v in versions(spark, path) if v < number), default=None)
+        out = rows.dropDuplicates([key]) if before is None else upserted(spark.read.parquet(f"{path}/v{before}"), rows, key)
+        draft, target = f"{path}/.draft-{uuid.uuid4().hex}", f"{path}/v{number}"
+        out.write.parquet(draft)
+        files, at = _files(spark, path)
+        if exists(spark, target):
+            files.delete(at(target), True)
+        files.rename(at(draft), at(target))
 
     return run
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions under `path`."""
+    if not exists(spark, path):
+        return []
+    files, at = _files(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(at(path))]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The table as of the last batch."""
+    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}")

@@ -191,7 +191,7 @@ def test_answers(spark):
 
 
 def test_streams(spark, tmp_path):
-    from quillspark.streaming.ingest import session_gaps, upsert_batches
+    from quillspark.streaming.ingest import newest, session_gaps, upsert_batches, versions
 
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:10"), (1, "2024-01-01 01:00:00")], "k int, ts string").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(f"{tmp_path}/in")
@@ -204,6 +204,54 @@ def test_streams(spark, tmp_path):
     for number, batch in enumerate([[("a", 1), ("b", 1)], [("b", 2)], [("b", 2)]]):
         put(spark.createDataFrame(batch, "chunk_id string, x int"), number)
     assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/t/v2").collect())) == [("a", 1), ("b", 2)]
+    # A number is left out, a batch comes again, a batch is empty: nothing is lost.
+    for number, batch in ((4, [("c", 3)]), (4, [("c", 3)]), (5, [])):
+        put(spark.createDataFrame(batch, "chunk_id string, x int"), number)
+    assert versions(spark, f"file://{tmp_path}/t") == [0, 1, 2, 4]
+    assert sorted(map(tuple, newest(spark, f"file://{tmp_path}/t").collect())) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_models_of_one_function_are_kept_apart(spark):
+    from quillspark.operators.models import rerank_scores
+
+    class Fixed:
+        def __init__(self, value):
+            self.value = value
+
+        def score(self, query, texts):
+            return [self.value] * len(texts)
+
+    rows = spark.createDataFrame([("q", "t")], "query string, text string")
+    assert [rerank_scores(rows, lambda v=v: Fixed(v)).first()["rerank"] for v in (1.0, 2.0)] == [1.0, 2.0]
+
+
+def test_json_is_asked_for_again(spark):
+    from quillspark.operators.answer import call_model
+    from quillspark.operators.models import FormatRefused
+
+    class Talk:
+        model = "m"
+
+        def __init__(self):
+            self.asked = 0
+
+        def chat(self, talk, json_mode=False):
+            if json_mode and "plain" in talk[1]["content"]:
+                raise FormatRefused
+            if "bug" in talk[1]["content"]:
+                raise TypeError("a fault of the client")
+            self.asked += 1
+            return "{oops" if self.asked == 1 else '```json\n{"found": true}\n```'
+
+    rows = spark.createDataFrame([("a", "first", "c"), ("b", "plain", "c"), ("c", "bug", "c")], "query_id string, query string, context string").coalesce(1)
+    got = {r["query_id"]: (r["reply"], r["error"]) for r in call_model(rows, Talk).collect()}
+    assert got["a"] == ('```json\n{"found": true}\n```', None) and got["b"][1] is None and got["c"] == (None, "a fault of the client")
+
+
+def test_track_choice(spark):
+    tracks = [("v", "a", False, "en", True, 0), ("v", "b", True, "ru", True, 1), ("w", "c", False, "en", False, 0), ("w", "e", True, "de", True, 2), ("w", "d", False, "fr", True, 1), ("x", "f", False, "en", False, 0), ("y", "g", True, "ru", False, 0), ("y", "h", False, "ru", False, 1)]
+    frame = spark.createDataFrame(tracks, "video_id string, track_id string, generated boolean, language string, translatable boolean, listed int")
+    assert {r["video_id"]: (r["track_id"], r["translated"]) for r in connectors.choose_track(frame).collect()} == {"v": ("b", False), "w": ("d", True), "y": ("h", False)}
 
 
 def make_speech():
