@@ -36,7 +36,7 @@ from quillspark.llm.common import bucketed, discard, doc_slices, input_bytes, ma
 from quillspark.llm.seating import DISCOUNTS, STRENGTHS, Restaurants, draw_parameters, first_tables, restaurants_likelihood, tables_likelihood
 
 #: Rounds of SWEEPS sweeps between exchanges; the seats of the first BURN_IN rounds are not used.
-ROUNDS, BURN_IN, SWEEPS = 6, 2, 3
+ROUNDS, BURN_IN, SWEEPS = 5, 1, 3
 #: Context number of the start of a document; the word of number i is context i + 1.
 START = 0
 
@@ -135,8 +135,9 @@ def shards(docs: DataFrame, chars: int) -> DataFrame:
     return materialize(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SHARDS), "shards")
 
 
-def vocabulary(found: DataFrame) -> DataFrame:
-    """hash, id (dense, the most frequent word first) and n of the learnt words."""
+def vocabulary(found: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """hash and id (dense, the most frequent word first) of the learnt words; and the counts that occur, falling, with the ends of
+    their ids. Different counts are at most the root of twice the learnt tokens, so that table is small at any size."""
     totals = found.select(F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("counts").alias("n")))).groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 0")
     ranked = materialize(totals.repartitionByRange(F.desc("n"), "hash").sortWithinPartitions(F.desc("n"), "hash").withColumn("at", F.monotonically_increasing_id()), "words")
     part = F.shiftright("at", 33)
@@ -146,9 +147,11 @@ def vocabulary(found: DataFrame) -> DataFrame:
         at += row["count"]
     first = F.broadcast(ranked.sparkSession.createDataFrame(starts, "part bigint, first bigint"))
     within = F.col("at") - F.shiftleft(part, 33)
-    out = materialize(ranked.join(first, part == first.part).select("hash", (F.col("first") + within).alias("id"), "n"), "vocabulary")
+    tallies = sorted(map(tuple, ranked.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    out = materialize(ranked.join(first, part == first.part).select("hash", (F.col("first") + within).alias("id")), "vocabulary")
     discard(ranked)
-    return out
+    counts, each = (np.array(x, np.int64) for x in (zip(*tallies, strict=True) if tallies else ((), ())))
+    return out, counts, np.cumsum(each)
 
 
 @dataclass(frozen=True)
@@ -424,15 +427,18 @@ def score_documents(docs: DataFrame, buckets: int | None = None, chars: int = 16
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the whole text)."""
     buckets = buckets or max(16, -(-input_bytes(docs) // (12 << 20)))
     found = shards(docs, chars)
-    words = vocabulary(found)
-    counted = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    sizes = Sizes(counted[1], counted[0], found.agg(F.coalesce(F.sum("n_learnt"), F.lit(0))).first()[0], buckets, most)
+    words, counts, ends = vocabulary(found)
+    sent = docs.sparkSession.sparkContext.broadcast((counts, ends))
+    sizes = Sizes(int((counts * np.diff(ends, prepend=0)).sum()), int(ends[-1]) if len(ends) else 0, found.agg(F.coalesce(F.sum("n_learnt"), F.lit(0))).first()[0], buckets, most)
 
     def pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
-        pos, ids, n = (known.column(c).to_numpy().astype(np.int64) for c in ("pos", "id", "n"))
-        return _rows(PAIRS, shard_pairs(shard.to_pylist()[0], pos, ids, n, sizes))
+        (counts, ends), packed = sent.value, known.column("at").to_numpy()
+        pos, ids = packed >> 40, packed & ((1 << 40) - 1)
+        return _rows(PAIRS, shard_pairs(shard.to_pylist()[0], pos, ids, counts[np.searchsorted(ends, ids, "right")], sizes))
 
-    known = found.select("shard", F.posexplode("hashes").alias("pos", "hash")).join(words, "hash").select(F.col("shard").alias("of"), "pos", "id", "n")
+    # A word's place in its shard and its number in one value: this is the widest exchange, a row for each word of each shard.
+    at = F.shiftleft(F.col("pos").cast("bigint"), 40) + F.col("id")
+    known = found.select("shard", F.posexplode("hashes").alias("pos", "hash")).join(words, "hash").select(F.col("shard").alias("of"), at.alias("at"))
     rows = materialize(found.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(pairs, PAIRS), "pairs", partition_by="kind")
     discard(found, words)
     requests = rows.filter("kind = 'req'").select("shard", "bucket", "a", "b", "c", "d", "e")
