@@ -97,7 +97,8 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # A page's outcome is the label of its number: bad if the quality is 0.
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).cast("int").alias("bad"))
-    return url_verdicts(table(spark, sf_dir, "pages"), labels)
+    found = url_verdicts(table(spark, sf_dir, "pages"), labels)
+    return found.select("page_id", "host", "path", "rule", "verdict", F.col("n").alias("n_labelled"), F.round("rate", 6).alias("bad_rate"), F.round("tail", 5).alias("bad_tail"))
 
 
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,28 +135,49 @@ _STRENGTH = """(SELECT CASE WHEN coalesce(room, 0) = 0 THEN 20.0::DOUBLE ELSE 1.
   SELECT sum(n * (bad / n::DOUBLE - m) * (bad / n::DOUBLE - m)) AS seen, sum(m * (1 - m)) AS chance, sum((n - 1) * m * (1 - m)) AS room FROM {0} WHERE n > 0))"""
 _ALPHABETS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OP8_SQL = rf"""
-WITH parsed AS (
+WITH urls AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_ALPHABETS}) AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+parsed AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS site FROM urls),
 known AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels GROUP BY doc_id),
+counted AS (
+  SELECT site, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, string_split(site, '.') AS parts, regexp_matches(site, '^([0-9.]+|\[.*\])$') AS address,
+         regexp_matches(site, '[^.]\.(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z][a-z]$') AS long
+  FROM parsed LEFT JOIN known USING (page_id) GROUP BY site),
 hosts AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
-suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) FROM hosts) AS m FROM hosts GROUP BY suffix),
+  SELECT site, n, bad, CASE WHEN address THEN site WHEN long THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+         CASE WHEN address THEN '[]' WHEN long THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM counted),
+overall AS (SELECT (sum(bad) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) AS r FROM hosts),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT r FROM overall) AS m FROM hosts GROUP BY suffix),
 shrunk1 AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM suffixes, (SELECT {_STRENGTH.format('suffixes')} AS k)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM hosts JOIN shrunk1 USING (suffix) GROUP BY domain, suffix),
 shrunk2 AS (SELECT domain, suffix, (bad + k * m) / (n + k) AS m FROM domains, (SELECT {_STRENGTH.format('domains')} AS k)),
-placed AS (SELECT host, n, bad, m FROM hosts JOIN shrunk2 USING (domain, suffix)),
-posterior AS (SELECT host, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM placed, (SELECT {_STRENGTH.format('placed')} AS k)),
-judged AS (SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.5 AS blocked FROM posterior),
+placed AS (SELECT site, n, bad, m FROM hosts JOIN shrunk2 USING (domain, suffix)),
+posterior AS (
+  SELECT site, n, bad + k * m AS a, n - bad + k * (1 - m) AS b, ln(2 * r / (1 - r)) AS t
+  FROM placed, (SELECT {_STRENGTH.format('placed')} AS k), overall),
+ranged AS (
+  SELECT *, least(t, greatest(-ln(a + b + 1) - 20, ln(a / b) - 40 / a - 9 / sqrt(a * b / (a + b)))) AS lo,
+         greatest(t, least(ln(a + b + 1) + 20, ln(a / b) + 40 / b + 9 / sqrt(a * b / (a + b)))) AS hi,
+         a * ln(a / b) - (a + b) * (greatest(ln(a / b), 0) + ln(1 + exp(-abs(ln(a / b))))) AS peak FROM posterior),
+points AS (
+  SELECT site, i, side, CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * (CASE WHEN side = 0 THEN t - lo ELSE hi - t END) / 600 AS w,
+         CASE WHEN side = 0 THEN lo + i * (t - lo) / 200 ELSE t + i * (hi - t) / 200 END AS u FROM ranged, range(0, 201) g(i), range(0, 2) s(side)),
+masses AS (
+  SELECT site, any_value(n) AS n, any_value(a / (a + b)) AS rate,
+         sum(CASE WHEN side = 0 THEN (w + CASE WHEN i = 0 THEN 1 / a ELSE 0 END) * f ELSE 0 END) AS below,
+         sum(CASE WHEN side = 1 THEN (w + CASE WHEN i = 200 THEN 1 / b ELSE 0 END) * f ELSE 0 END) AS above
+  FROM (SELECT *, exp(a * u - (a + b) * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - peak) AS f FROM points JOIN ranged USING (site)) GROUP BY site),
+judged AS (SELECT site, n, rate, above / (above + below) AS tail FROM masses),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parsed)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled JOIN judged USING (host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN tail > 0.95 THEN 'block' ELSE 'allow' END AS verdict,
+       n AS n_labelled, round(rate, 6) AS bad_rate, round(tail, 5) AS bad_tail
+FROM ruled JOIN judged USING (site)
 """
 
 _WORD_LIST = rf"regexp_extract_all(translate(coalesce(text, ''), {_ALPHABETS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -57,7 +57,7 @@ def test_url_verdicts(spark):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls + bad + good)], "page_id bigint, url string, host string")
     n = len(urls)
     outcomes = spark.createDataFrame([(i, int(i < n + 40)) for i in range(n, n + 120)] + [(n, 1)], "page_id bigint, bad int")
-    got = {r["page_id"]: tuple(r)[1:] for r in url_verdicts(pages, outcomes).collect()}
+    got = {r["page_id"]: tuple(r)[1:5] for r in url_verdicts(pages, outcomes).collect()}
     assert [got[i] for i in range(n)] == [
         ("a.example.net", "/en/1", "example.net/en/", "allow"),
         ("example.net", "", None, "allow"),
@@ -72,3 +72,34 @@ def test_url_verdicts(spark):
     ]
     assert {got[i][3] for i in range(n, n + 40)} == {"block"} and {got[i][3] for i in range(n + 40, n + 120)} == {"allow"}
     assert url_verdicts(pages.limit(0), outcomes).count() == 0 and url_verdicts(pages, outcomes.limit(0)).count() == len(got)
+
+
+def test_posterior_tail(spark):
+    """Against a fine sum over the density, and closed forms."""
+    import numpy as np
+
+    from quillspark.llm.urlrep import with_tail
+
+    cases = [(1.0, 1.0), (0.01, 0.2), (0.5, 0.5), (3.0, 17.0), (0.3, 400.0), (40.0, 260.0), (900.0, 8000.0), (50_000.0, 350_000.0), (20.0, 0.02)]
+    for limit in (0.02, 0.126, 0.5, 0.97):
+        got = {(r["a"], r["b"]): r["tail"] for r in with_tail(spark.createDataFrame(cases, "a double, b double"), limit).collect()}
+        for a, b in cases:
+            u = np.linspace(-60 / min(a, 1) - 10, 60 / min(b, 1) + 10, 4_000_001)
+            f = a * u - (a + b) * np.logaddexp(0, u)
+            f = np.exp(f - f.max())
+            want = f[u > np.log(limit / (1 - limit))].sum() / f.sum()
+            assert abs(got[a, b] - want) < 2e-3, (limit, a, b, got[a, b], want)
+        assert abs(got[1.0, 1.0] - (1 - limit)) < 1e-6 and abs(got[0.5, 0.5] - (1 - 2 / np.pi * np.arcsin(np.sqrt(limit)))) < 1e-6
+
+
+def test_registered_domains(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.urlrep import domain_and_suffix, reputation_site
+
+    want = {
+        "a.foo.co.uk": ("foo.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "1.2.3.4:80": ("1.2.3.4", "[]"), "[::1]:8080": ("[::1]", "[]"),
+        "u:p@x.com:8080": ("x.com", "com"), "www.x.com.": ("x.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""), "b.com.example": ("com.example", "example"),
+    }
+    frame = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r[0]: tuple(r[1:]) for r in frame.select("host", *domain_and_suffix(reputation_site(F.col("host")))).collect()} == want
