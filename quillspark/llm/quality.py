@@ -2,8 +2,9 @@ r"""Operator 4: quality rules by robust multivariate outliers, with DataFrame fu
 
 Each text gives a vector of transformed statistics: log of words, mean word length, and square roots of the shares of
 symbols, of words in repeated 8-word windows, and of repeated lines. For each language and source a minimum covariance
-determinant estimate is made by concentration steps: from two starts, the nearest share H of the group gives mean and
-covariance, which give new distances, and so on; the start with the smaller determinant wins. Texts whose squared
+determinant estimate is made by concentration steps: from three starts, the nearest share H of the group gives mean and
+covariance, which give new distances, and so on until no group's determinant falls any more; the start with the smallest
+determinant wins. The share is exact up to 10,000 rows a group, and beyond that to one row in 10,000. Texts whose squared
 Mahalanobis distance is over the chi-squared bound are rejected.
 
 Every step aggregates with map-side combine over all documents (sums, cross products, mergeable quantile sketches); the
@@ -132,31 +133,34 @@ def _estimates(frame: DataFrame, *keys: str) -> DataFrame:
 FEW_GROUPS = 20_000
 
 
-def _groups(table: DataFrame) -> DataFrame:
-    """A stored table of groups, to be joined: broadcast if it is counted to be small."""
-    return F.broadcast(table) if table.count() <= FEW_GROUPS else table
-
-
-def _near(frame: DataFrame, d2: str, *keys: str) -> DataFrame:
+def _near(frame: DataFrame, d2: str, few: bool, *keys: str) -> DataFrame:
     """The share H of each group with the smallest distances."""
-    bound = materialize(frame.groupBy(*keys).agg(F.percentile_approx(d2, F.lit(H), F.lit(10_000)).alias("bound")), "bounds")
-    return frame.join(_groups(bound), list(keys)).filter(F.col(d2) <= F.col("bound")).drop("bound")
+    bound = frame.groupBy(*keys).agg(F.percentile_approx(d2, F.lit(H), F.lit(10_000)).alias("bound"))
+    return frame.join(F.broadcast(bound) if few else bound, list(keys)).filter(F.col(d2) <= F.col("bound")).drop("bound")
 
 
-def robust_estimates(vectors: DataFrame, steps: int = 3) -> DataFrame:
-    """`key`, n, mean and covariance of each group, by concentration from two starts."""
+def robust_estimates(vectors: DataFrame, few: bool, tolerance: float = 1e-4, most_steps: int = 50) -> DataFrame:
+    """`key`, n, mean and precision of each group, by concentration from three starts until no log determinant falls by
+    more than `tolerance`. `few`: the groups are counted to be few enough to be sent to every task. `most_steps` only ends
+    what rounding might keep in motion: a step never raises a determinant, and there are finitely many subsets."""
+    small = F.broadcast if few else (lambda table: table)
     mids = vectors.groupBy("key").agg(*(F.percentile_approx(x, F.lit(0.5), F.lit(10_000)).alias(m) for x, m in zip(X, MEAN, strict=True)))
     mids = materialize(mids, "medians")
-    spread = vectors.join(_groups(mids), "key").groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(m)), F.lit(0.5), F.lit(10_000)).alias(f"a{i}") for i, (x, m) in enumerate(zip(X, MEAN, strict=True))))
+    spread = vectors.join(small(mids), "key").groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(m)), F.lit(0.5), F.lit(10_000)).alias(f"a{i}") for i, (x, m) in enumerate(zip(X, MEAN, strict=True))))
     starts = materialize(mids.join(spread, "key"), "starts")
-    first = vectors.join(_groups(starts), "key")
-    # Start 0 scales each statistic by its median deviation, start 1 by the floor alone.
-    scaled = [sum((((F.col(x) - F.col(m)) / s) ** 2 for x, m, s in zip(X, MEAN, scale, strict=True)), F.lit(0.0)) for scale in ([F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + f * f) for i, f in enumerate(FLOORS)], [F.lit(f) for f in FLOORS])]
-    both = first.select("key", *X, F.explode(F.array(*(F.struct(F.lit(k).alias("start"), d.alias("d2")) for k, d in enumerate(scaled)))).alias("s")).select("key", *X, "s.*")
-    estimates = _estimates(_near(both, "d2", "key", "start"), "key", "start")
-    for _ in range(steps):
-        placed = _distance(vectors.join(_groups(estimates), "key")).select("key", "start", *X, "d2")
-        estimates = _estimates(_near(placed, "d2", "key", "start"), "key", "start")
+    # Statistics scaled by their median deviation, summed or the largest alone, or scaled by the floor.
+    scaled = [((F.col(x) - F.col(m)) / F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + f * f)) ** 2 for i, (x, m, f) in enumerate(zip(X, MEAN, FLOORS, strict=True))]
+    floored = [((F.col(x) - F.col(m)) / f) ** 2 for x, m, f in zip(X, MEAN, FLOORS, strict=True)]
+    distances = (sum(scaled, F.lit(0.0)), sum(floored, F.lit(0.0)), F.greatest(*scaled))
+    every = F.explode(F.array(*(F.struct(F.lit(k).alias("start"), d.alias("d2")) for k, d in enumerate(distances)))).alias("s")
+    placed = vectors.join(small(starts), "key").select("key", *X, every).select("key", *X, "s.*")
+    estimates = _estimates(_near(placed, "d2", few, "key", "start"), "key", "start")
+    for _ in range(most_steps):
+        placed = _distance(vectors.join(small(estimates), "key")).select("key", "start", *X, "d2")
+        before, estimates = estimates.select("key", "start", F.col("logdet").alias("before")), _estimates(_near(placed, "d2", few, "key", "start"), "key", "start")
+        fall = before.join(estimates, ["key", "start"]).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        if fall is None or fall <= tolerance:
+            break
     best = estimates.groupBy("key").agg(F.min_by(F.struct("n", *MEAN, "precision"), F.struct("logdet", "start")).alias("e"))
     return materialize(best.select("key", "e.*"), "best")
 
@@ -169,9 +173,11 @@ def quality_verdicts(docs: DataFrame, min_group: int = 50) -> DataFrame:
     many2 = materialize(counted.groupBy("k2", "k1").count().withColumnRenamed("count", "n2"), "groups")
     many1 = many2.groupBy("k1").agg(F.sum(F.when(F.col("n2") < min_group, F.col("n2"))).alias("n1"))
     named = many2.join(many1, "k1").select("k2", F.when(F.col("n2") >= min_group, F.col("k2")).when(F.col("n1") >= min_group, F.col("k1")).otherwise("*").alias("key"))
-    keyed = counted.join(_groups(materialize(named, "keys")), "k2").drop("k1", "k2")
-    estimates = robust_estimates(keyed.select("key", *X))
-    judged = _distance(keyed.join(_groups(estimates), "key", "left"))
+    named = materialize(named, "keys")
+    few = named.count() <= FEW_GROUPS
+    keyed = counted.join(F.broadcast(named) if few else named, "k2").drop("k1", "k2")
+    estimates = robust_estimates(keyed.select("key", *X), few)
+    judged = _distance(keyed.join(F.broadcast(estimates) if few else estimates, "key", "left"))
     kept = ~base_failed() & (F.col("n").isNull() | (F.col("n") < 10 * H) | (F.col("d2") <= CUTOFF))
     return judged.select("doc_id", "lang", "source", "version", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "d2", kept.alias("kept"))
 

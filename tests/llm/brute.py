@@ -51,6 +51,28 @@ def quality_base(text):
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n
 
 
+def robust_distances(x, floors, share, consistent):
+    """Squared distances of all rows from the minimum covariance determinant estimate of the group, by plain numpy."""
+    at = lambda v, p: np.sort(v)[int(np.ceil(p * len(v))) - 1]
+    mid = np.array([at(c, 0.5) for c in x.T])
+    spread = np.array([at(np.abs(c - m), 0.5) for c, m in zip(x.T, mid, strict=True)])
+    scaled, floored = (x - mid) ** 2 / ((1.4826 * spread) ** 2 + floors**2), (x - mid) ** 2 / floors**2
+    best = None
+    for d in (scaled.sum(1), floored.sum(1), scaled.max(1)):
+        last = np.inf
+        while True:
+            near = x[d <= at(d, share)]
+            cov = np.cov(near.T, bias=True) * consistent + np.diag(floors**2)
+            off, det = x - near.mean(0), np.linalg.slogdet(cov)[1]
+            d = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
+            if last - det <= 1e-4:
+                break
+            last = det
+        if best is None or det < best[0] - 1e-9:
+            best = det, d
+    return best[1]
+
+
 def simhash(text):
     words = WORD.findall(low(text))
     runs = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []

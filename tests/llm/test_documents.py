@@ -69,6 +69,36 @@ def test_quality(docs, none):
     assert quality_verdicts(none).count() == 0 and keep_good(none).count() == 0
 
 
+def test_quality_estimates(spark):
+    """Distances and verdicts of two groups of their own, and of small ones pooled by language and over all, against numpy."""
+    from quillspark.llm import quality
+
+    rng = random.Random(11)
+    rows = []
+    for lang, source, n in (("en", "a", 220), ("en", "b", 75), ("en", "c", 30), ("en", "d", 30), ("fr", "a", 20), (None, None, 25)):
+        for _ in range(n):
+            words = ["".join(rng.choices("abcdefg", k=rng.randint(1, 8) + (lang == "en"))) for _ in range(rng.randint(15, 300))]
+            odd = rng.random()
+            words = [w + "#" * rng.randint(0, 3) for w in words] if odd < 0.15 else words
+            at = rng.randint(8, 20)
+            words = words[:at] * 2 + words[at:] if odd > 0.85 else words
+            rows.append((len(rows), rng.choice(" \n").join(words) if odd > 0.8 else " ".join(words), lang, source))
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(7)).collect()}
+    groups = {}
+    for d, text, lang, source in rows:
+        groups.setdefault((lang, source) if source in ("a", "b") and lang == "en" else lang if lang == "en" else "rest", []).append((d, text))
+    rejected = 0
+    for members in groups.values():
+        base = np.array([brute.quality_base(t) for _, t in members], float)
+        n, chars, symbols, dup, repeat, failed = base.T
+        x = np.stack([np.log1p(n), chars / n, np.sqrt(symbols / chars), np.sqrt(repeat / n), np.sqrt(dup / n)], 1)
+        want = brute.robust_distances(x, np.array(quality.FLOORS), quality.H, quality.CONSISTENT)
+        assert np.allclose([got[d]["d2"] for d, _ in members], want, rtol=1e-5, atol=1e-7)
+        assert [got[d]["kept"] for d, _ in members] == [not f and v <= quality.CUTOFF for f, v in zip(failed, want, strict=True)]
+        rejected += sum((want > quality.CUTOFF) & (failed == 0))
+    assert len(groups) == 4 and rejected > 20
+
+
 def test_quality_rejects_outliers(spark):
     from quillspark.llm.quality import quality_verdicts
 
