@@ -34,12 +34,22 @@ def context_scores(passages: DataFrame, golden: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("query_id").alias("id")).agg(F.avg(good).alias("ctx_precision"), F.avg(edge).alias("edge"))
 
 
+def _tenth(scores: DataFrame) -> DataFrame:
+    """One row: of `score`, to four decimals, the value a tenth of the way up by rank; null for nothing.
+
+    Rounding keeps the order, so equal rounded scores are counted first, and only their counts (10,001 at most for scores of
+    0 to 1) are put in order.
+    """
+    counted = scores.groupBy(F.round("score", 4).alias("score")).count()
+    placed = counted.withColumns({"upto": F.sum("count").over(Window.orderBy("score")), "whole": F.sum("count").over(Window.partitionBy())})
+    return placed.filter(F.col("upto") > F.floor(F.col("whole") / 10)).agg(F.min("score").alias("tenth"))
+
+
 def retrieval_summary(rows: DataFrame) -> DataFrame:
     """One row from (relevant, rank, ctx_precision, edge, prod_score); `rank` is null for what wasn't found."""
     positive = ~is_negative()
     score = F.when(positive & F.col("rank").isNotNull(), F.col("prod_score"))
     negative = F.when(is_negative(), F.col("prod_score"))
-    ordered = F.array_sort(F.collect_list(score))
     both = (F.count(score) > 0) & (F.count(negative) > 0)
     out = rows.agg(
         F.count_if(positive).alias("n"),
@@ -48,11 +58,13 @@ def retrieval_summary(rows: DataFrame) -> DataFrame:
         mean(F.when(positive, F.col("ctx_precision"))).alias("ctx_precision"),
         mean(F.when(positive, F.col("edge"))).alias("edge_rate"),
         F.when(both, F.round(F.min(score), 4)).alias("pos_score_min"),
-        F.when(both, F.round(F.get(ordered, F.floor(F.count(score) / 10).cast("int")), 4)).alias("pos_score_p10"),
+        both.alias("both"),
         F.when(both, F.round(F.max(negative), 4)).alias("neg_score_max"),
         F.when(both, mean(negative)).alias("neg_score_mean"),
     )
-    return out
+    tenth = _tenth(rows.select(score.alias("score")).filter("score is not null"))
+    joined = out.withColumn("one", F.lit(1)).join(tenth.withColumn("one", F.lit(1)), "one").drop("one")
+    return joined.withColumn("both", F.when(F.col("both"), F.col("tenth"))).withColumnRenamed("both", "pos_score_p10").drop("tenth")
 
 
 def by_kind(rows: DataFrame) -> DataFrame:

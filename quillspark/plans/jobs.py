@@ -70,11 +70,18 @@ def run_counters(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "rate_limited").alias("rate_limited"), F.count("*").alias("total"))
 
 
+#: Places of a run that one task puts in order.
+BLOCK = 100_000
+
+
 def abort_point(manifest: DataFrame, limit: int) -> DataFrame:
     """After the fact: the first place (`run_no`) where `limit` refusals stood in a row, skipped videos apart."""
-    rows = manifest.filter("status != 'skip_exists'").withColumn("refused", F.col("status") == "rate_limited")
-    w = Window.orderBy("run_no")
-    islands = rows.withColumn("island", F.count_if(~F.col("refused")).over(w)).filter("refused")
+    rows = manifest.filter("status != 'skip_exists'").select("run_no", (F.col("status") == "rate_limited").alias("refused"), F.floor(F.col("run_no") / BLOCK).alias("block"))
+    # An island is known by the videos let through before it: those of earlier blocks, and those of its own.
+    passed = rows.groupBy("block").agg(F.count_if(~F.col("refused")).alias("passed"))
+    earlier = passed.select("block", (F.sum("passed").over(Window.orderBy("block")) - F.col("passed")).alias("earlier"))
+    own = F.count_if(~F.col("refused")).over(Window.partitionBy("block").orderBy("run_no"))
+    islands = rows.withColumn("own", own).filter("refused").join(earlier, "block").withColumn("island", F.col("earlier") + F.col("own"))
     inside = islands.withColumn("n", F.row_number().over(Window.partitionBy("island").orderBy("run_no")))
     return inside.filter(F.col("n") == limit).agg(F.min("run_no").alias("run_no"))
 

@@ -1,6 +1,7 @@
 """Sources, sinks, jobs, answers, the service, and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,9 +105,18 @@ def test_fetch(spark):
     assert [r["text"] for r in connectors.speech_cues(speech).collect()] == ["Раз.", "Два"]
 
 
-def test_abort_point(spark):
+def test_abort_point(spark, monkeypatch):
     rows = [(i, s) for i, s in enumerate(["rate_limited", "ok", "rate_limited", "skip_exists", "rate_limited", "rate_limited"])]
     assert jobs.abort_point(spark.createDataFrame(rows, "run_no int, status string"), 2).first()[0] == 4
+    rng = random.Random(5)
+    for share in (0.2, 0.6, 1.0):
+        statuses = [rng.choices(["rate_limited", "ok", "skip_exists"], [share, (1 - share) / 2, (1 - share) / 2])[0] for _ in range(200)]
+        in_a_row, want = 0, None
+        for i, status in enumerate(statuses):
+            in_a_row = in_a_row if status == "skip_exists" else in_a_row + 1 if status == "rate_limited" else 0
+            want = i if want is None and in_a_row == 6 else want
+        monkeypatch.setattr(jobs, "BLOCK", 7)
+        assert jobs.abort_point(spark.createDataFrame(list(enumerate(statuses)), "run_no int, status string"), 6).first()[0] == want
 
 
 def test_sinks(spark, tmp_path):
