@@ -117,6 +117,14 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.vectorcode import codebooks_digest, encode, with_label_error
+
+    coded, books = encode(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    code = F.lower(F.array_join(F.transform("code", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return with_label_error(coded).select("vec_id", code.alias("code"), "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 OP6_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
@@ -197,6 +205,28 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _op13_sql() -> str:
+    """The rounds written out; all distances instead of the cells."""
+    ints = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"
+    steps = [
+        f"kept AS (SELECT vec_id, label, {ints} AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "pieces AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(0, 4) r(p))",
+        "firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 256)",
+        "book0 AS MATERIALIZED (SELECT p, e, x AS c FROM pieces JOIN firsts USING (vec_id))",
+    ]
+    for i in range(5):
+        distance = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"near{i} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min({{'d': CAST({distance} AS BIGINT), 'e': e}}) AS best FROM pieces JOIN book{i} USING (p) GROUP BY vec_id, p)")
+        if i < 4:
+            steps.append(f"flat{i} AS (SELECT p, best.e AS e, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM near{i})")
+            steps.append(f"mean{i} AS (SELECT p, e, j, CAST(floor(sum(y)::DOUBLE / count(*)) AS BIGINT) AS m FROM flat{i} GROUP BY p, e, j)")
+            steps.append(f"moved{i} AS (SELECT p, e, list(m ORDER BY j) AS c FROM mean{i} GROUP BY p, e)")
+            steps.append(f"book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN moved{i} m ON b.p = m.p AND b.e = m.e)")
+    steps.append("codes AS (SELECT vec_id, string_agg(lower(format('{:02x}', best.e)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near4 GROUP BY vec_id)")
+    digest = "sha256((SELECT string_agg(array_to_string(c, ','), ',' ORDER BY p, e) FROM book4))"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {digest} AS codebooks_sha256 FROM codes JOIN kept USING (vec_id)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_bits": op2_token_bits,
@@ -208,5 +238,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_reputation": op8_host_reputation,
     "op9_secret_ownership": op9_secret_ownership,
     "op10_positional_index": op10_positional_index,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_chat_template": OP6_SQL, "op8_host_reputation": OP8_SQL, "op10_positional_index": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_chat_template": OP6_SQL, "op8_host_reputation": OP8_SQL, "op10_positional_index": OP10_SQL, "op13_vector_codes": _op13_sql()}
