@@ -117,6 +117,12 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.prefixtrie import ordered_turns, prefix_trie, rebuilt
+
+    return prefix_trie(*rebuilt(ordered_turns(table(spark, sf_dir, "conversations")), group=5, most=9))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.vectorcode import codebooks_digest, encode, with_label_error
 
@@ -205,6 +211,36 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: CRC-32 of a decimal number, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte:
+  list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(crc, byte)), 4294967295::BIGINT), 4294967295)"""
+OP11_SQL = f"""
+WITH said AS (
+  SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list(turn ORDER BY pos) AS turns, {_CRC32.format('conv_id')} % 9 AS h FROM said GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS (SELECT conv_id, len(turns) AS whole, d, turns[1:d] AS prefix FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE strlen(prefix[d].t) END AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (whole = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix, d),
+kin AS (
+  SELECT n.prefix, p.conv_id AS parent_conv_id, count(k.prefix) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1] LEFT JOIN nodes k ON k.d = n.d + 1 AND k.prefix[1:n.d] = n.prefix
+  GROUP BY n.prefix, p.conv_id),
+above AS (
+  SELECT a.d, a.prefix[1:a.d] AS prefix, (k.n_children = 0)::INT AS leaf, (n.n_convs - 1) * n.bytes AS saved
+  FROM (SELECT prefix, unnest(range(0, d + 1)) AS d FROM nodes) a JOIN nodes n USING (prefix) JOIN kin k USING (prefix)),
+sums AS (SELECT prefix, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY prefix)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM nodes JOIN kin USING (prefix) JOIN sums USING (prefix)
+"""
+
+
 def _op13_sql() -> str:
     """The rounds written out; all distances instead of the cells."""
     ints = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"
@@ -238,6 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_reputation": op8_host_reputation,
     "op9_secret_ownership": op9_secret_ownership,
     "op10_positional_index": op10_positional_index,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_vector_codes": op13_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_chat_template": OP6_SQL, "op8_host_reputation": OP8_SQL, "op10_positional_index": OP10_SQL, "op13_vector_codes": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_chat_template": OP6_SQL, "op8_host_reputation": OP8_SQL, "op10_positional_index": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_vector_codes": _op13_sql()}
