@@ -123,6 +123,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(ordered_turns(table(spark, sf_dir, "conversations")), group=5, most=9))
 
 
+def op12_page_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.pagetext import extract, fit_shapes
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit_shapes(pages, fit_pages=2000)).select("page_id", "url", "text", "n_chars")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.vectorcode import codebooks_digest, encode, with_label_error
 
@@ -241,6 +248,17 @@ FROM nodes JOIN kin USING (prefix) JOIN sums USING (prefix)
 """
 
 
+#: Main texts of pages that have an article element with headings and paragraphs, as the tables' pages do.
+OP12_SQL = r"""
+WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+pieces AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS parts
+  FROM articles)
+SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text, CAST(length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10))) AS BIGINT) AS n_chars FROM pieces
+"""
+
+
 def _op13_sql() -> str:
     """The rounds written out; all distances instead of the cells."""
     ints = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"
@@ -275,6 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_ownership": op9_secret_ownership,
     "op10_positional_index": op10_positional_index,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_page_cut": op12_page_cut,
     "op13_vector_codes": op13_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_chat_template": OP6_SQL, "op8_host_reputation": OP8_SQL, "op10_positional_index": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_vector_codes": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_chat_template": OP6_SQL, "op8_host_reputation": OP8_SQL, "op10_positional_index": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_page_cut": OP12_SQL, "op13_vector_codes": _op13_sql()}
