@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import ChunkConfig, Lexicon, RUSSIAN, one_of
 from quillspark.functions.text import deep_link, marker_scores, starts_step, timecode, token_count
-from quillspark.operators.ranges import members, ranges
+from quillspark.operators.ordered import WHOLE, Rule, cut_ranges, numbered
+from quillspark.operators.ranges import members
+from quillspark.session import materialize
 
 
 def section(text: Column, position: Column, lexicon: Lexicon = RUSSIAN) -> Column:
@@ -36,11 +35,19 @@ def smoothed(label: str, key: list[str], order: list[str]) -> Column:
 
 
 def labelled(segments: DataFrame, lexicon: Lexicon = RUSSIAN) -> DataFrame:
-    """segments with `label`, and `place` and `n` within the video."""
-    whole, w = Window.partitionBy("video_id"), Window.partitionBy("video_id").orderBy("seg_idx")
-    rows = segments.withColumns({"place": (F.row_number().over(w) - 1).cast("int"), "n": F.count("*").over(whole)})
+    """segments with `label`, and `place`, `part` and `n` within the video."""
+    rows = numbered(segments, ["video_id"], ["seg_idx"])
+    counts = segments.groupBy(F.col("video_id").alias("counted")).agg(F.count("*").alias("n"))
+    rows = rows.join(counts, F.col("video_id").eqNullSafe(F.col("counted"))).drop("counted")
     rows = rows.withColumn("label", section(F.col("text"), F.col("place") / F.col("n"), lexicon))
-    return rows.withColumn("label", smoothed("label", ["video_id"], ["place"]))
+    whole = rows.filter(F.col("part") == WHOLE).withColumn("label", smoothed("label", ["video_id"], ["place"]))
+    split = rows.filter(F.col("part") != WHOLE)
+    # A split video's neighbours meet by place, for no task holds them all.
+    beside = lambda step, name: split.filter(F.col("label").isin("ingredients", "steps")).select(F.col("video_id").alias(f"{name}_id"), (F.col("place") + step).alias(f"{name}_place"), F.col("label").alias(name))
+    meets = lambda name: F.col("video_id").eqNullSafe(F.col(f"{name}_id")) & (F.col("place") == F.col(f"{name}_place"))
+    split = split.join(beside(1, "earlier"), meets("earlier"), "left").join(beside(-1, "later"), meets("later"), "left")
+    split = split.withColumn("label", F.when((F.col("label") == "other") & (F.col("earlier") == F.col("later")), F.col("earlier")).otherwise(F.col("label")))
+    return whole.unionByName(split.select(*whole.columns))
 
 
 def dominant(labels: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -52,48 +59,52 @@ def dominant(labels: DataFrame, keys: list[str], label: str = "label") -> DataFr
     return tops.select(*keys, F.when(F.size(winners) == 1, F.get(winners, F.lit(0))[label]).otherwise("mixed").alias("section"))
 
 
-def chunk_rule(config: ChunkConfig) -> Callable:
+def chunk_rule(config: ChunkConfig) -> Rule:
     """Chunks as ranges of segments; a chunk may begin with one or two segments that ended the one before."""
 
-    def rule(columns: list[list]) -> Iterator[tuple[int, int]]:
+    def part(columns: list[list], base: int, state: list | None, last: bool) -> tuple[list[tuple[int, int]], list]:
         tokens, labels, opens = columns
-        upto = [0, *accumulate(tokens)]
-        size = lambda a, b: upto[b + 1] - upto[a]
-        held: tuple[int, int] | None = None  # the range before, which a short last one is added to
-        first = 0
-        for i in range(1, len(tokens)):
-            here = size(first, i - 1)
-            changed = labels[i] != labels[i - 1]
-            listing = not changed and not opens[i] and labels[i] == "ingredients"
-            if here < config.max and (here < config.target or listing):
-                continue
+        # The open range and its size, the last two segments' sizes, the last label, and the range before, which a short last one is added to.
+        first, here, one, two, label, held = state or (base, 0, 0, 0, None, None)
+        found = []
+        for i in range(len(tokens)):
+            place = base + i
+            if place > first:
+                changed = labels[i] != label
+                listing = not changed and not opens[i] and labels[i] == "ingredients"
+                if here >= config.max or (here >= config.target and not listing):
+                    if held:
+                        found.append(tuple(held))
+                    held = [first, place - 1]
+                    if changed or config.overlap <= 0:
+                        first, here = place, 0
+                    elif one >= config.overlap or first > place - 2:
+                        first, here = place - 1, one
+                    else:
+                        first, here = place - 2, one + two
+            here += tokens[i]
+            one, two, label = tokens[i], one, labels[i]
+        end = base + len(tokens) - 1
+        if last and end >= 0:
+            if held and here < config.min:
+                first, held = held[0], None
             if held:
-                yield held
-            held = first, i - 1
-            if changed or config.overlap <= 0:
-                first = i
-            else:
-                first = i - 1 if tokens[i - 1] >= config.overlap else max(first, i - 2)
-        end = len(tokens) - 1
-        if held and size(first, end) < config.min:
-            held, first = None, held[0]
-        if held:
-            yield held
-        if end >= 0:
-            yield first, end
-
-    return rule
+                found.append(tuple(held))
+            found.append((first, end))
+        return found, [first, here, one, two, label, held]
+
+    return Rule(part)
 
 
 def chunk_ranges(rows: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """video_id, range_no, first, last from labelled segments."""
     counted = rows.withColumns({"tokens": token_count(F.col("text"), config.chars_per_token), "opens": starts_step(F.col("text"), config.lexicon)})
-    return ranges(counted, ["video_id"], ["place"], ["tokens", "label", "opens"], chunk_rule(config))
+    return cut_ranges(counted, ["video_id"], ["tokens", "label", "opens"], chunk_rule(config))
 
 
 def chunks(segments: DataFrame, videos: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """The chunk table from segments and videos (video_id, title, playlist_ids, playlist_titles)."""
-    rows = labelled(segments, config.lexicon).drop("n")
+    rows = materialize(labelled(segments, config.lexicon).drop("n"), "segments")
     found = members(chunk_ranges(rows, config)).join(rows, ["video_id", "place"])
     keys = ["video_id", "range_no"]
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])

@@ -1,4 +1,4 @@
-"""Filters, dense and sparse search for a batch of queries, rank fusion."""
+"""Filters, dense search for a batch of queries, rank fusion with the sparse one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quillspark.operators.sparse import SparseIndex, sparse_search, top_k
+
 
 def conjunction(video_id: str | None = None, section: str | None = None, has_ingredients: bool | None = None) -> Column | None:
     """All conditions that are given; empty texts are none, False is one."""
@@ -37,12 +39,6 @@ def matches_intents(titles: Column, wanted: Column) -> Column:
     return (F.size(wanted) == 0) | F.coalesce(F.arrays_overlap(titles, wanted), F.lit(False))
 
 
-def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_id") -> DataFrame:
-    """The k best rows of each query with their rank from 1."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), F.col(tie))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 #: Queries multiplied with the index at a time, all that is sent to every task; and rows of the index at a time.
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 
@@ -106,13 +102,6 @@ def _best(names: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.array(out)
 
 
-def sparse_search(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """Dot products over shared terms: (query_id, term, weight) against (chunk_id, term, weight)."""
-    q = queries.select("query_id", "term", F.col("weight").alias("q_weight"))
-    scored = postings.join(q, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
-    return top_k(scored, k)
-
-
 def fused(ranked: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, chunk_id, rank)."""
     out = ranked[0].select("query_id", "chunk_id", "rank")
@@ -122,7 +111,7 @@ def fused(ranked: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     return top_k(scored, k)
 
 
-def search(query_vectors: DataFrame, query_terms: DataFrame, index: DataFrame, postings: DataFrame, k: int, mode: str = "hybrid", overfetch: int = 5, constant: int = 60) -> DataFrame:
+def search(query_vectors: DataFrame, query_terms: DataFrame, index: DataFrame, postings: DataFrame | SparseIndex, k: int, mode: str = "hybrid", overfetch: int = 5, constant: int = 60) -> DataFrame:
     """dense, sparse, or (any other mode) both fused; each branch of the fusion gives k * overfetch."""
     if mode == "dense":
         return dense_search(query_vectors, index, k)

@@ -11,28 +11,29 @@ from pyspark.sql import functions as F
 
 from quillspark.config import CleanConfig, one_of
 from quillspark.functions.text import SENTENCE_BREAK, clean_line, deep_link, ends_sentence, norm_word, resegmented, strip, tidy_sentence, timecode, words
-from quillspark.operators.ranges import members, ranges
+from quillspark.operators.ordered import Rule, cut_ranges, numbered, running
+from quillspark.operators.ranges import members
 
 
 def merged_windows(hits: DataFrame, key: str, at: str, before: float, after: float) -> DataFrame:
     """Windows around hits, joined where they touch: key, start, end. Gaps and islands over a running maximum."""
-    w = Window.partitionBy(key).orderBy("start", "end")
     spans = hits.select(key, (F.col(at) - before).alias("start"), (F.col(at) + after).alias("end"))
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
-    islands = spans.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(numbered(spans, [key], ["start", "end"]), [key], "reach", F.col("end"), "max", current=False)
+    new = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0)
+    islands = running(rows.withColumn("new", new), [key], "island", F.col("new"), "sum")
     return islands.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def outside_windows(rows: DataFrame, windows: DataFrame, key: str, at: str) -> DataFrame:
-    """Rows whose time is in no window, both ends included; rows without key or time are in none.
+    """Rows whose time is in no window, both ends included; rows without key or time are in none, and pass at once.
 
     A sweep: windows and rows of a key in order of time, each row held against the furthest end so far."""
+    there = F.col(key).isNotNull() & F.col(at).isNotNull()
     opened = windows.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col("start").alias("t"), F.lit(0).alias("kind"), F.col("end").alias("reach"))
-    placed = rows.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("kind"), F.struct("*").alias("row"))
-    order = Window.partitionBy("k").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = opened.unionByName(placed, allowMissingColumns=True).withColumn("inside", F.coalesce(F.max("reach").over(order) >= F.col("t"), F.lit(False)))
-    return swept.filter("kind = 1 AND NOT inside").select("row.*")
+    placed = rows.filter(there).select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("kind"), F.struct("*").alias("row"))
+    swept = opened.unionByName(placed, allowMissingColumns=True).withColumn("tie", F.xxhash64("reach", "row"))
+    swept = running(numbered(swept, ["k"], ["t", "kind", "tie"]), ["k"], "furthest", F.col("reach"), "max")
+    return swept.filter(F.col("kind") == 1).filter(~F.coalesce(F.col("furthest") >= F.col("t"), F.lit(False))).select("row.*").unionByName(rows.filter(~there))
 
 
 def strip_ads(cues: DataFrame, config: CleanConfig = CleanConfig()) -> tuple[DataFrame, DataFrame]:
@@ -43,28 +44,28 @@ def strip_ads(cues: DataFrame, config: CleanConfig = CleanConfig()) -> tuple[Dat
     return kept, windows.select("video_id", F.round("start", 1).alias("start"), F.round("end", 1).alias("end"))
 
 
-def block_rule(target: int, most: int, gap: float) -> Callable:
+def block_rule(target: int, most: int, gap: float) -> Rule:
     """A block ends before a pause or once it is full, and after a place that may end it once it is long enough."""
 
-    def rule(columns: list[list]) -> Iterator[tuple[int, int]]:
+    def part(columns: list[list], base: int, state: list | None, last: bool) -> tuple[list[tuple[int, int]], list]:
         sizes, starts, ends, may_end = columns
-        first, size = 0, 0
+        first, size, before = state or (base, 0, None)
+        found = []
         for i in range(len(sizes)):
-            if i > first and (starts[i] - ends[i - 1] >= gap or size >= most):
-                yield first, i - 1
-                first, size = i, 0
+            place = base + i
+            if place > first and before is not None and (starts[i] - before >= gap or size >= most):
+                found.append((first, place - 1))
+                first, size = place, 0
             size += sizes[i] + 1
+            before = ends[i]
             if size >= target and may_end[i]:
-                yield first, i
-                first, size = i + 1, 0
-        if first < len(sizes):
-            yield first, len(sizes) - 1
+                found.append((first, place))
+                first, size = place + 1, 0
+        if last and first < base + len(sizes):
+            found.append((first, base + len(sizes) - 1))
+        return found, [first, size, before]
 
-    return rule
-
-
-def _numbered(rows: DataFrame, order: str) -> DataFrame:
-    return rows.withColumn("place", (F.row_number().over(Window.partitionBy("video_id").orderBy(order)) - 1).cast("int"))
+    return Rule(part)
 
 
 def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -83,41 +84,43 @@ def cue_blocks(cues: DataFrame, config: CleanConfig = CleanConfig(), clean: bool
     """Cleaned cues merged into blocks: video_id, seg_idx, text, start, end, timecode, url."""
     line = clean_line(F.col("text"), config.lexicon) if clean else F.col("text")
     rows = cues.select("video_id", "cue_idx", line.alias("text"), "start", (F.col("start") + F.col("duration")).alias("end")).filter("text != ''")
-    rows = _numbered(rows, "cue_idx").withColumns({"size": F.length("text"), "may_end": ends_sentence(F.col("text"))})
-    found = ranges(rows, ["video_id"], ["place"], ["size", "start", "end", "may_end"], block_rule(config.block_target, config.block_max, config.gap_seconds))
+    rows = numbered(rows, ["video_id"], ["cue_idx"]).withColumns({"size": F.length("text"), "may_end": ends_sentence(F.col("text"))})
+    found = cut_ranges(rows, ["video_id"], ["size", "start", "end", "may_end"], block_rule(config.block_target, config.block_max, config.gap_seconds))
     return _segments(_joined(rows, found), resegmented(F.col("text")))
 
 
 def sentence_blocks(sentences: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     """As cue_blocks for whole sentences (video_id, sent_idx, text, start, end), each of which may end a block."""
-    rows = _numbered(sentences.filter("text != ''"), "sent_idx").withColumns({"size": F.length("text"), "may_end": F.lit(True)})
-    found = ranges(rows, ["video_id"], ["place"], ["size", "start", "end", "may_end"], block_rule(config.block_target, config.block_max, config.gap_seconds))
+    rows = numbered(sentences.filter("text != ''"), ["video_id"], ["sent_idx"]).withColumns({"size": F.length("text"), "may_end": F.lit(True)})
+    found = cut_ranges(rows, ["video_id"], ["size", "start", "end", "may_end"], block_rule(config.block_target, config.block_max, config.gap_seconds))
     return _segments(_joined(rows, found), F.trim("text"))
 
 
-def sentence_rule(most: int) -> Callable:
+def sentence_rule(most: int) -> Rule:
     """A sentence ends at a final mark, or at a comma once it is long."""
 
-    def rule(columns: list[list]) -> Iterator[tuple[int, int]]:
+    def part(columns: list[list], base: int, state: list | None, last: bool) -> tuple[list[tuple[int, int]], list]:
         sizes, final, comma = columns
-        first, size = 0, 0
+        first, size = state or (base, 0)
+        found = []
         for i in range(len(sizes)):
             size += sizes[i] + 1
             if final[i] or (size >= most and comma[i]):
-                yield first, i
-                first, size = i + 1, 0
-        if first < len(sizes):
-            yield first, len(sizes) - 1
+                found.append((first, base + i))
+                first, size = base + i + 1, 0
+        if last and first < base + len(sizes):
+            found.append((first, base + len(sizes) - 1))
+        return found, [first, size]
 
-    return rule
+    return Rule(part)
 
 
 def assemble_sentences(tokens: DataFrame, most: int = 400) -> DataFrame:
     """Words with times (video_id, word_idx, text, start, end) to sentences: video_id, sent_idx, text, start, end."""
-    rows = _numbered(tokens.filter("text != ''"), "word_idx")
+    rows = numbered(tokens.filter("text != ''"), ["video_id"], ["word_idx"])
     end = F.rtrim("text")
     rows = rows.withColumns({"size": F.length("text"), "final": F.regexp_like(end, F.lit("[.?!…]$")), "comma": F.endswith(end, F.lit(","))})
-    found = ranges(rows, ["video_id"], ["place"], ["size", "final", "comma"], sentence_rule(most))
+    found = cut_ranges(rows, ["video_id"], ["size", "final", "comma"], sentence_rule(most))
     out = _joined(rows, found).select("video_id", F.col("range_no").alias("sent_idx"), tidy_sentence(F.col("text")).alias("text"), F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
     return out.filter("text != ''")
 
@@ -126,14 +129,13 @@ def cue_words(cues: DataFrame, config: CleanConfig = CleanConfig(), clean: bool
     """Words of cues with their cue's times: video_id, word_idx, text, start, end."""
     line = clean_line(F.col("text"), config.lexicon) if clean else F.col("text")
     rows = cues.select("video_id", "cue_idx", F.posexplode(words(line)).alias("pos", "text"), "start", (F.col("start") + F.col("duration")).alias("end"))
-    w = Window.partitionBy("video_id").orderBy("cue_idx", "pos")
-    return rows.select("video_id", (F.row_number().over(w) - 1).cast("int").alias("word_idx"), "text", "start", "end")
+    return numbered(rows, ["video_id"], ["cue_idx", "pos"]).select("video_id", F.col("place").alias("word_idx"), "text", "start", "end")
 
 
 def label_windows(tokens: DataFrame, size: int = 150, stride: int = 110) -> DataFrame:
     """Overlapping runs of words: a row for each (window, word) with how central the word is there."""
-    n = F.count("*").over(Window.partitionBy("video_id"))
-    rows = tokens.withColumn("n", n)
+    counts = tokens.groupBy(F.col("video_id").alias("counted")).agg(F.count("*").alias("n"))
+    rows = tokens.join(counts, F.col("video_id").eqNullSafe(F.col("counted"))).drop("counted")
     first = F.greatest(F.lit(0), F.ceil((F.col("word_idx") - size + 1) / stride)).cast("int")
     last = F.floor(F.col("word_idx") / stride).cast("int")
     rows = rows.withColumn("window", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.config import ChunkConfig, CleanConfig, RetrievalConfig, one_of
 from quillspark.functions.text import passage_text
@@ -17,6 +18,7 @@ from quillspark.operators.retrieve import retrieve
 from quillspark.operators.search import search
 from quillspark.operators.timeline import clean_transcript
 from quillspark.session import materialize
+from quillspark.sources.collection import Collection
 from quillspark.sources.sinks import not_yet
 
 
@@ -103,6 +105,29 @@ def build_index(chunk_table: DataFrame, make: Callable[[], Embedder]) -> tuple[D
     return made.select("chunk_id", F.col("dense").alias("vector")), made.select("chunk_id", F.explode("sparse").alias("term", "weight"))
 
 
+#: What a chunk's row in a collection has beside the chunk's own columns.
+INDEX_COLUMNS = "digest string, dense array<double>, sparse map<int,double>"
+
+
+def update_index(table: Collection, chunk_table: DataFrame, make: Callable[[], Embedder], batch: int | None = None, n_buckets: int = 64) -> int:
+    """Bring a collection up to date with chunks: those that are new or say something new are embedded and put in; the version then.
+
+    Videos' rows share a bucket and stand in order of chunks; the collection is made if it is not there."""
+    kind = chunk_table.sparkSession.createDataFrame([], INDEX_COLUMNS).schema
+    table.ensure(StructType([*chunk_table.schema.fields, *kind.fields]), "chunk_id", "video_id", ("video_id", "chunk_index"), n_buckets)
+    text = passage_text(F.col("title"), F.coalesce("text", F.lit("")))
+    rows = chunk_table.withColumns({"_text": text, "digest": F.sha2(text, 256)})
+    fresh = materialize(rows.join(table.read().select("chunk_id", "digest"), ["chunk_id", "digest"], "left_anti"), "fresh")
+    made = embed(fresh.select("chunk_id", F.col("_text").alias("text")), "chunk_id", "text", make).select("chunk_id", "dense", "sparse")
+    return table.upsert(fresh.drop("_text").join(made, "chunk_id"), batch)
+
+
+def index_tables(table: Collection) -> tuple[DataFrame, DataFrame]:
+    """Vectors and postings of a collection's newest version."""
+    rows = table.read()
+    return rows.select("chunk_id", F.col("dense").alias("vector")), rows.select("chunk_id", F.explode("sparse").alias("term", "weight"))
+
+
 def search_queries(queries: DataFrame, vectors: DataFrame, postings: DataFrame, make: Callable[[], Embedder], config: RetrievalConfig) -> DataFrame:
     """Candidates of (query_id, query): query_id, query, chunk_id, score, rank."""
     made = materialize(embed(queries, "query_id", "query", make), "queries")

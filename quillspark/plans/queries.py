@@ -19,6 +19,7 @@ from quillspark.operators.answer import other_sources, primary_source
 from quillspark.plans import jobs
 from quillspark.session import materialize, ship
 from quillspark.sources import connectors, readers, sinks
+from quillspark.sources.collection import Collection
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -655,6 +656,40 @@ def union_existing(spark, d):
     return old.unionByName(sinks.not_yet(rows, old, "chunk_id")).groupBy("video_id").agg(F.count("*").alias("n"))
 
 
+KEPT = """SELECT CAST(c_custkey AS VARCHAR) AS chunk_id, 'n' || c_nationkey AS video_id, CAST(c_custkey % 7 AS INTEGER) AS chunk_index,
+  CASE WHEN c_custkey % 10 = 3 AND c_custkey % 4 = 1 THEN 'third ' WHEN c_custkey % 4 = 1 THEN 'second ' ELSE 'first ' END || c_name AS text FROM customer"""
+
+
+def _collection(spark, d):
+    """Customers as chunks: three batches, of which the second comes twice, and Bloom filters put on afterwards."""
+    from quillspark.session import scratch
+
+    table = Collection(spark, scratch(spark, "collection"))
+    rows = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("chunk_id"), F.concat(F.lit("n"), "c_nationkey").alias("video_id"), (F.col("c_custkey") % 7).cast("int").alias("chunk_index"), "c_name", "c_custkey")
+    said = lambda word, chosen: chosen.select("chunk_id", "video_id", "chunk_index", F.concat(F.lit(word), "c_name").alias("text"))
+    table.ensure("chunk_id string, video_id string, chunk_index int, text string", "chunk_id", "video_id", ("video_id", "chunk_index"), n_buckets=16)
+    table.upsert(said("first ", rows), 0)
+    for _ in range(2):
+        table.upsert(said("second ", rows.filter("c_custkey % 4 = 1")), 1)
+    table.upsert(said("third ", rows.filter("c_custkey % 10 = 3 and c_custkey % 4 = 1")), 2)
+    table.ensure_indexes(["video_id", "chunk_index"])
+    table.vacuum()
+    return table
+
+
+@query(KEPT)
+def collection_batches(spark, d):
+    """K4, K6, K7: batches into a collection, read back"""
+    return _collection(spark, d).read()
+
+
+@query(f"SELECT * FROM ({KEPT}) WHERE (video_id, chunk_index) IN (SELECT 'n' || n_nationkey, n_nationkey % 7 FROM nation WHERE n_regionkey = 1)")
+def collection_lookup(spark, d):
+    """Rows of some (video, index) pairs, from the buckets of their videos alone"""
+    wanted = read(spark, d, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("n"), "n_nationkey").alias("video_id"), (F.col("n_nationkey") % 7).cast("int").alias("chunk_index"))
+    return _collection(spark, d).lookup(wanted, ["video_id", "chunk_index"])
+
+
 # Search
 
 VECTORS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

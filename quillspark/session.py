@@ -45,6 +45,15 @@ def leave(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder in the shared one, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/quill-{tag}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    leave(spark, path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a small intermediate table to the shared folder and read it again, so that plans stay flat and tasks restart from it."""
     spark = df.sparkSession

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.sinks import exists, upserted
+from quillspark.sources.collection import Collection
 
 
 def session_gaps(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
@@ -16,43 +15,30 @@ def session_gaps(events: DataFrame, key: str, at: str, gap: str, late: str) -> D
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert_batches(path: str, make_rows: Callable[[DataFrame], DataFrame], key: str = "chunk_id") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: rows of a batch replace rows of the same key.
+def upsert_batches(path: str, make_rows: Callable[[DataFrame], DataFrame], key: str = "chunk_id", bucket_by: str | None = None, cluster_by: tuple[str, ...] = (), n_buckets: int = 64, keep: int | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows of a batch replace rows of the same key in a collection, which the first batch makes.
 
-    A batch starts from the newest version before it, whatever its number, writes the next beside it and names it at the
-    end, so a batch that comes twice or was cut short leaves whole versions only. A batch without rows writes none."""
+    A batch's number is its version: one that comes twice, or again after a crash, leaves what it left before. A batch without rows writes
+    none. `keep`: how many versions stay."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = make_rows(batch)
         if rows.isEmpty():
             return
-        before = max((v for v in versions(spark, path) if v < number), default=None)
-        out = rows.dropDuplicates([key]) if before is None else upserted(spark.read.parquet(f"{path}/v{before}"), rows, key)
-        draft, target = f"{path}/.draft-{uuid.uuid4().hex}", f"{path}/v{number}"
-        out.write.parquet(draft)
-        files, at = _files(spark, path)
-        if exists(spark, target):
-            files.delete(at(target), True)
-        files.rename(at(draft), at(target))
+        table = Collection(batch.sparkSession, path)
+        table.ensure(rows.schema, key, bucket_by, cluster_by, n_buckets)
+        table.upsert(rows, number)
+        if keep:
+            table.vacuum(keep)
 
     return run
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the whole versions under `path`."""
-    if not exists(spark, path):
-        return []
-    files, at = _files(spark, path)
-    names = [f.getPath().getName() for f in files.listStatus(at(path))]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    """Numbers of the batches under `path`."""
+    return [v for v in Collection(spark, path).versions() if v >= 0]
 
 
 def newest(spark: SparkSession, path: str) -> DataFrame:
     """The table as of the last batch."""
-    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}")
+    return Collection(spark, path).read()
