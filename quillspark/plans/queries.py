@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import ChunkConfig, CleanConfig, Lexicon, RetrievalConfig
 from quillspark.functions import jsontext, text as X
-from quillspark.operators import chunking, evaluate, retrieve, search, timeline
+from quillspark.operators import chunking, evaluate, lists, retrieve, search, timeline
 from quillspark.operators.answer import other_sources, primary_source
 from quillspark.plans import jobs
 from quillspark.session import materialize, ship
@@ -722,6 +722,14 @@ def filtered_topk(spark, d):
     return _found(search.dense_search(queries, rows.filter("label != 3"), 10))
 
 
+@query(DENSE.format(where=" WHERE label <> 5"))
+def listed_topk(spark, d):
+    """As dense_topk by inverted lists, all of them probed, so that every vector must be in one"""
+    queries, rows = _vectors(spark, d)
+    index = lists.list_index(rows, lists=32)
+    return _found(lists.list_search(queries, index, 10, probes=32, where=F.col("label") != 5))
+
+
 POSTINGS = r"""w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS word FROM documents),
 p AS (SELECT doc_id, word, count(*)::DOUBLE AS weight FROM w GROUP BY ALL),
 scored AS (SELECT q.doc_id AS query_id, p.doc_id AS chunk_id, sum(p.weight * q.weight) AS score FROM p q JOIN p USING (word) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
