@@ -220,6 +220,70 @@ def test_links_within_buckets():
     assert (got == want).all() and 0 < len(set(want)) < len(sets)
 
 
+def test_links_of_random_sets_of_many_sizes():
+    """Prefixes lose no pair, at and around the similarity."""
+    from quillspark.llm.neardup import linked
+    from quillspark.llm.simhash import forest
+
+    rng = random.Random(21)
+    for _ in range(40):
+        sets = []
+        for _ in range(6):
+            base = rng.sample(range(90), rng.randint(1, 30))
+            for _ in range(5):
+                sets.append(np.unique([x if rng.random() > 0.12 else rng.randrange(90) for x in base][: rng.randint(1, 30)]))
+        roots = np.array([rng.randrange(20) for _ in sets])
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        same = [(i, j) for i in range(len(sets)) for j in range(i) if roots[i] == roots[j]]
+        join = lambda pairs: forest(len(sets), np.array([a for a, _ in pairs + same], int), np.array([b for _, b in pairs + same], int))
+        links = linked(np.arange(len(sets)), roots, np.zeros(len(sets), int), np.array([len(x) for x in sets]), np.concatenate(sets), 0.8)
+        assert (join(links) == join(near)).all() and set(links) <= {(max(p), min(p)) for p in near} | {(min(p), max(p)) for p in near}
+
+
+def test_texts_of_one_template_are_near_linear():
+    """Thousands of sets of one template at a similarity of 0.7, and one component of thousands beside another."""
+    import time
+
+    from quillspark.llm.neardup import linked
+
+    rng = np.random.default_rng(4)
+    template, took = rng.integers(0, 1 << 60, 165), []
+    for m in (2000, 8000):
+        sets = [np.unique(np.r_[template, rng.integers(0, 1 << 60, 35)]) for _ in range(m)]
+        began = time.perf_counter()
+        assert linked(np.arange(m), np.arange(m), np.zeros(m, int), np.array([len(x) for x in sets]), np.concatenate(sets), 0.8) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 and took[1] < 8 * took[0] + 1
+    copies = [np.unique(np.r_[template[:160], rng.integers(0, 1 << 60, 8)]) for _ in range(4000)]
+    began = time.perf_counter()
+    roots = np.r_[np.zeros(3999, int), 1]
+    assert len(linked(np.arange(4000), roots, np.zeros(4000, int), np.array([len(x) for x in copies]), np.concatenate(copies), 0.8)) == 1
+    assert time.perf_counter() - began < 10
+
+
+def test_recall_of_near_copies(spark):
+    """Every pair of 0.8 or a little more is linked: against all pairs."""
+    from quillspark.llm.neardup import near_copies, shingle_set
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for i in range(150):
+        base = [word() for _ in range(rng.randint(60, 140))]
+        copy = list(base)
+        while True:  # words are changed as long as the pair stays similar
+            more = list(copy)
+            more[rng.randrange(len(more))] = word()
+            a, b = shingle_set(" ".join(base), 5), shingle_set(" ".join(more), 5)
+            if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+                break
+            copy = more
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    found = near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "root").collect()
+    root = {r["doc_id"]: r["root"] for r in found}
+    assert all(root[2 * i] == root[2 * i + 1] for i in range(150)) and len(set(root.values())) == 150
+
+
 def test_hot_buckets_are_split(spark):
     """Fingerprints within two bits of one share their buckets, which are dealt again; links are those of all pairs."""
     from pyspark.sql import functions as F
