@@ -75,7 +75,8 @@ def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
     return within.groupBy("video_id", "range_no").agg(F.array_join(parts, " ").alias("text"), F.min_by("start", "place").alias("start"), F.max_by("end", "place").alias("end"))
 
 
-def _segments(blocks: DataFrame, text) -> DataFrame:
+def segments_of(blocks: DataFrame, text) -> DataFrame:
+    """Blocks (video_id, range_no, text, start, end) as segments with `text` for their text; empty ones go."""
     out = blocks.select("video_id", F.col("range_no").alias("seg_idx"), text.alias("text"), "start", "end").filter("text != ''")
     return out.select("video_id", "seg_idx", "text", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), timecode(F.col("start")).alias("timecode"), deep_link(F.col("video_id"), F.col("start")).alias("url"))
 
@@ -86,14 +87,14 @@ def cue_blocks(cues: DataFrame, config: CleanConfig = CleanConfig(), clean: bool
     rows = cues.select("video_id", "cue_idx", line.alias("text"), "start", (F.col("start") + F.col("duration")).alias("end")).filter("text != ''")
     rows = numbered(rows, ["video_id"], ["cue_idx"]).withColumns({"size": F.length("text"), "may_end": ends_sentence(F.col("text"))})
     found = cut_ranges(rows, ["video_id"], ["size", "start", "end", "may_end"], block_rule(config.block_target, config.block_max, config.gap_seconds))
-    return _segments(_joined(rows, found), resegmented(F.col("text")))
+    return segments_of(_joined(rows, found), resegmented(F.col("text")))
 
 
 def sentence_blocks(sentences: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     """As cue_blocks for whole sentences (video_id, sent_idx, text, start, end), each of which may end a block."""
     rows = numbered(sentences.filter("text != ''"), ["video_id"], ["sent_idx"]).withColumns({"size": F.length("text"), "may_end": F.lit(True)})
     found = cut_ranges(rows, ["video_id"], ["size", "start", "end", "may_end"], block_rule(config.block_target, config.block_max, config.gap_seconds))
-    return _segments(_joined(rows, found), F.trim("text"))
+    return segments_of(_joined(rows, found), F.trim("text"))
 
 
 def sentence_rule(most: int) -> Rule:

@@ -56,16 +56,16 @@ def json3_cues(files: DataFrame) -> DataFrame:
     return rows.filter("text != ''").select("video_id", (F.row_number().over(w) - 1).cast("int").alias("cue_idx"), "text", "start", "duration")
 
 
-_TIMES = r"(\d{2}):(\d{2}):(\d{2}[.,]\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2}[.,]\d{3})"
+VTT_TIMES = r"(\d{2}):(\d{2}):(\d{2}[.,]\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2}[.,]\d{3})"
 
 
 def vtt_cues(files: DataFrame) -> DataFrame:
     """(video_id, content) of WebVTT to cues. A time line opens a block; tags, numbers and headers go, lines join by spaces."""
     lines = files.select("video_id", F.posexplode(F.split("content", r"\r\n|\n|\r", -1)).alias("pos", "line"))
-    timed = F.regexp_like("line", F.lit(_TIMES))
+    timed = F.regexp_like("line", F.lit(VTT_TIMES))
     w = Window.partitionBy("video_id").orderBy("pos")
     rows = lines.withColumns({"timed": timed, "bare": strip(F.col("line"))}).withColumn("block", F.count_if("timed").over(w))
-    part = lambda i: F.regexp_extract("line", _TIMES, i)
+    part = lambda i: F.regexp_extract("line", VTT_TIMES, i)
     at = lambda i: part(i).cast("int") * 3600 + part(i + 1).cast("int") * 60 + F.replace(part(i + 2), F.lit(","), F.lit(".")).cast("double")
     said = ~F.col("timed") & (F.col("bare") != "") & ~F.contains("line", F.lit("-->")) & ~F.regexp_like("bare", F.lit(r"(?U)^\d+$")) & (F.col("bare") != "WEBVTT")
     plain = F.struct("pos", strip(F.regexp_replace("line", "<[^>]+>", "")).alias("t"))
