@@ -58,7 +58,7 @@ class FileRange(InputPartition):
 class SubtitleReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder = options["path"]
-        self.bytes = int(options.get("partitionBytes", 8 << 20))
+        self.bytes = int(options.get("partitionbytes", 8 << 20))
         self.languages = tuple(options.get("languages", "ru").split(","))
         self.wanted: set[str] | None = None
 

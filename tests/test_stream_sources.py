@@ -78,7 +78,7 @@ def test_subtitle_source(spark, tmp_path):
 
     register(spark)
     folder(tmp_path / "subs")
-    read = lambda: spark.read.format("subtitles").option("partitionBytes", 2000).load(f"file://{tmp_path}/subs")
+    read = lambda: spark.read.format("subtitles").option("partitionBytes", 1000).load(f"file://{tmp_path}/subs")
     found = read()
     files = [(p.name.split(".")[0], str(p), p.read_text()) for p in (tmp_path / "subs").iterdir() if p.name != "bad.ru.json3"]
     want = readers.subtitle_cues(spark.createDataFrame(files, "video_id string, path string, content string"), ["ru"])
