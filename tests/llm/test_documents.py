@@ -329,6 +329,48 @@ def test_secrets(docs, none):
     assert secret_spans(none).count() == 0
 
 
+def test_secrets_of_one_long_text(spark):
+    """Tens of thousands of matches in one text take seconds."""
+    import hashlib
+    import time
+
+    from quillspark.llm.secretscan import secret_spans, spans_text
+
+    text = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[:25] for i in range(32_000)) + ' password = "hunter2secret"'
+    for warm in (text[:1000], text):
+        began = time.perf_counter()
+        got = secret_spans(spark.createDataFrame([(1, warm, "s")], "doc_id bigint, text string, source string")).select(spans_text("base").alias("b")).first()["b"]
+        took = time.perf_counter() - began
+    assert took < 15
+    spans = [x.split(":") for x in got.split(",")]
+    hexes = [x for x in spans if x[0] == "hex"]
+    assert len(hexes) == 32_000 and all((int(a), int(b)) == (26 * i, 26 * i + 25) for i, (_, a, b) in enumerate(hexes)) and spans[-1][0] == "assign"
+
+
+def test_owned_spans_of_random_corpora(spark):
+    """Added spans against a plain count of owners and texts."""
+    import re
+
+    from quillspark.llm.secretscan import OWNED, secret_spans
+
+    rng = random.Random(12)
+    for n in range(3):
+        values = ["".join(rng.choices("abcdef0123456789XYZ", k=rng.randint(18, 26))) for _ in range(250)] + ["a" * 24, "only-letters-in-this-one", "1234567890" * 3]
+        rows = [(i, " ".join(rng.choice([*values, "word", "x = "]) for _ in range(rng.randint(0, 12))) or None, rng.choice(["s1", "s2", None])) for i in range(60)]
+        rows += rng.sample(rows, 10)
+        tokens = lambda text: [m for m in re.finditer(OWNED, text or "") if len(set(m[0])) >= 8 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        held, texts = {}, {}
+        for _, text, owner in rows:
+            texts.setdefault(owner, set()).add(text or "")
+            for m in tokens(text):
+                held.setdefault(m[0], {}).setdefault(owner, set()).add(text)
+        live = {v for v, owners in held.items() if len(owners) == 1 and all(len(t) <= 3 or len(t) <= 0.01 * len(texts[o]) for o, t in owners.items())}
+        want = sorted(((i, sorted((m.start(), 3, m.end()) for m in tokens(text) if m[0] in live)) for i, text, _ in rows), key=repr)
+        found = secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)).collect()
+        got = sorted(((r["doc_id"], [tuple(s) for s in r["spans"] if s["kind"] == 3]) for r in found), key=repr)
+        assert got == want and live
+
+
 def test_secret_ownership(spark):
     from quillspark.llm.secretscan import secret_spans, spans_text
 
