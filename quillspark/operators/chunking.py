@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import ChunkConfig, Lexicon, RUSSIAN, one_of
 from quillspark.functions.text import deep_link, marker_scores, starts_step, timecode, token_count
+from quillspark.operators.models import TokenCounter, counted_tokens
 from quillspark.operators.ordered import WHOLE, Rule, cut_ranges, numbered
 from quillspark.operators.ranges import members
 from quillspark.session import materialize
@@ -96,16 +99,20 @@ def chunk_rule(config: ChunkConfig) -> Rule:
     return Rule(part)
 
 
-def chunk_ranges(rows: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+def _tokens(text: Column, config: ChunkConfig, counter: Callable[[], TokenCounter] | None) -> Column:
+    return token_count(text, config.chars_per_token) if counter is None else counted_tokens(text, counter)
+
+
+def chunk_ranges(rows: DataFrame, config: ChunkConfig = ChunkConfig(), counter: Callable[[], TokenCounter] | None = None) -> DataFrame:
     """video_id, range_no, first, last from labelled segments."""
-    counted = rows.withColumns({"tokens": token_count(F.col("text"), config.chars_per_token), "opens": starts_step(F.col("text"), config.lexicon)})
+    counted = rows.withColumns({"tokens": _tokens(F.col("text"), config, counter), "opens": starts_step(F.col("text"), config.lexicon)})
     return cut_ranges(counted, ["video_id"], ["tokens", "label", "opens"], chunk_rule(config))
 
 
-def chunks(segments: DataFrame, videos: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """The chunk table from segments and videos (video_id, title, playlist_ids, playlist_titles)."""
+def chunks(segments: DataFrame, videos: DataFrame, config: ChunkConfig = ChunkConfig(), counter: Callable[[], TokenCounter] | None = None) -> DataFrame:
+    """The chunk table from segments and videos (video_id, title, playlist_ids, playlist_titles). Without a counter tokens are estimated."""
     rows = materialize(labelled(segments, config.lexicon).drop("n"), "segments")
-    found = members(chunk_ranges(rows, config)).join(rows, ["video_id", "place"])
+    found = members(chunk_ranges(rows, config, counter)).join(rows, ["video_id", "place"])
     keys = ["video_id", "range_no"]
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
     merged = found.groupBy(*keys).agg(
@@ -122,7 +129,7 @@ def chunks(segments: DataFrame, videos: DataFrame, config: ChunkConfig = ChunkCo
         F.concat("video_id", F.lit("::"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))).alias("chunk_id"),
         "video_id", "title", deep_link(F.col("video_id"), F.col("start")).alias("url"), timecode(F.col("start")).alias("timecode"),
         F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), number.alias("chunk_index"), "n_chunks", "section", "has_ingredients", "has_steps",
-        F.length("text").alias("char_len"), token_count(F.col("text"), config.chars_per_token).alias("token_len"), "playlist_ids", "playlist_titles", "text",
+        F.length("text").alias("char_len"), _tokens(F.col("text"), config, counter).alias("token_len"), "playlist_ids", "playlist_titles", "text",
     )
 
 

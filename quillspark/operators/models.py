@@ -24,6 +24,11 @@ class Reranker(Protocol):
     def score(self, query: str, texts: list[str]) -> list[float]: ...
 
 
+class TokenCounter(Protocol):
+    def count(self, text: str) -> int:
+        """Tokens of a text, special ones apart."""
+
+
 class FormatRefused(Exception):
     """A backend cannot answer in the wanted format."""
 
@@ -65,6 +70,30 @@ def embed(rows: DataFrame, key: str, text: str, make: Callable[[], Embedder]) ->
     return rows.select(key, text).mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, dense array<double>, sparse map<int,double>")
 
 
+def counted_tokens(text: Column, make: Callable[[], TokenCounter]) -> Column:
+    """How many tokens a model's own tokenizer makes of a text; a null text has none."""
+    get = per_worker(make)
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        counter = get()
+        return texts.fillna("").map(counter.count).astype("int32")
+
+    return count(text)
+
+
+class TokenizerFile:
+    """A counter by a tokenizer's file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def count(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def term_weights(rows: DataFrame, key: str, text: Column, space: int = 1 << 20) -> DataFrame:
     """Postings without a model: key, term (hash of a lower-case word), weight (its count)."""
     term = F.explode(words(F.lower(text)))

@@ -137,15 +137,27 @@ def contexts(passages: DataFrame, config: RetrievalConfig) -> DataFrame:
     return out.select("query_id", F.array_join(F.transform("all", lambda x: x["block"]), "\n\n").alias("context"), cited.alias("citations"))
 
 
-def retrieve(candidates: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), make_reranker: Callable[[], Reranker] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From (query_id, query, chunk_id, score, rank) the passages, the contexts, and counters of each query."""
-    rows = payload(candidates.filter(F.col("rank") <= config.pool).join(chunks.drop("score", "rank", "query"), "chunk_id"))
+def retrieve(
+    candidates: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), make_reranker: Callable[[], Reranker] | None = None,
+    section_weights: bool = True, matched: DataFrame | None = None, filtered: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (query_id, query, chunk_id, score, rank) the passages, the contexts, and counters of each query.
+
+    The search's score stays as `retriever_score`. `section_weights`: whether sections and places weigh. `matched` (query_id, intents) and
+    `filtered` tell the counters what stood before the search."""
+    rows = payload(candidates.filter(F.col("rank") <= config.pool).join(chunks.drop("score", "rank", "query"), "chunk_id")).withColumn("retriever_score", F.col("score"))
     # Each table below is read several times; at most `pool` rows a query are kept.
-    ranked = materialize(weighted(reranked(rows, config.rerank_top, make_reranker), config), "ranked")
+    ranked = reranked(rows, config.rerank_top, make_reranker)
+    ranked = materialize(weighted(ranked, config) if section_weights else ranked, "ranked")
     chosen = materialize(top_videos(ranked, config.top_videos, config.per_video), "chosen")
     passages = materialize(merged_passages(materialize(with_neighbors(chosen, payload(chunks), config.neighbor_radius), "filled"), config), "passages")
     counts = ranked.groupBy("query_id").agg(F.count("*").alias("candidates")).join(passages.groupBy("query_id").agg(F.count("*").alias("passages")), "query_id", "left")
-    counters = counts.withColumns({"pool": F.lit(config.pool), "neighbor_radius": F.lit(config.neighbor_radius), "used_reranker": F.lit(make_reranker is not None)})
+    none = F.array().cast("array<string>")
+    counts = counts.join(matched.select("query_id", "intents"), "query_id", "left") if matched is not None else counts.withColumn("intents", none)
+    counters = counts.withColumns({
+        "pool": F.lit(config.pool), "neighbor_radius": F.lit(config.neighbor_radius), "used_reranker": F.lit(make_reranker is not None), "mode": F.lit(config.mode),
+        "intent_filter": F.coalesce("intents", none), "filtered": F.lit(filtered) | (F.size(F.coalesce("intents", none)) > 0),
+    }).drop("intents")
     return passages, contexts(passages, config), counters
 
 

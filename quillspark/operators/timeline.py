@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,20 +170,26 @@ def best_labels(labelled: DataFrame) -> DataFrame:
 def align_restored(pairs: DataFrame) -> DataFrame:
     """(video_id, original array, restored array) to `aligned`: restored words where they match, one word may be passed over.
 
-    A fold over original words holding the place in the restored ones; both arrays are a video's words."""
-    target = F.transform("restored", norm_word)
-    rows = pairs.withColumn("norms", target)
-
-    def step(got, word):
-        want, j = norm_word(word), got["j"]
-        here, next_ = F.get("norms", j) == want, F.get("norms", j + 1) == want
-        n = F.size("norms")
-        move = F.when(F.coalesce(here, F.lit(False)), 1).when(F.coalesce(next_, F.lit(False)), 2).when(j < n, 1).otherwise(0)
-        chosen = F.when(F.coalesce(here, F.lit(False)), F.get("restored", j)).when(F.coalesce(next_, F.lit(False)), F.get("restored", j + 1)).otherwise(word)
-        return F.struct((j + move).cast("int").alias("j"), F.concat(got["out"], F.array(chosen)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("j"), F.array().cast("array<string>").alias("out"))
-    return rows.select("video_id", F.aggregate("original", start, step, lambda got: got["out"]).alias("aligned"))
+    Two pointers over a video's words, in linear time; only their normal forms go through Python, and places come back."""
+    norms = lambda c: F.transform(c, norm_word).alias(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picks = []
+            for original, restored in zip(batch.column("original").to_pylist(), batch.column("restored").to_pylist(), strict=True):
+                j, n, picked = 0, len(restored or ()), []
+                for want in original or ():
+                    here = j < n and want is not None and restored[j] == want
+                    following = not here and j + 1 < n and want is not None and restored[j + 1] == want
+                    picked.append(j if here else j + 1 if following else -1)
+                    j += 1 if here else 2 if following else int(j < n)
+                picks.append(picked)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(picks, pa.list_(pa.int32()))], ["row", "picks"])
+
+    kind = pairs.select(F.struct("video_id", "original", "restored").alias("row")).schema["row"].dataType.simpleString()
+    found = pairs.select(F.struct("video_id", "original", "restored").alias("row"), norms("original"), norms("restored")).mapInArrow(run, f"row {kind}, picks array<int>")
+    chosen = F.zip_with("row.original", "picks", lambda word, i: F.when(i >= 0, F.get(F.col("row.restored"), i)).otherwise(word))
+    return found.select("row.video_id", F.when(F.col("row.original").isNotNull() & F.col("row.restored").isNotNull(), chosen).alias("aligned"))
 
 
 def restore_in_windows(tokens: DataFrame, restore: Callable[[str], str], size: int = 400) -> DataFrame:

@@ -71,22 +71,54 @@ class Service:
         rows = found.join(self.chunks, "chunk_id").orderBy("rank").select("title", "url", "timecode", "section", "score", "text")
         return [r.asDict() for r in rows.collect()]  # at most k
 
-    def ask(self, query: str, top_videos: int | None = None, per_video: int | None = None, patterns=(), temperature: float | None = None) -> dict[str, Any]:
+    def retrieved(self, asked: DataFrame, vectors: DataFrame, postings: DataFrame, config: RetrievalConfig, rerank: bool = True, section_weights: bool = True, matched: DataFrame | None = None):
+        return retrieve(search_queries(asked, vectors, postings, self.embedder, config), self.chunks, config, self.reranker if rerank else None, section_weights, matched)
+
+    def retrieve(self, query: str, top_videos: int | None = None, per_video: int | None = None, budget: int | None = None, mode: str = "hybrid", rerank: bool = True, patterns=(), section_weights: bool = True) -> dict[str, Any]:
+        """The context and citations of one query, its passages, and the counters."""
+        config = self._config(top_videos, per_video, budget, mode)
+        check_request(query, top_videos=config.top_videos, per_video=config.per_video, mode=mode)
+        asked = self._query(query)
+        vectors, postings = self._scope(asked, patterns)
+        matched = asked.select("query_id", intents(F.col("query"), patterns).alias("intents")) if patterns else None
+        passages, contexts, counters = self.retrieved(asked, vectors, postings, config, rerank, section_weights, matched)
+        told, debug = contexts.first(), counters.drop("query_id").first()
+        shown = passages.orderBy("video_rank", "start").select("video_id", "title", "url", "timecode", "start", "end", "score", "text").collect()  # a few videos' passages
+        return {
+            "query": query, "context": told["context"] if told else "", "citations": [c.asDict() for c in told["citations"]] if told else [],
+            "passages": [r.asDict() for r in shown], "debug": debug.asDict() if debug else {},
+        }
+
+    def _config(self, top_videos: int | None, per_video: int | None, budget: int | None, mode: str) -> RetrievalConfig:
+        c = self.config
+        return replace(c, top_videos=top_videos or c.top_videos, per_video=per_video or c.per_video, token_budget=budget or c.token_budget, mode=mode)
+
+    def ask(self, query: str, top_videos: int | None = None, per_video: int | None = None, patterns=(), temperature: float | None = None, budget: int | None = None, mode: str = "hybrid", rerank: bool = True) -> dict[str, Any]:
         """The answer with its sources; `other` are the sources beside the main one."""
-        config = replace(self.config, top_videos=top_videos or self.config.top_videos, per_video=per_video or self.config.per_video)
-        check_request(query, top_videos=config.top_videos, per_video=config.per_video, temperature=temperature)
+        config = self._config(top_videos, per_video, budget, mode)
+        check_request(query, top_videos=config.top_videos, per_video=config.per_video, temperature=temperature, mode=mode)
         if self.client is None:
             raise BadRequest("no model is set")
         asked = self._query(query)
         vectors, postings = self._scope(asked, patterns)
-        passages, contexts, _ = retrieve(search_queries(asked, vectors, postings, self.embedder, config), self.chunks, config, self.reranker)
+        passages, contexts, _ = self.retrieved(asked, vectors, postings, config, rerank)
         row = answers(asked, passages, contexts, self.client, config.min_score).withColumn("other", other_sources(F.col("sources"), F.col("source"))).first()
         return row.asDict(recursive=True)
 
     def health(self) -> dict[str, Any]:
-        out: dict[str, Any] = {"index": None, "model": self.client is not None, "reranker": self.reranker is not None}
+        """status (ok, or degraded), the index's rows, whether the model answers and its name; what went wrong as `error`."""
+        out: dict[str, Any] = {"status": "degraded", "index": None, "model": False, "model_name": None, "reranker": self.reranker is not None}
         try:
             out["index"] = self.vectors.count()
         except Exception as error:  # noqa: BLE001  a probe tells what is wrong
             out["error"] = str(error)[:200]
+        try:
+            if self.client is not None:
+                client = self.client()
+                out["model_name"] = client.model
+                out["model"] = bool(client.health()) if hasattr(client, "health") else True
+        except Exception as error:  # noqa: BLE001
+            out.setdefault("error", str(error)[:200])
+        if out["index"] and out["model"]:
+            out["status"] = "ok"
         return out

@@ -13,7 +13,7 @@ from quillspark.functions.text import passage_text
 from quillspark.operators import evaluate
 from quillspark.operators.answer import answers
 from quillspark.operators.chunking import chunks
-from quillspark.operators.models import ChatClient, Embedder, Reranker, embed
+from quillspark.operators.models import ChatClient, Embedder, Reranker, TokenCounter, embed
 from quillspark.operators.retrieve import retrieve
 from quillspark.operators.search import search
 from quillspark.operators.timeline import clean_transcript
@@ -88,13 +88,13 @@ def abort_point(manifest: DataFrame, limit: int) -> DataFrame:
     return inside.filter(F.col("n") == limit).agg(F.min("run_no").alias("run_no"))
 
 
-def build_chunks(cues: DataFrame, videos: DataFrame, clean: CleanConfig = CleanConfig(), cut: ChunkConfig = ChunkConfig(), labeller: Callable | None = None, include_non_recipe: bool = False, existing: DataFrame | None = None) -> DataFrame:
+def build_chunks(cues: DataFrame, videos: DataFrame, clean: CleanConfig = CleanConfig(), cut: ChunkConfig = ChunkConfig(), labeller: Callable | None = None, include_non_recipe: bool = False, existing: DataFrame | None = None, counter: Callable[[], TokenCounter] | None = None) -> DataFrame:
     """Chunks of recipe videos; chunks that are there already are kept and not made again."""
     wanted = videos if include_non_recipe or "is_recipe" not in videos.columns else videos.filter(F.coalesce("is_recipe", F.lit(True)))
     if existing is not None:
         wanted = not_yet(wanted, existing)
     segments, _ = clean_transcript(cues.join(wanted.select("video_id"), "video_id", "left_semi"), clean, labeller)
-    made = chunks(segments, wanted, cut)
+    made = chunks(segments, wanted, cut, counter)
     return made if existing is None else existing.unionByName(made)
 
 
@@ -105,6 +105,22 @@ def build_index(chunk_table: DataFrame, make: Callable[[], Embedder]) -> tuple[D
     return made.select("chunk_id", F.col("dense").alias("vector")), made.select("chunk_id", F.explode("sparse").alias("term", "weight"))
 
 
+def chunk_run_manifest(videos: DataFrame, existing: DataFrame | None, made: DataFrame, include_non_recipe: bool = False, overwrite: bool = False) -> DataFrame:
+    """A row a video of a chunking run: status (skip_non_recipe, skip_exists, ok), chunks, least, mean and most tokens, sections.
+
+    `existing` and `made`: chunks that were there, and those of this run. Videos without chunks have 0 everywhere."""
+    from quillspark.operators.chunking import manifest
+
+    there = (existing if existing is not None and not overwrite else made.limit(0)).groupBy("video_id").agg(F.count("*").alias("held"))
+    dropped = ~F.coalesce("is_recipe", F.lit(True)) if "is_recipe" in videos.columns and not include_non_recipe else F.lit(False)
+    rows = videos.select("video_id", dropped.alias("dropped")).join(there, "video_id", "left").join(manifest(made), "video_id", "left")
+    status = F.when(F.col("dropped"), "skip_non_recipe").when(F.col("held").isNotNull(), "skip_exists").otherwise("ok")
+    ok = lambda c: F.when(F.col("status") == "ok", c)
+    out = rows.withColumn("status", status)
+    counts = F.when(F.col("status") == "skip_exists", F.col("held")).when(F.col("status") == "ok", F.coalesce("n_chunks", F.lit(0)))
+    return out.select("video_id", "status", counts.alias("chunks"), *(ok(F.coalesce(c, F.lit(0))).alias(n) for c, n in (("min_tokens", "tok_min"), ("avg_tokens", "tok_avg"), ("max_tokens", "tok_max"))), ok(F.coalesce("sections", F.array().cast("array<string>"))).alias("sections"))
+
+
 #: What a chunk's row in a collection has beside the chunk's own columns.
 INDEX_COLUMNS = "digest string, dense array<double>, sparse map<int,double>"
 
@@ -137,17 +153,21 @@ def search_queries(queries: DataFrame, vectors: DataFrame, postings: DataFrame,
 
 
 def evaluate_retrieval(golden: DataFrame, chunk_table: DataFrame, vectors: DataFrame, postings: DataFrame, make: Callable[[], Embedder], config: RetrievalConfig = RetrievalConfig(), rank_k: int = 10, reranker: Callable[[], Reranker] | None = None) -> DataFrame:
-    """One row a labelled query: rank from a wide pass, context scores and top score from a pass as in production."""
+    """One row a labelled query: rank, first three videos and top score from a wide pass, context scores and score from a pass as in production."""
     from dataclasses import replace
 
     queries = golden.select(F.col("id").alias("query_id"), "query")
     wide = replace(config, top_videos=rank_k)
     passages, _, _ = retrieve(search_queries(queries, vectors, postings, make, wide), chunk_table, wide, reranker)
-    ranked = evaluate.ranks(passages.select("query_id", "video_id", "video_rank").distinct(), golden)
+    videos = passages.select("query_id", "video_id", "video_rank", "video_score").distinct()
+    ranked = evaluate.ranks(videos.drop("video_score"), golden)
+    first = F.transform(F.array_sort(F.collect_list(F.struct("video_rank", "video_id"))), lambda v: v["video_id"])
+    wide_tops = videos.filter("video_rank <= 3").groupBy(F.col("query_id").alias("id")).agg(first.alias("top"), F.round(F.max_by("video_score", -F.col("video_rank")), 4).alias("top_score"))
     prod, _, _ = retrieve(search_queries(queries, vectors, postings, make, config), chunk_table, config, reranker)
     top = prod.groupBy(F.col("query_id").alias("id")).agg(F.round(F.max("video_score"), 4).alias("prod_score"))
     out = ranked.join(evaluate.context_scores(prod, golden), "id", "left").join(top, "id", "left")
-    return out.withColumn("prod_score", F.coalesce("prod_score", F.lit(0.0)))
+    out = out.join(wide_tops, "id", "left")
+    return out.withColumns({"prod_score": F.coalesce("prod_score", F.lit(0.0)), "top_score": F.coalesce("top_score", F.lit(0.0)), "top": F.coalesce("top", F.array().cast("array<string>"))})
 
 
 def evaluate_answers(golden: DataFrame, passages: DataFrame, contexts: DataFrame, make: Callable[[], ChatClient], floor: float = 0.005) -> DataFrame:

@@ -23,6 +23,16 @@ class RateLimited(TranscriptError):
     """The source refuses for now."""
 
 
+@dataclass(frozen=True)
+class ProxySetting:
+    """kind: `rotating` (with user and password) or `plain` (with a url for both protocols). A client's factory makes its own object of it."""
+
+    kind: str
+    url: str | None = None
+    user: str | None = None
+    password: str | None = field(default=None, repr=False)
+
+
 @dataclass(frozen=True)
 class NetworkOptions:
     """A cookies file is used before a browser's cookies."""
@@ -31,6 +41,14 @@ class NetworkOptions:
     cookies_file: str | None = None
     cookies_browser: str | None = None
     language: str | None = None
+    #: user and password of a rotating residential proxy, used for transcripts before the plain one
+    rotating_proxy: tuple[str, str] | None = None
+
+    def transcript_proxy(self) -> ProxySetting | None:
+        """What a transcript client connects through."""
+        if self.rotating_proxy and all(self.rotating_proxy):
+            return ProxySetting("rotating", user=self.rotating_proxy[0], password=self.rotating_proxy[1])
+        return ProxySetting("plain", url=self.proxy) if self.proxy else None
 
     def options(self) -> dict[str, Any]:
         out: dict[str, Any] = {}
