@@ -39,9 +39,7 @@ def smoothed(label: str, key: list[str], order: list[str]) -> Column:
 
 def labelled(segments: DataFrame, lexicon: Lexicon = RUSSIAN) -> DataFrame:
     """segments with `label`, and `place`, `part` and `n` within the video."""
-    rows = numbered(segments, ["video_id"], ["seg_idx"])
-    counts = segments.groupBy(F.col("video_id").alias("counted")).agg(F.count("*").alias("n"))
-    rows = rows.join(counts, F.col("video_id").eqNullSafe(F.col("counted"))).drop("counted")
+    rows = numbered(segments, ["video_id"], ["seg_idx"], total="n")
     rows = rows.withColumn("label", section(F.col("text"), F.col("place") / F.col("n"), lexicon))
     whole = rows.filter(F.col("part") == WHOLE).withColumn("label", smoothed("label", ["video_id"], ["place"]))
     split = rows.filter(F.col("part") != WHOLE)

@@ -27,24 +27,30 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[f"_hot_{k}"]) for k in keys))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], most: int | None = None) -> DataFrame:
-    """Add `place` (int, from 0 in `order` within a key) and `part` (WHOLE for keys that are not split). Ties should be told apart by `order`."""
+def numbered(rows: DataFrame, keys: list[str], order: list[str], most: int | None = None, total: str | None = None) -> DataFrame:
+    """Add `place` (int, from 0 in `order` within a key) and `part` (WHOLE for keys that are not split), and a key's rows as `total`.
+
+    Ties should be told apart by `order`. `rows` are gone through twice: first to count keys."""
     most = most or MOST_ROWS
     counts = rows.groupBy(*(F.col(k).alias(f"_hot_{k}") for k in keys)).agg(F.count("*").alias("n")).filter(F.col("n") > most)
     hot = materialize(counts, "hot")  # no more rows than the table has times `most`
-    total = hot.agg(F.sum("n")).first()[0]
-    place = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("int")
-    if not total:
-        return rows.withColumns({"place": place, "part": F.lit(WHOLE)})
-    hot = hot.drop("n")
-    cool = rows.join(hot, _same(rows, hot, keys), "left_anti").withColumns({"place": place, "part": F.lit(WHOLE)})
-    spread = rows.join(hot, _same(rows, hot, keys), "left_semi").repartitionByRange(-(-total // most) + 1, *keys, *order).sortWithinPartitions(*keys, *order)
+    n_hot = hot.agg(F.sum("n")).first()[0]
+    added = {"place": (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("int"), "part": F.lit(WHOLE)}
+    if total:
+        added[total] = F.count("*").over(Window.partitionBy(*keys))
+    if not n_hot:
+        return rows.withColumns(added)
+    cool = rows.join(hot, _same(rows, hot, keys), "left_anti").withColumns(added)
+    spread = rows.join(hot, _same(rows, hot, keys), "left_semi").repartitionByRange(-(-n_hot // most) + 1, *keys, *order).sortWithinPartitions(*keys, *order)
     spread = materialize(spread.withColumns({"part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "spread")
     spans = spread.groupBy(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.col("part").alias("_hot_part")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*(f"_hot_{k}" for k in keys)).orderBy("_hot_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = materialize(spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "spans")
     found = spread.join(spans, _same(spread, spans, keys) & (spread["part"] == spans["_hot_part"]))
     found = found.withColumn("place", (F.col("_row") - F.col("_first") + F.col("_before")).cast("int"))
+    if total:
+        sizes = hot.select(*(F.col(f"_hot_{k}").alias(f"_sized_{k}") for k in keys), F.col("n").alias(total))
+        found = found.join(sizes, reduce(lambda a, b: a & b, (F.col(f"_hot_{k}").eqNullSafe(F.col(f"_sized_{k}")) for k in keys)))
     return cool.unionByName(found.select(*cool.columns))
 
 

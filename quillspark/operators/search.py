@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspark.operators.sparse import SparseIndex, sparse_search, top_k
+from quillspark.operators.sparse import SparseIndex, sparse_index, sparse_search, top_k
 
 
 def conjunction(video_id: str | None = None, section: str | None = None, has_ingredients: bool | None = None) -> Column | None:

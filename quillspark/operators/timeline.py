@@ -14,6 +14,7 @@ from quillspark.config import CleanConfig, one_of
 from quillspark.functions.text import SENTENCE_BREAK, clean_line, deep_link, ends_sentence, norm_word, resegmented, strip, tidy_sentence, timecode, words
 from quillspark.operators.ordered import Rule, cut_ranges, numbered, running
 from quillspark.operators.ranges import members
+from quillspark.session import materialize
 
 
 def merged_windows(hits: DataFrame, key: str, at: str, before: float, after: float) -> DataFrame:
@@ -86,6 +87,7 @@ def cue_blocks(cues: DataFrame, config: CleanConfig = CleanConfig(), clean: bool
     """Cleaned cues merged into blocks: video_id, seg_idx, text, start, end, timecode, url."""
     line = clean_line(F.col("text"), config.lexicon) if clean else F.col("text")
     rows = cues.select("video_id", "cue_idx", line.alias("text"), "start", (F.col("start") + F.col("duration")).alias("end")).filter("text != ''")
+    rows = materialize(rows, "cues")  # they are counted, cut and joined
     rows = numbered(rows, ["video_id"], ["cue_idx"]).withColumns({"size": F.length("text"), "may_end": ends_sentence(F.col("text"))})
     found = cut_ranges(rows, ["video_id"], ["size", "start", "end", "may_end"], block_rule(config.block_target, config.block_max, config.gap_seconds))
     return segments_of(_joined(rows, found), resegmented(F.col("text")))

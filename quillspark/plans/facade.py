@@ -14,6 +14,7 @@ from quillspark.operators.answer import answers, other_sources
 from quillspark.operators.models import ChatClient, Embedder, Reranker
 from quillspark.operators.retrieve import retrieve
 from quillspark.operators.search import intents, matches_intents, search
+from quillspark.operators.sparse import SparseIndex
 from quillspark.plans.jobs import search_queries
 
 
@@ -40,7 +41,8 @@ def check_request(query: str, k: int = 5, mode: str = "hybrid", top_videos: int
 class Service:
     chunks: DataFrame
     vectors: DataFrame
-    postings: DataFrame
+    #: an index, made once, serves searches over all chunks
+    postings: DataFrame | SparseIndex
     embedder: Callable[[], Embedder]
     reranker: Callable[[], Reranker] | None = None
     client: Callable[[], ChatClient] | None = None
@@ -49,7 +51,11 @@ class Service:
     def _query(self, query: str) -> DataFrame:
         return self.chunks.sparkSession.createDataFrame([("q", query)], "query_id string, query string")
 
-    def _scope(self, query: DataFrame, patterns) -> tuple[DataFrame, DataFrame]:
+    @property
+    def _plain(self) -> DataFrame:
+        return self.postings.postings if isinstance(self.postings, SparseIndex) else self.postings
+
+    def _scope(self, query: DataFrame, patterns) -> tuple[DataFrame, DataFrame | SparseIndex]:
         """Vectors and postings of chunks that the query's intents allow."""
         if not patterns:
             return self.vectors, self.postings
@@ -57,13 +63,15 @@ class Service:
         if not wanted:
             return self.vectors, self.postings
         ids = self.chunks.filter(matches_intents(F.col("playlist_titles"), F.array(*map(F.lit, wanted)))).select("chunk_id")
-        return self.vectors.join(ids, "chunk_id", "left_semi"), self.postings.join(ids, "chunk_id", "left_semi")
+        return self.vectors.join(ids, "chunk_id", "left_semi"), self._plain.join(ids, "chunk_id", "left_semi")
 
     def search(self, query: str, k: int = 5, mode: str = "hybrid", condition=None) -> list[dict[str, Any]]:
         """title, url, timecode, section, score and text of the k best chunks."""
         check_request(query, k=k, mode=mode)
         ids = self.chunks if condition is None else self.chunks.filter(condition)
-        vectors, postings = (x.join(ids.select("chunk_id"), "chunk_id", "left_semi") if condition is not None else x for x in (self.vectors, self.postings))
+        vectors, postings = self.vectors, self.postings
+        if condition is not None:
+            vectors, postings = (x.join(ids.select("chunk_id"), "chunk_id", "left_semi") for x in (vectors, self._plain))
         from quillspark.operators.models import embed
 
         made = embed(self._query(query), "query_id", "query", self.embedder)
@@ -71,7 +79,7 @@ class Service:
         rows = found.join(self.chunks, "chunk_id").orderBy("rank").select("title", "url", "timecode", "section", "score", "text")
         return [r.asDict() for r in rows.collect()]  # at most k
 
-    def retrieved(self, asked: DataFrame, vectors: DataFrame, postings: DataFrame, config: RetrievalConfig, rerank: bool = True, section_weights: bool = True, matched: DataFrame | None = None):
+    def retrieved(self, asked: DataFrame, vectors: DataFrame, postings: DataFrame | SparseIndex, config: RetrievalConfig, rerank: bool = True, section_weights: bool = True, matched: DataFrame | None = None):
         return retrieve(search_queries(asked, vectors, postings, self.embedder, config), self.chunks, config, self.reranker if rerank else None, section_weights, matched)
 
     def retrieve(self, query: str, top_videos: int | None = None, per_video: int | None = None, budget: int | None = None, mode: str = "hybrid", rerank: bool = True, patterns=(), section_weights: bool = True) -> dict[str, Any]:

@@ -744,8 +744,27 @@ def _postings(spark, d):
 
 @query(f"WITH {POSTINGS} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10")
 def sparse_topk(spark, d):
-    """Every hundredth document against all"""
-    return _found(search.sparse_search(*_postings(spark, d), 10))
+    """Every hundredth document against an index of all"""
+    queries, postings = _postings(spark, d)
+    return _found(search.sparse_search(queries, search.sparse_index(postings), 10))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM documents),
+p AS (SELECT doc_id, word, round(1.0::DOUBLE / (1 + count(*)), 9) AS weight FROM w GROUP BY ALL),
+scored AS (SELECT b.item_id AS query_id, p.doc_id AS chunk_id, round(sum(p.weight * b.weight), 9) AS score FROM (
+  SELECT item_id, word, n * 1.0::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(word) DESC, word) AS r FROM (SELECT item_id, word, count(*) AS n
+    FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM benchmark) GROUP BY ALL)) WHERE r <= 4) b JOIN p USING (word) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+SELECT query_id, count(*) AS n, max(round(score, 6)) AS best, min(round(score, 6)) AS worst FROM ranked WHERE rank <= 5 GROUP BY query_id""")
+def sparse_short(spark, d):
+    """The four longest words of each benchmark item against an index of all documents; the scores at both ends of the top five"""
+    queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.words(F.lower("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("term").desc(), "term"))
+    queries = queries.withColumn("r", first).filter("r <= 4").drop("r")
+    _, postings = _postings(spark, d)
+    postings = postings.withColumn("weight", F.round(1.0 / (1 + F.col("weight")), 9))
+    found = search.sparse_search(queries, search.sparse_index(postings), 5)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.round("score", 6)).alias("best"), F.min(F.round("score", 6)).alias("worst"))
 
 
 @query(f"""WITH {POSTINGS}, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
