@@ -445,9 +445,20 @@ def label_windows(spark, d):
     return timeline.best_labels(windows.withColumn("label", F.concat(F.lit("L"), F.col("window").cast("string"))))
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), 1) AS pos FROM conversations),
+n AS (SELECT conv_id AS video_id, word, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS i FROM w),
+r AS (SELECT video_id, i, word, CASE WHEN i % 400 % 9 = 0 THEN '--' || word WHEN left(word, 1) = 'ß' THEN 'Ss' || lower(substr(word, 2)) ELSE upper(left(word, 1)) || lower(substr(word, 2)) END AS other FROM n),
+norm AS (SELECT *, lower(regexp_replace(word, '[^\p{L}\p{M}\p{N}_-]', '', 'g')) AS want, lower(regexp_replace(other, '[^\p{L}\p{M}\p{N}_-]', '', 'g')) AS have FROM r),
+lists AS (SELECT video_id, list(word ORDER BY i) AS words, list(other ORDER BY i) AS others, list(want ORDER BY i) AS wants, list(have ORDER BY i) AS haves FROM norm GROUP BY video_id),
+walk AS (
+  SELECT video_id, 0 AS i, 0 AS j, NULL::VARCHAR AS chosen FROM lists
+  UNION ALL
+  SELECT s.video_id, s.i + 1, s.j + CASE WHEN l.haves[s.j + 1] = l.wants[s.i + 1] THEN 1 WHEN l.haves[s.j + 2] = l.wants[s.i + 1] THEN 2 WHEN s.j < len(l.haves) THEN 1 ELSE 0 END,
+    CASE WHEN l.haves[s.j + 1] = l.wants[s.i + 1] THEN l.others[s.j + 1] WHEN l.haves[s.j + 2] = l.wants[s.i + 1] THEN l.others[s.j + 2] ELSE l.words[s.i + 1] END
+  FROM walk s JOIN lists l USING (video_id) WHERE s.i < len(l.words))
+SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(count(*) AS INTEGER) AS n_words, sha256(string_agg(chosen, ' ' ORDER BY i)) AS digest FROM walk WHERE i > 0 GROUP BY video_id""")
 def aligned_words(spark, d):
-    """Each conversation through a restorer that drops and changes words (no SQL: two pointers and a model)"""
+    """Each conversation through a restorer that changes words"""
     cues = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("cue_idx"), "text", F.lit(0.0).alias("start"), F.lit(0.0).alias("duration"))
     runs = timeline.restore_in_windows(timeline.cue_words(cues, clean=False), _restored)
     return timeline.align_restored(runs).select("video_id", F.size("aligned").alias("n_words"), F.sha2(F.array_join("aligned", " "), 256).alias("digest"))
@@ -968,3 +979,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     config = replace(RetrievalConfig(), mode="sparse")
     found = search.sparse_search(terms, postings, config.pool).join(asked, "query_id")
     return retrieve.retrieve(found, chunks, config)[1].select("query_id", "context", F.size("citations").alias("n_citations"))
+
+
+from quillspark.plans import round_trips  # noqa: E402, F401  registers its queries
