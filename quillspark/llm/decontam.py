@@ -5,7 +5,7 @@ postings in one shard (their places among the shard's words, delta-coded). `buil
 the shared folder, whatever is to be searched.
 
 `search` takes the test items in blocks of bounded size. In each shard the windows of all items are matched together:
-every window starts from the postings of its rarest term there, and a start survives only if each further term's
+every different window, whichever items have it, starts from the postings of its rarest term there, and a start survives only if each further term's
 postings hold its own offset. With `slop` over zero it finds proximity matches as well, where each next term follows
 within `slop` further words: every place that can be reached is kept, not the nearest alone. Postings are dealt out by
 shard, so a word or passage that a third of all documents hold is dealt like any other.
@@ -90,26 +90,42 @@ class _Terms(dict):
 
 
 class Block:
-    """Test items as one run of term numbers; `bounds` are the items' ends in it."""
+    """Test items as one run of term numbers, and their different windows of `size` words (or all of a shorter item)."""
 
-    def __init__(self, items: list[tuple[object, str | None]]):
+    def __init__(self, items: list[tuple[object, str | None]], size: int):
         terms = _Terms()
         found = [np.fromiter(map(terms.__getitem__, w), np.int32, len(w)) for w in (words(text) for _, text in items)]
         self.terms, self.item_ids = list(terms), [i for i, _ in items]
-        self.run, self.bounds = np.concatenate([*found, np.empty(0, np.int32)]), np.cumsum([len(x) for x in found])
-
-    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(windows as rows of term numbers, their items' places), of equal length each time."""
-        length = np.diff(self.bounds, prepend=0)
-        start = self.bounds - length
+        self.run = np.concatenate([*found, np.empty(0, np.int32)])
+        length = np.array([len(x) for x in found], np.int64)
+        start = np.cumsum(length) - length
+        #: (words in a window, first places of the windows, ends of their items, items one after the other)
+        self.kinds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for n in np.unique(np.minimum(length, size)):
             if n:
                 mine = np.flatnonzero((length >= size) if n == size else (length == n))
                 counts = length[mine] - n + 1
                 item = np.repeat(mine, counts)
                 first = np.repeat(start[mine], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                for at in range(0, len(item), 200_000):
-                    yield self.run[first[at : at + 200_000, None] + np.arange(n)], item[at : at + 200_000]
+                rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.run, n)[first])
+                _, kept, number = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * int(n)))).ravel(), return_index=True, return_inverse=True)
+                pair = np.unique(number.reshape(-1).astype(np.int64) * len(items) + item)
+                self.kinds.append((int(n), first[kept], np.cumsum(np.bincount(pair // len(items), minlength=len(kept))), pair % len(items)))
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows as rows of term numbers, ends of their items, items), of equal length each time."""
+        for n, first, ends, items in self.kinds:
+            for at in range(0, len(first), 200_000):
+                upto = ends[at : at + 200_000]
+                before = ends[at - 1] if at else 0
+                yield self.run[first[at : at + 200_000, None] + np.arange(n)], upto - before, items[before : upto[-1]]
+
+
+def items_of(doc: np.ndarray, window: np.ndarray, ends: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) for all items of the windows found in documents."""
+    counts = np.diff(ends, prepend=0)[window]
+    place = np.repeat(ends[window] - np.cumsum(counts), counts) + np.arange(counts.sum())
+    return np.repeat(doc, counts), items[place]
 
 
 class Shard:
@@ -126,11 +142,11 @@ class Shard:
         self.at = np.full((int(spans[-1, 1]) if len(spans) else 0) + 1, -1, np.int32)
         self.at[self.places] = np.repeat(term, counts).astype(np.int32)
 
-    def candidates(self, windows: np.ndarray, items: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(windows, items, places of the rarest term, which of the window's terms that is), one row a posting."""
+    def candidates(self, windows: np.ndarray, numbers: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows, their numbers, places of the rarest term, which of the window's terms that is), one row a posting."""
         n = self.counts[windows]
         there = np.flatnonzero((n > 0).all(axis=1))
-        windows, items, n = windows[there], items[there], n[there]
+        windows, numbers, n = windows[there], numbers[there], n[there]
         rarest = n.argmin(axis=1)
         each = n[np.arange(len(n)), rarest]
         begin = self.first[windows[np.arange(len(n)), rarest]]
@@ -140,20 +156,20 @@ class Shard:
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
             row = np.repeat(np.arange(a, b), each[a:b])
             within = np.arange(len(row)) - np.repeat(np.cumsum(each[a:b]) - each[a:b], each[a:b])
-            yield windows[row], items[row], self.places[begin[row] + within], rarest[row]
+            yield windows[row], numbers[row], self.places[begin[row] + within], rarest[row]
             a = b
 
-    def phrases(self, windows: np.ndarray, items: np.ndarray, place: np.ndarray, rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, item) where the window's terms stand one after the other."""
+    def phrases(self, windows: np.ndarray, numbers: np.ndarray, place: np.ndarray, rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, window) where the window's terms stand one after the other."""
         size = windows.shape[1]
         start = place - rarest
         good = np.flatnonzero((start >= 0) & (start + size < len(self.at) + 1))
         for k in range(size):
             good = good[self.at[start[good] + k] == windows[good, k]]
-        return start[good], start[good] + size, items[good]
+        return start[good], start[good] + size, numbers[good]
 
-    def nearby(self, windows: np.ndarray, items: np.ndarray, place: np.ndarray, rarest: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, item) where each next term follows with at most `slop` words between: from the rarest term, the nearest ends on either side."""
+    def nearby(self, windows: np.ndarray, numbers: np.ndarray, place: np.ndarray, rarest: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, window) where each next term follows with at most `slop` words between: from the rarest term, the nearest ends on either side."""
         doc = self.spans[np.searchsorted(self.begins, place, "right") - 1]
         size = windows.shape[1]
         width = (size - 1) * (slop + 1) + 1
@@ -174,7 +190,7 @@ class Shard:
                 reach = np.where(on[:, None], following, reach)
             alive &= reach.any(axis=1)
             found[side] = place + way * reach.argmax(axis=1)
-        return found[0][alive], found[1][alive] + 1, items[alive]
+        return found[0][alive], found[1][alive] + 1, numbers[alive]
 
 
 RESULT = "doc_id bigint, version bigint, shard bigint, doc_no bigint, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<bigint>"
@@ -183,7 +199,7 @@ RESULT = "doc_id bigint, version bigint, shard bigint, doc_no bigint, n_words bi
 def search(index: DataFrame, items: list[tuple[object, str | None]], size: int = 13, slop: int = 0) -> DataFrame:
     """For each document: merged spans of words inside matches (end exclusive) and the items that match. `items`: one bounded block."""
     spark = index.sparkSession
-    block = Block(items)
+    block = Block(items, size)
     chosen = spark.createDataFrame([(None, None), *((t, i) for i, t in enumerate(block.terms))], "wanted binary, id int")
     block.terms, n_terms = [], len(block.terms)
     sent = spark.sparkContext.broadcast(block)
@@ -198,12 +214,14 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], size: int =
         shard = Shard(terms.column("id").to_numpy().astype(np.int64), terms.column("postings").to_pylist(), spans, n_terms)
         depth = np.zeros(len(shard.at) + 1, np.int64)
         owned: list[np.ndarray] = []
-        for windows, item in block.windows(size):
-            for found in shard.candidates(windows, item, 1_000_000 if not slop else 50_000):
-                start, end, item_of = shard.nearby(*found, slop) if slop else shard.phrases(*found)
+        for windows, upto, items in block.windows():
+            for found in shard.candidates(windows, np.arange(len(windows)), 1_000_000 if not slop else 50_000):
+                start, end, window = shard.nearby(*found, slop) if slop else shard.phrases(*found)
                 np.add.at(depth, start, 1)
                 np.add.at(depth, end, -1)
-                owned.append(np.unique((np.searchsorted(shard.begins, start, "right") - 1) * len(block.item_ids) + item_of))
+                met = np.unique((np.searchsorted(shard.begins, start, "right") - 1) * len(windows) + window)
+                doc, item = items_of(met // len(windows), met % len(windows), upto, items)
+                owned.append(np.unique(doc * len(block.item_ids) + item))
         inside = np.cumsum(depth) > 0
         edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
         starts, ends = edges[::2], edges[1::2]

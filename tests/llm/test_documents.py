@@ -317,6 +317,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_repeated_words_of_items_and_documents(spark):
+    """An item and a document of one word each, thousands and millions of times; items that share windows each count."""
+    import time
+
+    from quillspark.llm.decontam import contamination
+
+    docs = spark.createDataFrame([(1, "again " * 2_000_000), (2, "a b " * 20 + "other words here"), (3, "nothing of it")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "again " * 20_000), (8, "a b " * 7), (9, "b a " * 9), (10, "again " * 12), (11, "again " * 13)], "item_id bigint, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["item_ids"])) for r in contamination(docs, items).collect()}
+    assert got == {1: (2_000_000, 2_000_000, [7, 10, 11]), 2: (43, 40, [8, 9]), 3: (3, 0, [])}
+    assert time.perf_counter() - began < 30
+
+
 def test_secrets(docs, none):
     from pyspark.sql import functions as F
 
