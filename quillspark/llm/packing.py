@@ -5,6 +5,7 @@ depth-first search completes one bin at a time around the largest piece left, tr
 first), and prunes a branch once its waste, or the bound of what is left, can no longer beat the incumbent. On its way
 down it also completes what is left by best fit, which gives further incumbents. Without a budget of nodes every
 undominated filling is enumerated and the result is optimal; with one, FILLINGS of them are tried at each node.
+`pack_group` gives large groups a budget for every WINDOW pieces.
 
 `pack` spreads any number of pieces over groups of bounded size, packs each, and packs what lies in poorly filled
 sequences again over as many groups as these pieces need; it ends when they no longer get fewer, so no group outgrows
@@ -192,10 +193,55 @@ def pack_lengths(lengths: list[int], capacity: int, nodes: int | None = None) ->
         if not opening:
             rest.move([big], 1)
             frames.pop()
+    return [[order[j] for j in b] for b in _positions(best, sizes)]
+
+
+#: Pieces that one search with a budget looks at together.
+WINDOW = 100
+
+
+def pack_group(lengths: list[int], capacity: int, nodes: int | None = NODES, window: int = WINDOW) -> list[list[int]]:
+    """As pack_lengths, for a group of any size: a budget of nodes for each `window` pieces; without one, one exact search.
+
+    If best fit is above the bound, the pieces are dealt by size over windows, each of which is searched. Sequences that came out less full
+    than the average are dealt and searched again, as long as they get fewer."""
+    if nodes is None or len(lengths) <= window:
+        return pack_lengths(lengths, capacity, nodes)
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    best = [[order[j] for j in b] for b in _positions(_best_fit([lengths[i] for i in order], capacity), [lengths[i] for i in order])]
+    bound = lower_bound(np.array(lengths, np.int64), capacity)
+    if len(best) <= bound:
+        return best
+    kept: list[list[int]] = []
+    loose, turn = order, 0
+    found: list[list[int]] | None = None
+    while loose:
+        n = -(-len(loose) // window)
+        packed = []
+        for w in range(n):
+            mine = loose[(w + turn) % n :: n]
+            packed += [[mine[j] for j in b] for b in pack_lengths([lengths[i] for i in mine], capacity, nodes)]
+        if found is not None and len(packed) >= len(found):
+            kept += found
+            break
+        if n == 1 or len(kept) + len(packed) <= bound:
+            kept += packed
+            break
+        rooms = [capacity - sum(lengths[i] for i in b) for b in packed]
+        mean = sum(rooms) / len(rooms)
+        kept += [b for b, room in zip(packed, rooms, strict=True) if room <= mean]
+        found = [b for b, room in zip(packed, rooms, strict=True) if room > mean]
+        loose = sorted((i for b in found for i in b), key=lambda i: (-lengths[i], i))
+        turn += 1
+    return kept if len(kept) < len(best) else best
+
+
+def _positions(bins: list[list[int]], sizes: list[int]) -> list[list[int]]:
+    """Bins of sizes as bins of positions in `sizes`."""
     by_size: dict[int, list[int]] = {}
-    for i in reversed(order):
-        by_size.setdefault(lengths[i], []).append(i)
-    return [[by_size[s].pop() for s in b] for b in best]
+    for i in range(len(sizes) - 1, -1, -1):
+        by_size.setdefault(sizes[i], []).append(i)
+    return [[by_size[s].pop() for s in b] for b in bins]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -221,8 +267,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int, group_rows: int = 25_000) -> DataFrame:
-    """Add sequence_id and offset to rows that have `length`. One task packs about `group_rows` pieces at a time."""
+def pack(pieces: DataFrame, capacity: int, group_rows: int = 25_000, nodes: int | None = NODES) -> DataFrame:
+    """Add sequence_id and offset to rows that have `length`. One task packs about `group_rows` pieces at a time.
+
+    `nodes`: the budget of each search (see pack_group); None gives each group its best packing, however long that takes."""
     fields = [f for f in pieces.schema.fields if f.name not in ("group", "sequence_id", "offset", "room")]
     kept = [f.name for f in fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["group bigint", "sequence_id bigint", "offset bigint", "room bigint"])
@@ -233,7 +281,7 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 25_000) -> DataFram
             sequence, offset, room = (np.zeros(len(rows), np.int64) for _ in range(3))
             lengths = rows["length"].astype("int64").tolist()
             base = (step << 56) | (int(rows["group"].iloc[0]) << 28)
-            for number, members in enumerate(pack_lengths(lengths, capacity, NODES)):
+            for number, members in enumerate(pack_group(lengths, capacity, nodes)):
                 at = 0
                 for i in members:
                     sequence[i], offset[i] = base | number, at
@@ -258,6 +306,6 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 25_000) -> DataFram
         rest, groups, step = packed.filter(loose).select(*kept), fewer, step + 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, nodes: int | None = NODES) -> DataFrame:
     """Token pieces of doc_id, text with their sequence and place. The pieces (no texts, no ids) are kept in the shared folder."""
-    return pack(materialize(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(materialize(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity, nodes=nodes)

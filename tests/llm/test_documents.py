@@ -618,6 +618,30 @@ def test_token_files(spark, docs, none, tmp_path):
     assert read_tokens(spark, write_tokens(none, f"file://{tmp_path}/none", path, 50_257, 2)).count() == 0
 
 
+def test_large_groups_are_searched_by_windows():
+    from quillspark.llm.packing import NODES, _best_fit, lower_bound, pack_group, pack_lengths
+
+    rng = random.Random(1)
+    for low, high, n, most in ((1100, 2100, 3000, 1265), (500, 1400, 1000, None), (900, 3000, 700, None), (1, 4096, 500, None), (700, 700, 450, None)):
+        lengths = [rng.randint(low, high) for _ in range(n)]
+        found = pack_group(lengths, 4096)
+        assert sorted(i for b in found for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= 4096 for b in found)
+        assert lower_bound(np.array(lengths), 4096) <= len(found) <= (most or n)
+        assert len(found) <= len(_best_fit(sorted(lengths, reverse=True), 4096))
+        assert len(found) <= sum(len(pack_lengths(lengths[k : k + 100], 4096, NODES)) for k in range(0, n, 100))
+    few = [rng.randint(20, 60) for _ in range(14)]
+    assert len(pack_group(few, 100, nodes=None)) == len(pack_lengths(few, 100)) and pack_group([], 100) == []
+
+
+def test_pack_without_a_budget_is_exact(spark):
+    from quillspark.llm.packing import pack, pack_lengths
+
+    rng = random.Random(3)
+    lengths = [rng.randint(20, 60) for _ in range(14)]
+    rows = pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id bigint, length bigint"), 100, nodes=None)
+    assert rows.select("sequence_id").distinct().count() == len(pack_lengths(lengths, 100))
+
+
 def test_bits():
     from quillspark.llm.tokenbin import pack_bits, unpack_bits
 
