@@ -47,6 +47,18 @@ OUTRO_MARKERS = [
     "приятного аппетита", "ставьте лайк", "ставьте лайки", "подписывайтесь", "подпишись", "до новых встреч", "до новых видео", "всем пока",
     "до встречи", "приятного просмотра", "спасибо за просмотр", "пишите в комментар",
 ]
+#: Patterns of a line's cleaning and what they become: before fillers go, and after. Fixed values.
+LINE_MARKS = [
+    (r"[\[(][^\])]*[\])]", " "),
+    (r"(?U)^\s*(>>|-)\s+", ""),
+]
+LINE_SPACING = [
+    (r"(?iuU)\b(\w+)(\s+\1\b)+", "$1"),
+    (r"(?U)\s+([,.!?…:;])", "$1"),
+    (r"(?U)\s+", " "),
+    (r"^ | $", ""),
+    (r"(?U)^[,.;:!?…\-\s]+", ""),
+]
 PLAYLIST_INTENTS = [
     (r"сала[тд]", "Салаты"),
     (r"\bсуп\w*|борщ|\bщи\b|солянк", "Супы"),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.config import PUNCTUATION_SUFFIXES, RUSSIAN, Lexicon, one_of
+from quillspark.config import LINE_MARKS, LINE_SPACING, PUNCTUATION_SUFFIXES, RUSSIAN, Lexicon, one_of
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "quillspark")
 
@@ -30,18 +30,8 @@ def capitalized(text: Column) -> Column:
 def clean_line(text: Column, lexicon: Lexicon = RUSSIAN) -> Column:
     """Brackets, speaker marks, interjections, fillers and repeated words go; spacing and leading marks are put right."""
     out = F.replace(text, F.lit("\n"), F.lit(" "))
-    chain = [
-        (r"[\[(][^\])]*[\])]", " "),
-        (r"(?U)^\s*(>>|-)\s+", ""),
-        (one_of(lexicon.interjections, bounded=True), " "),
-        (one_of(sorted(lexicon.fillers, key=len, reverse=True), bounded=True), " "),
-        (r"(?iuU)\b(\w+)(\s+\1\b)+", "$1"),
-        (r"(?U)\s+([,.!?…:;])", "$1"),
-        (r"(?U)\s+", " "),
-        (r"^ | $", ""),
-        (r"(?U)^[,.;:!?…\-\s]+", ""),
-    ]
-    for pattern, to in chain:
+    spoken = [(one_of(lexicon.interjections, bounded=True), " "), (one_of(sorted(lexicon.fillers, key=len, reverse=True), bounded=True), " ")]
+    for pattern, to in [*LINE_MARKS, *spoken, *LINE_SPACING]:
         out = F.regexp_replace(out, pattern, to)
     return out
 
