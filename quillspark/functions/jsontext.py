@@ -10,10 +10,6 @@ from quillspark.functions.text import strip
 #: One JSON value and nothing after it: brackets and quotes are balanced by the parser, what is left over by this.
 _WHOLE = r"(?s)^\s*(?:\{.*\}|\[.*\]|\"(?:[^\"\\]|\\.)*\"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)\s*$"
 
-#: Lists within lists that a citation's number is looked for in.
-NESTED = 4
-
-
 def _strict(text: Column) -> Column:
     """The value as VARIANT, null if it isn't one whole JSON value. A trailing second value makes the ends of an array."""
     alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
@@ -31,17 +27,12 @@ def lenient_json(text: Column) -> Column:
 
 
 def source_number(value: Column) -> Column:
-    """An int from a VARIANT: whole numbers as they are, fractions cut, texts by their first digits, lists by their first (NESTED lists deep)."""
-    found = F.lit(None).cast("int")
-    for depth in reversed(range(NESTED + 1)):
-        at = "$" + "[0]" * depth
-        inner = F.try_variant_get(value, at, "variant")
-        kind = F.schema_of_variant(inner)
-        digits = F.regexp_extract(F.try_variant_get(inner, "$", "string"), r"\d+", 0).try_cast("int")
-        number = F.try_variant_get(inner, "$", "double").cast("int")
-        plain = F.when(kind.isin("BOOLEAN", "VOID") | F.startswith(kind, F.lit("OBJECT")), F.lit(None)).when(kind == "STRING", digits).otherwise(number)
-        found = F.when(inner.isNull(), F.lit(None)).when(F.startswith(kind, F.lit("ARRAY")), found).otherwise(plain)
-    return found.cast("int")
+    """An int from a VARIANT: whole numbers as they are, fractions cut, texts by their first digits, lists by their first, at any depth."""
+    # The brackets that a value's text begins with are those of lists, each the first of the one around it.
+    first = F.regexp_replace(F.to_json(value), r"^\[+", "")
+    text = F.try_variant_get(F.try_parse_json(F.regexp_extract(first, r'(?s)^"(?:[^"\\]|\\.)*+"', 0)), "$", "string")
+    number = F.regexp_extract(first, r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?", 0).try_cast("double").try_cast("int")
+    return F.when(F.startswith(first, F.lit('"')), F.regexp_extract(text, r"\d+", 0).try_cast("int")).otherwise(number)
 
 
 def recipe(value: Column) -> Column:

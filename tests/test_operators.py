@@ -82,9 +82,9 @@ def test_lenient_json(spark):
 
 
 def test_source_number_and_recipe(spark):
-    cases = ["3", '"fragment 12 of 3"', '"-3"', "[4, 5]", "2.9", "true", "null", '{"n": 1}', '["[6]"]', "[]", '"none"']
+    cases = ["3", '"fragment 12 of 3"', '"-3"', "[4, 5]", "2.9", "true", "null", '{"n": 1}', '["[6]"]', "[]", '"none"', "[[[[[[7]]]]]]", '[[[[["a \\u0035"]]]]]', "[[[]], 2]", "1e99", '"[" '.strip(), '["[8]"]']
     got = one(spark, jsontext.source_number(F.try_parse_json("x")), *cases)
-    assert got == [3, 12, 3, 4, 2, None, None, None, 6, None, None]
+    assert got == [3, 12, 3, 4, 2, None, None, None, 6, None, None, 7, 5, None, None, None, 8]
     got = one(spark, jsontext.recipe(F.try_parse_json("x")), '{"found": true, "steps": ["a"]}', '{"dish": "b"}', '{"found": false, "source_n": "n 2"}')
     assert got[0]["steps"] == ["a"] and got[0]["ingredients"] == [] and got[1] is None and got[2]["source_n"] == 2
 
