@@ -131,6 +131,6 @@ def vocabulary_size(path: str) -> int:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, remember: int = 500_000) -> ChunkEncoder:
     """One encoder per worker process and file."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, remember)

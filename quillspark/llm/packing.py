@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_slices, materialize
+from quillspark.llm.common import doc_slices, materialize, trim
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -244,13 +244,17 @@ def _positions(bins: list[list[int]], sizes: list[int]) -> list[list[int]]:
     return [[by_size[s].pop() for s in b] for b in bins]
 
 
+#: Chunks of text that a worker keeps the ids of, from one task to the next (about 200 MB).
+REMEMBER = 1_000_000
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Each whole text as token ids and the end id; only documents over `capacity` ids are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillspark.llm.encoding import encoder
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, REMEMBER).encode
         for ids, texts in doc_slices(batches):
             flat, at = encode(texts)
             rows: list[tuple] = []
@@ -262,7 +266,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
             columns = list(zip(*rows, strict=True))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        encoder(tokenizer).rest()
+        trim()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
