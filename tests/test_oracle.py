@@ -55,3 +55,15 @@ def test_plans_have_no_cross_joins(spark):
     for name in ("ad_cut", "neighbor_fill", "sparse_topk", "dense_topk", "point_lookup"):
         plan = entry_point.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_weighted_ranks_at_equal_products(spark, tmp_path):
+    """Scores whose products with the weights differ in the last digit alone stand in one order: section and place are multiplied first."""
+    import duckdb
+
+    talk = [(c, t, "user" if t % 2 == 0 else "assistant", "x" * ((c * 37 + t * 11) % 997)) for c in range(1500) for t in range(4)]
+    spark.createDataFrame(talk, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    with duckdb.connect() as own:
+        own.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        for name in ("position_weight", "group_top_videos"):
+            assert rows(own.sql(entry_point.oracle_sql()[name]).df()) == rows(entry_point.queries()[name](spark, str(tmp_path)).toPandas())
