@@ -60,6 +60,15 @@ def dominant(labels: DataFrame, keys: list[str], label: str = "label") -> DataFr
     return tops.select(*keys, F.when(F.size(winners) == 1, F.get(winners, F.lit(0))[label]).otherwise("mixed").alias("section"))
 
 
+def dominant_of(labels: Column) -> Column:
+    """As `dominant`, of an array of labels."""
+    rank = lambda x: F.when(x == "other", 0).otherwise(F.size(F.filter(labels, lambda y: y == x)))
+    counts = F.transform(F.array_distinct(labels), lambda x: F.struct(rank(x).alias("rank"), x.alias("label")))
+    best = F.aggregate(counts, F.lit(-1), lambda top, x: F.greatest(top, x["rank"]))
+    winners = F.transform(F.filter(F.transform(counts, lambda x: F.struct(x["rank"], x["label"], best.alias("top"))), lambda x: x["rank"] == x["top"]), lambda x: x["label"])
+    return F.when(F.size(winners) == 1, F.get(winners, F.lit(0))).otherwise("mixed")
+
+
 def chunk_rule(config: ChunkConfig) -> Rule:
     """Chunks as ranges of segments; a chunk may begin with one or two segments that ended the one before."""
 
@@ -110,24 +119,27 @@ def chunk_ranges(rows: DataFrame, config: ChunkConfig = ChunkConfig(), counter:
 def chunks(segments: DataFrame, videos: DataFrame, config: ChunkConfig = ChunkConfig(), counter: Callable[[], TokenCounter] | None = None) -> DataFrame:
     """The chunk table from segments and videos (video_id, title, playlist_ids, playlist_titles). Without a counter tokens are estimated."""
     rows = materialize(labelled(segments, config.lexicon).drop("n"), "segments")
-    found = members(chunk_ranges(rows, config, counter)).join(rows, ["video_id", "place"])
-    keys = ["video_id", "range_no"]
+    spans = materialize(chunk_ranges(rows, config, counter), "ranges")
+    sizes = spans.groupBy("video_id").agg(F.count("*").cast("int").alias("n_chunks"))
+    found = members(spans.join(sizes, "video_id")).join(rows, ["video_id", "place"])
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
-    merged = found.groupBy(*keys).agg(
+    merged = found.groupBy("video_id", "range_no", "n_chunks").agg(
         F.trim(F.array_join(parts, " ")).alias("text"),
         F.min_by("start", "place").alias("start"),
         F.max_by("end", "place").alias("end"),
+        F.collect_list("label").alias("labels"),
         F.bool_or(F.col("label") == "ingredients").alias("has_ingredients"),
         F.bool_or(F.col("label") == "steps").alias("has_steps"),
     )
-    whole = Window.partitionBy("video_id")
-    out = merged.join(dominant(found, keys), keys).withColumn("n_chunks", F.count("*").over(whole).cast("int")).join(videos.select("video_id", "title", "playlist_ids", "playlist_titles"), "video_id")
+    # All that needs the text stands before the join, so that texts nobody asks for are not shuffled for it.
+    merged = merged.withColumns({"section": dominant_of(F.col("labels")), "char_len": F.length("text"), "token_len": _tokens(F.col("text"), config, counter)}).drop("labels")
+    out = merged.join(videos.select("video_id", "title", "playlist_ids", "playlist_titles"), "video_id")
     number = F.col("range_no").cast("int")
     return out.select(
         F.concat("video_id", F.lit("::"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))).alias("chunk_id"),
         "video_id", "title", deep_link(F.col("video_id"), F.col("start")).alias("url"), timecode(F.col("start")).alias("timecode"),
         F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), number.alias("chunk_index"), "n_chunks", "section", "has_ingredients", "has_steps",
-        F.length("text").alias("char_len"), _tokens(F.col("text"), config, counter).alias("token_len"), "playlist_ids", "playlist_titles", "text",
+        "char_len", "token_len", "playlist_ids", "playlist_titles", "text",
     )
 
 
