@@ -36,11 +36,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8 or more) stays: the smallest doc_id, then the smallest text hash.
+    """One document of each group of near copies stays: the smallest doc_id, then the smallest text hash.
+
+    Copies are texts whose SimHash fingerprints (four-word shingles, by op5) differ in at most 4 of 64 bits, and texts whose five-word
+    shingles are alike by 0.8 or more, which fingerprints that near seldom reach; links of both kinds join in one group.
 
     Rows that repeat a text are copies of one another, as are null and empty texts; a null doc_id stays only where it has no copy with one."""
     ship(spark)
-    return one_of_near_copies(docs, width=5, similarity=0.8)
+    return one_of_near_copies(docs, width=5, similarity=0.8, distance=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import doc_slices, materialize, text_version, trim
 from quillspark.llm.components import components
-from quillspark.llm.simhash import SEED, first_of_each, shingle_hashes
+from quillspark.llm.simhash import SEED, first_of_each, near_duplicates, shingle_hashes
 
 BANDS, ROWS = 32, 5
 #: Shingles of one block of a bucket.
@@ -183,6 +183,19 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     return found.join(roots, found.sid == roots.node, "left").select("doc_id", "version", "sid", F.coalesce("root", "sid").alias("root"))
 
 
-def one_of_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` without near copies: of each component the row with the smallest doc_id (then text hash) stays."""
-    return first_of_each(docs, near_copies(docs, width, similarity))
+def with_fingerprints(found: DataFrame, docs: DataFrame, width: int, distance: int) -> DataFrame:
+    """`found` (from near_copies) with the components of SimHash joined in: a text is linked by either, and links of both make one component."""
+    found = materialize(found.select("doc_id", "version", "root"), "near")
+    alike = near_duplicates(docs, width, distance).select("version", F.col("root").alias("alike")).distinct()
+    pairs = materialize(found.select("version", "root").distinct().join(alike, "version").select("root", "alike").distinct(), "alike")
+    least = pairs.groupBy("alike").agg(F.min("root").alias("v"))
+    roots = components(pairs.join(least, "alike").select(F.col("root").alias("u"), "v")).withColumnRenamed("root", "top")
+    return found.join(roots, found.root == roots.node, "left").select("doc_id", "version", F.coalesce("top", "root").alias("root"))
+
+
+def one_of_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, simhash_width: int = 4, distance: int | None = None) -> DataFrame:
+    """The rows of `docs` without near copies: of each component the row with the smallest doc_id (then text hash) stays.
+
+    With `distance`, texts whose SimHash fingerprints (of `simhash_width` words) differ in at most so many bits are copies too."""
+    found = near_copies(docs, width, similarity)
+    return first_of_each(docs, found if distance is None else with_fingerprints(found, docs, simhash_width, distance))

@@ -684,3 +684,32 @@ def test_pipeline(spark, docs, none, tmp_path):
                 assert rows.columns == docs.columns and rows.count() <= before
         assert (rows.count() > 0) == (table is docs)
         assert corpus_pipeline.run(spark, str(tmp_path)).count() == rows.count()
+
+
+def test_simhash_stage_links_by_fingerprints_and_by_shingles(spark):
+    """Texts that a fingerprint alone links, texts that shingles alone link, and a chain of both, in one component each."""
+    import corpus_pipeline
+    from quillspark.llm.neardup import shingle_set
+    from quillspark.llm.simhash import simhashes
+
+    rng = np.random.default_rng(11)
+    word = lambda: "w" + str(rng.integers(1 << 40))
+    bits = lambda a, b: int(simhashes([a], 4)[0] ^ simhashes([b], 4)[0]).bit_count()
+    alike = lambda a, b: len(np.intersect1d(x := shingle_set(a, 5), y := shingle_set(b, 5))) >= 0.8 * len(np.union1d(x, y))
+    said = f"{word()} {word()} {word()}"  # three shingles, so each bit has a majority
+    often = " ".join([said] * 60)  # the same shingles over and over outweigh the rest in a fingerprint, not in a set
+    a, b = (f"{often} " + " ".join(word() for _ in range(12)) for _ in range(2))
+    c = b + " " + " ".join([said] * 60) + " " + word()
+    assert bits(a, b) <= 4 and not alike(a, b)
+    base = [word() for _ in range(200)]
+    while True:
+        near = list(base)
+        near[100] = word()
+        near[30] = word()
+        if bits(" ".join(base), " ".join(near)) > 4:
+            break
+    assert alike(" ".join(base), " ".join(near))
+    rows = [(5, a), (3, b), (4, c), (7, " ".join(base)), (6, " ".join(near)), (9, " ".join(word() for _ in range(50))), (8, None), (2, "")]
+    out = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    kept = {r["doc_id"] for r in out.collect()}
+    assert kept == {2, 3, 6, 9}
